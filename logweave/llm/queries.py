@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, simhash
+from . import common, pii, simhash
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -18,3 +18,8 @@ def _query(fn):
 @_query
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.read_table(spark, sf_dir, "documents"), budget=4, blocks=6, leaf=1024)
+
+
+@_query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(common.read_table(spark, sf_dir, "documents"), precision=0.98))
