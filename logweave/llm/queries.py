@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, pii, simhash
+from . import common, pii, secrets, simhash
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -23,3 +23,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(common.read_table(spark, sf_dir, "documents"), precision=0.98))
+
+
+@_query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(common.read_table(spark, sf_dir, "documents"), rate=0.01))
