@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, pii, secrets, simhash
+from . import common, pii, quality, secrets, simhash, topk
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -28,3 +29,18 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(common.read_table(spark, sf_dir, "documents"), rate=0.01))
+
+
+@_query
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.read_table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+ORACLES["op8_topk"] = topk.ORACLE
+
+
+@_query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (common.read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return quality.judge(docs, labels, risk=0.01, error=0.05)
