@@ -6,8 +6,10 @@ admissible when the exact (Clopper-Pearson) upper bound on its rate of rejecting
 good documents stays within the allowed risk. Cutoffs of a rule are tried from
 the strictest rejection of none towards more (fixed-sequence testing, which
 needs no correction within the sequence), and the error probability is shared
-out over all rules and strata (Bonferroni). A document is rejected if it fails a
-base rule or any admissible cutoff of its stratum.
+out over all rules and strata (Bonferroni), so all admissible cutoffs hold
+together and any of them may be chosen. Of a rule's, the one chosen rejects most
+bad documents for the good ones it costs. A document is rejected if it fails a
+base rule or the chosen cutoff of any rule of its stratum.
 """
 
 from __future__ import annotations
@@ -104,32 +106,47 @@ def _cells(rows: DataFrame) -> DataFrame:
     return rows.withColumn("r", F.explode(F.array(*rules))).select("*", "r.rule", "r.cell").drop("r")
 
 
-def thresholds(counts: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05) -> dict[tuple[str, str], int]:
+def thresholds(
+    counts: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05, worth: float = 10.0
+) -> dict[tuple[str, str], int]:
     """{(stratum, rule): lowest rejected cell} with the risk controlled together at ``error``.
 
-    Good documents are those labelled quality 1 that pass the base rules; each
-    labelled document counts once. Strata are the ``MAX_STRATA`` languages with the
-    most such documents, and '' for all others and for null. The driver gets at most
-    65 * 5 * 201 counted cells. The grid's scan stops at the first cutoff that isn't
-    controlled.
+    The holdout is the labelled documents that pass the base rules, each once; a
+    document with any label 1 is good. Strata are the languages with enough good
+    documents to prove the risk at all, the ``MAX_STRATA`` largest of them; all
+    others and null share the stratum ''. A scan of the grid stops at the first
+    cutoff that isn't controlled; of those before it, the one that rejects most bad
+    documents wins, a good one counting ``worth`` times, and none if it gains
+    nothing. The driver gets at most 65 * 5 * 201 counted cells and the languages'
+    names.
     """
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    holdout = counts.where("not base_failed").join(good, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    marked = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+        (F.max("quality") == 1).alias("good")
+    )
+    holdout = counts.where("not base_failed").join(marked, "doc_id").dropDuplicates(["doc_id"])
     holdout = common.durable(holdout, "holdout")
-    named = [r[0] for r in holdout.where("stratum is not null").groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(MAX_STRATA).collect()]
+    sizes = (
+        holdout.where("good and stratum is not null").groupBy("stratum").count()
+        .orderBy(F.desc("count"), "stratum").limit(MAX_STRATA).collect()
+    )
+    # Every language that qualifies shares the error with the others, and with ''.
+    for tests in (len(RULES) * (1 + n) for n in range(len(sizes), -1, -1)):
+        named = [r["stratum"] for r in sizes if controlled(0, r["count"], risk, error / tests)]
+        if len(RULES) * (1 + len(named)) >= tests:
+            break
     rows = holdout.withColumn("stratum", F.when(F.col("stratum").isin(named), F.col("stratum")).otherwise("") if named else F.lit(""))
-    table: dict[tuple[str, str], Counter] = {}
-    for r in _cells(rows).groupBy("stratum", "rule", "cell").count().collect():
-        table.setdefault((r["stratum"], r["rule"]), Counter())[r["cell"]] += r["count"]
-    each = error / max(1, len(table))
+    table: dict[tuple[str, str], dict[bool, Counter]] = {}
+    for r in _cells(rows).groupBy("stratum", "rule", "cell", "good").count().collect():
+        table.setdefault((r["stratum"], r["rule"]), {True: Counter(), False: Counter()})[r["good"]][r["cell"]] += r["count"]
     out = {}
     for key, cells in table.items():
-        n, above = sum(cells.values()), 0
+        n, good, bad, best = sum(cells[True].values()), 0, 0, 0.0
         for cell in range(TOP, 0, -1):
-            above += cells[cell]
-            if not controlled(above, n, risk, each):
+            good, bad = good + cells[True][cell], bad + cells[False][cell]
+            if not controlled(good, n, risk, error / tests):
                 break
-            out[key] = cell
+            if bad - worth * good > best:
+                best, out[key] = bad - worth * good, cell
     return out
 
 
