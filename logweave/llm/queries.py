@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, pii, quality, secrets, simhash, topk
+from . import common, pii, quality, secrets, simhash, topk, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -44,3 +44,9 @@ ORACLES["op8_topk"] = topk.ORACLE
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (common.read_table(spark, sf_dir, t) for t in ("documents", "labels"))
     return quality.judge(docs, labels, risk=0.01, error=0.05)
+
+
+@_query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (common.read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return toxicity.score(docs, toxicity.train(docs, labels))
