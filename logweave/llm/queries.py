@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, pii, quality, secrets, simhash, topk, toxicity
+from . import common, mixing, pii, quality, secrets, simhash, topk, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -50,3 +50,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (common.read_table(spark, sf_dir, t) for t in ("documents", "labels"))
     return toxicity.score(docs, toxicity.train(docs, labels))
+
+
+@_query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(common.read_table(spark, sf_dir, "documents"), power=0.5, total=1.0, seed=17, details=True)
+    return mixed.select(
+        "doc_id", "source", "n_chars", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "copy", "place"
+    )
+
+
+ORACLES["op9_mixing"] = mixing.ORACLE
