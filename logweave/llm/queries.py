@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, pii, quality, secrets, simhash, topk, toxicity
+from . import common, lines, mixing, pii, quality, secrets, simhash, topk, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -61,3 +61,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op9_mixing"] = mixing.ORACLE
+
+
+@_query
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents")
+    return lines.drop_boilerplate(docs, details=True).select("doc_id", "n_lines", "dropped", "text")
+
+
+ORACLES["op4_lines"] = lines.ORACLE
