@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, lines, mixing, pieces, pii, quality, secrets, simhash, topk, toxicity
+from . import common, lines, lm, mixing, pieces, pii, quality, secrets, simhash, topk, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -76,3 +76,8 @@ ORACLES["op4_lines"] = lines.ORACLE
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode(common.read_table(spark, sf_dir, "documents"), dropout=0.1, seed=11, variants=4)
     return encoded.select("doc_id", "n_pieces", "ids_hash", "lossless")
+
+
+@_query
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(common.read_table(spark, sf_dir, "documents"))
