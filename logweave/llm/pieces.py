@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -47,7 +48,7 @@ class Encoder:
     proto: bytes
     dropout: float = 0.1
     seed: int = 0
-    keep: int = 400_000
+    keep: int = 1_000_000
     ids: dict = field(default_factory=dict, repr=False)
     known: dict = field(default_factory=dict, repr=False)
 
@@ -71,6 +72,7 @@ class Encoder:
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in special}
         self.scores = {p: model.get_score(i) for p, i in self.ids.items()}
         self.bar = int(self.dropout * 2.0**64)
+        self.kind, self.width = ("<u2", 2) if len(self.pieces) <= 65536 else ("<u4", 4)
         self.spelled = [p.replace(MARK, " ").encode() for p in self.pieces]
         for b, i in enumerate(self.bytes):
             self.spelled[i] = bytes([b])
@@ -108,7 +110,7 @@ class Encoder:
         if agenda:
             key = 0
             if self.bar:
-                key = xxhash.xxh3_64_intdigest(word.encode(), self.seed * 1_000_003 + variant)
+                key = xxhash.xxh3_64_intdigest(word, self.seed * 1_000_003 + variant)
             heapq.heapify(agenda)
             while agenda:
                 _, i, size = heapq.heappop(agenda)
@@ -170,26 +172,33 @@ class Encoder:
         key = (a.astype(np.int64) << 32) | b.astype(np.int64)
         key[(a < 0) | (b < 0)] = -2
         at = (key.view(np.uint64) * MIX >> self.shift).astype(np.int64)
-        out = np.where(self.table[at] == key, self.value[at], -1)
+        there = self.table[at]
+        out = np.where(there == key, self.value[at], -1)
+        open_ = np.flatnonzero((there != key) & (there >= 0))
         for _ in range(self.probes - 1):
-            at = (at + 1) & (len(self.table) - 1)
-            out = np.where(self.table[at] == key, self.value[at], out)
+            if not len(open_):
+                break
+            at[open_] = (at[open_] + 1) & (len(self.table) - 1)
+            there = self.table[at[open_]]
+            hit = there == key[open_]
+            out[open_[hit]] = self.value[at[open_[hit]]]
+            open_ = open_[~hit & (there >= 0)]
         return out
 
-    def _many(self, units: list[tuple[str, int]]) -> None:
+    def _many(self, units: list[str], variant: int) -> None:
         """Encodes units of up to ``WIDTH`` characters together and keeps the results.
 
         The same agenda as ``_word``, one step of all units at a time: the best
         candidate of each, leftmost on ties, is merged or skipped.
         """
-        units = sorted(units, key=lambda u: len(u[0]))
+        units = sorted(units, key=len)
         for at in range(0, len(units), 20_000):
-            self._some(units[at : at + 20_000])
+            self._some(units[at : at + 20_000], variant)
 
-    def _some(self, units: list[tuple[str, int]]) -> None:
-        sizes = np.array([len(u) for u, _ in units])
+    def _some(self, units: list[str], variant: int) -> None:
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
         n, width = len(units), int(sizes.max())
-        points = np.frombuffer("".join(u for u, _ in units).encode("utf-32-le"), np.uint32).astype(np.int64)
+        points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
         found = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
         flat = np.where(self.points[found] == points, self.point_ids[found], UNKNOWN)
         grid = np.arange(width)[None, :] < sizes[:, None]
@@ -202,8 +211,8 @@ class Encoder:
         rank = np.where(into >= 0, self.rank[into], NEVER)
         keys = np.zeros(n, np.uint64)
         if self.bar:
-            base = self.seed * 1_000_003
-            keys = np.array([xxhash.xxh3_64_intdigest(u.encode(), base + v) for u, v in units], np.uint64)
+            digest, base = xxhash.xxh3_64_intdigest, self.seed * 1_000_003 + variant
+            keys = np.fromiter((digest(u, base) for u in units), np.uint64, n)
         rows = np.arange(n)
         while len(rows):
             place = rank[rows].argmin(axis=1)
@@ -230,48 +239,52 @@ class Encoder:
             new = self._merged(symbols[r, h], symbols[r, i])
             into[r, h], rank[r, h] = new, np.where(new >= 0, self.rank[new], NEVER)
         kept = symbols != GONE
-        ids, ends = symbols[kept].tolist(), np.cumsum(kept.sum(axis=1)).tolist()
+        ids = symbols[kept].astype(self.kind).tobytes()
+        ends = (np.cumsum(kept.sum(axis=1)) * self.width).tolist()
         odd = (symbols == UNKNOWN).any(axis=1).tolist()
-        start = 0
+        start, known = 0, self.known[variant]
         for unit, end, strange in zip(units, ends, odd):
-            self.known[unit] = self._word(*unit) if strange else ids[start:end]
+            known[unit] = self._packed(unit, variant) if strange else ids[start:end]
             start = end
 
-    def _parts(self, text: str) -> list[list[str]]:
-        """The text's units; a mark of the text's own stands between the parts."""
-        # All other marks stand for spaces, the first for the text's head.
-        return [self.cut(part.replace(" ", MARK)) for part in f" {text}".split(MARK)]
+    def _packed(self, unit: str, variant: int) -> bytes:
+        return np.array(self._word(unit, variant), self.kind).tobytes()
 
-    def encode_all(self, texts: list[str], variants: list[int]) -> Iterator[list[int]]:
-        """The ids of each text, in order; units that aren't known are encoded together."""
-        mark = [self.bytes[b] for b in MARK.encode()]
+    def encode_all(self, texts: list[str], variants: list[int]) -> Iterator[bytes]:
+        """The packed ids of each text, in order; units that aren't known are encoded together."""
+        mark = np.array([self.bytes[b] for b in MARK.encode()], self.kind).tobytes()
         at = 0
         while at < len(texts):
             held, size = [], 0
             while at < len(texts) and size < CHUNK:
-                held.append((self._parts(texts[at]) if texts[at] else [], variants[at]))
+                # All marks but the text's own stand for spaces, the first for the text's head.
+                parts = [self.cut(p.replace(" ", MARK)) for p in f" {texts[at]}".split(MARK)] if texts[at] else []
+                held.append((parts, variants[at]))
                 size += len(texts[at])
                 at += 1
-            if len(self.known) >= self.keep:
+            if sum(map(len, self.known.values())) >= self.keep:
                 self.known.clear()
-            known = self.known
-            missing = {(u, v) for parts, v in held for units in parts for u in units if (u, v) not in known}
-            short = [m for m in missing if len(m[0]) <= WIDTH]
-            if short:
-                self._many(short)
+            wanted: dict[int, set[str]] = defaultdict(set)
             for parts, v in held:
-                out: list[int] = []
-                for k, units in enumerate(parts):
-                    if k:
-                        out += mark
-                    for u in units:
-                        got = known.get((u, v))
-                        out += self._word(u, v) if got is None else got
-                yield out
+                wanted[v].update(*parts)
+            long: list[tuple[int, str]] = []
+            for v, units in wanted.items():
+                known = self.known.setdefault(v, {})
+                missing = [u for u in units if u not in known]
+                self._many([u for u in missing if len(u) <= WIDTH], v)
+                for u in missing:
+                    if len(u) > WIDTH:
+                        known[u] = self._packed(u, v)
+                        long.append((v, u))
+            for parts, v in held:
+                get = self.known[v].__getitem__
+                yield mark.join([b"".join(map(get, units)) for units in parts])
+            for v, u in long:
+                del self.known[v][u]
 
     def encode(self, text: str, variant: int = 0) -> list[int]:
         """The ids of a text; none for an empty one."""
-        return next(self.encode_all([text], [variant]))
+        return np.frombuffer(next(self.encode_all([text], [variant])), self.kind).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of an encoding, without the model's leading mark."""
@@ -313,18 +326,17 @@ def encode(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = Encoder(proto, dropout, seed)
-        kind = "<u2" if len(coder.pieces) <= 65536 else "<u4"
         for b in batches:
             rows = []
             docs_of = [None if d is pd.NA else int(d) for d in b["doc_id"].astype("Int64")]
             texts = b["text"].tolist()
             given = coder.encode_all([t or "" for t in texts], [variant_of(d, seed, variants) for d in docs_of])
-            for text, ids in zip(texts, given):
+            for text, packed in zip(texts, given):
                 if text is None:
                     rows.append((None, 0, None, True))
                     continue
-                packed = np.array(ids, kind).tobytes()
-                rows.append((packed, len(ids), xxhash.xxh64_hexdigest(packed), coder.decode(ids) == text))
+                back = coder.decode(np.frombuffer(packed, coder.kind).tolist())
+                rows.append((packed, len(packed) // coder.width, xxhash.xxh64_hexdigest(packed), back == text))
             out = pd.DataFrame(rows, columns=["ids", "n_pieces", "ids_hash", "lossless"])
             out.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy())
             yield out
@@ -340,9 +352,8 @@ def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = Encoder(proto, 0.0)
-        kind = "<u2" if len(coder.pieces) <= 65536 else "<u4"
         for b in batches:
-            texts = [None if x is None else coder.decode(np.frombuffer(x, kind).tolist()) for x in b["ids"]]
+            texts = [None if x is None else coder.decode(np.frombuffer(x, coder.kind).tolist()) for x in b["ids"]]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text": texts})
 
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
