@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK = 3_000_000
+BLOCK = 1_000_000
 #: Keys that a bucket holds on the average.
 BUCKET = 1_000_000
 #: Bits of a key. Two of n bigrams share their count with probability n / 2**57.
@@ -330,7 +330,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     blocks = common.durable(rows.mapInPandas(_blocks(block), "block long, tokens long, payload binary"), "lm-blocks")
     size = blocks.agg(F.sum("tokens")).first()[0] or 0
     bits = max(4, int(size // BUCKET).bit_length())
-    common.small_batches(spark, 16)
+    common.small_batches(spark, 4)
     asks = blocks.select("block", "payload").mapInPandas(_asks(bits), "block long, kind int, bucket int, data binary")
     asks = asks.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "block")
     answers = common.durable(
