@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 PART = 16.0
 #: Past this many copies a draw of mean PART or less has under 1e-17 of its mass.
 TERMS = 80
@@ -95,6 +97,8 @@ def mix(
         F.col("rate").alias("__rate"),
         _cumulative(F.col("rate") / F.greatest(F.ceil(F.col("rate") / PART), F.lit(1))).alias("__table"),
     )
+    # Written first, so that the planner knows its size before it deals out the documents' join.
+    by = common.durable(by, "rates")
     drawn = docs.join(by, F.col(source_col).eqNullSafe(F.col("__source"))).withColumn(
         "__n", copies(F.col("__rate"), F.col("__table"), F.col(id_col), seed)
     )
