@@ -28,9 +28,6 @@ WIDE = 12
 LONG = 8
 FEW, MANY = 2, 3
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
 def _templates(t: Column) -> Column:
     """The templates of a line from its tokens, as hashes."""
     n = F.size(t)
@@ -47,9 +44,9 @@ def _templates(t: Column) -> Column:
 
 def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(did, total, lines): a row's key, its tokens, and its lines of at least ``LEAST`` tokens."""
-    masked = F.regexp_replace(
-        F.translate(F.col(text_col), UPPER, LOWER), r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "<*>"
-    )
+    text = F.col(text_col)
+    # Texts without a digit have no variable fields to mask.
+    masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "<*>")).otherwise(text)
     tokens = F.transform(F.split(masked, "\n", -1), lambda line: F.regexp_extract_all(line, F.lit(r"(\S+)"), F.lit(1)))
     df = docs.where(F.col(text_col).isNotNull()).select(_row(id_col, text_col).alias("did"), tokens.alias("tokens"))
     lines = F.filter(
@@ -134,7 +131,7 @@ def drop_boilerplate(
 ORACLE = rf"""
 WITH tokens AS (
   SELECT doc_id, x.pos - 1 AS pos,
-         list_transform(list_filter(regexp_split_to_array(translate(x.line, '{UPPER}', '{LOWER}'), '[\x09\x0B\x0C\x0D\x20]+'), lambda w: w <> ''),
+         list_transform(list_filter(regexp_split_to_array(x.line, '[\x09\x0B\x0C\x0D\x20]+'), lambda w: w <> ''),
                         lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS t
   FROM documents, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos) AS x
   WHERE text IS NOT NULL
