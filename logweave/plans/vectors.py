@@ -114,11 +114,11 @@ def novelty_mock(spark, sf_dir):
     return novelty.mock_score(scaled).select("id", F.round("score", 4).alias("score"))
 
 
-@query("""SELECT event_id AS id, round(avg(value) OVER w, 6) AS running_mean, max(value) OVER w AS running_max, min(value) OVER w AS running_min FROM events
+@query("""SELECT event_id AS id, round(avg(value) OVER w, 9) AS running_mean, max(value) OVER w AS running_max, min(value) OVER w AS running_min FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
 def novelty_running_stats(spark, sf_dir):
     rows = novelty.running_stats(read_table(spark, sf_dir, "events"), "event_id", "value", by="user_id")
-    return rows.select(F.col("event_id").alias("id"), F.round("running_mean", 6).alias("running_mean"), "running_max", "running_min")
+    return rows.select(F.col("event_id").alias("id"), F.round("running_mean", 9).alias("running_mean"), "running_max", "running_min")
 
 
 @query("""WITH s AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 7)) AS v FROM embeddings),
