@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Severities, and the four prompts with named holes.
 SEVERITIES = ["critical", "high", "medium", "low", "info"]
@@ -185,7 +186,7 @@ def ask(df: DataFrame, prompt_col: str, provider: Callable[[], Callable[[str], s
     A failed call is tried again after base * 2 ** n seconds; after the last try the
     error is kept in its row and the job goes on.
     """
-    fields = df.schema.add("answer", "string").add("error", "string")
+    fields = T.StructType([*df.schema.fields, T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
