@@ -33,6 +33,15 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def prefix(*frames: DataFrame) -> str:
+    """A beginning that no column of the frames has, for helper columns of one's own."""
+    taken = [c.lower() for df in frames for c in df.columns]
+    p = "__lw_"
+    while any(c.startswith(p) for c in taken):
+        p += "_"
+    return p
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keeps Arrow batches of long texts within a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

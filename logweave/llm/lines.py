@@ -108,23 +108,23 @@ def drop_boilerplate(
     empty; the rest of a text is as it was. Rows equal in id and text are copies of
     one document and are treated alike; ids may be null. An empty table gives an
     empty one. With ``details``, also ``n_lines`` and ``dropped`` (line numbers,
-    ascending). Other columns pass through, whatever their names.
+    ascending), in place of columns of these names. Other columns pass through, whatever their names.
     """
-    drops = boilerplate(docs, id_col, text_col).select(F.col("did").alias("__did"), F.col("drop").alias("__drop"))
-    joined = docs.withColumn("__row", _row(id_col, text_col)).join(drops, F.col("__row") == F.col("__did"), "left")
-    left = F.array_join(
-        F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.array_contains(F.col("__drop"), i)), "\n"
-    )
-    out = joined.withColumn(text_col, F.when(F.col("__drop").isNotNull(), left).otherwise(F.col(text_col)))
-    if details:
-        extra = {
-            "n_lines": F.coalesce(F.size(F.split(F.col(text_col), "\n", -1)), F.lit(0)).cast("long"),
-            "dropped": F.coalesce(F.array_join(F.transform(F.array_sort("__drop"), lambda i: i.cast("string")), ","), F.lit("")),
-        }
-        out = joined.withColumns(extra).withColumn(text_col, F.when(F.col("__drop").isNotNull(), left).otherwise(F.col(text_col)))
+    p = common.prefix(docs)
+    row, did, drop = f"{p}row", f"{p}did", f"{p}drop"
+    drops = boilerplate(docs, id_col, text_col).select(F.col("did").alias(did), F.col("drop").alias(drop))
+    joined = docs.withColumn(row, _row(id_col, text_col)).join(drops, F.col(row) == F.col(did), "left")
+    all_lines = F.split(F.col(text_col), "\n", -1)
+    left = F.array_join(F.filter(all_lines, lambda line, i: ~F.array_contains(F.col(drop), i)), "\n")
+    text = F.when(F.col(drop).isNotNull(), left).otherwise(F.col(text_col))
+    columns = {c: F.col(c) for c in docs.columns} | {text_col: text.alias(text_col)}
     if length_col and length_col in docs.columns:
-        out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
-    return out.select(*docs.columns, *(["n_lines", "dropped"] if details else []))
+        columns[length_col] = F.length(text).cast(docs.schema[length_col].dataType).alias(length_col)
+    if details:
+        columns["n_lines"] = F.coalesce(F.size(all_lines), F.lit(0)).cast("long").alias("n_lines")
+        numbers = F.array_join(F.transform(F.array_sort(drop), lambda i: i.cast("string")), ",")
+        columns["dropped"] = F.coalesce(numbers, F.lit("")).alias("dropped")
+    return joined.select(*columns.values())
 
 
 #: op4 in SQL: the templates are the strings that the hashes stand for.

@@ -88,26 +88,30 @@ def mix(
     """The mixture: the rows of ``docs``, each as often as it was drawn, in shuffled order.
 
     With ``details``, also ``copy`` (from 1) and ``place`` (in [0, 1), the order of the
-    shuffle). Rows with equal ids are drawn alike; a null id is drawn as the
+    shuffle), in place of columns of these names. Rows with equal ids are drawn alike; a null id is drawn as the
     empty string; a null source is a source of its own; other columns pass
     through untouched. An empty table gives an empty one.
     """
+    p = common.prefix(docs)
     by = rates(docs, weights, source_col, power, total).select(
-        F.col("source").alias("__source"),
-        F.col("rate").alias("__rate"),
-        _cumulative(F.col("rate") / F.greatest(F.ceil(F.col("rate") / PART), F.lit(1))).alias("__table"),
+        F.col("source").alias(f"{p}source"),
+        F.col("rate").alias(f"{p}rate"),
+        _cumulative(F.col("rate") / F.greatest(F.ceil(F.col("rate") / PART), F.lit(1))).alias(f"{p}table"),
     )
     # Written first, so that the planner knows its size before it deals out the documents' join.
     by = common.durable(by, "rates")
-    drawn = docs.join(by, F.col(source_col).eqNullSafe(F.col("__source"))).withColumn(
-        "__n", copies(F.col("__rate"), F.col("__table"), F.col(id_col), seed)
+    drawn = docs.join(by, F.col(source_col).eqNullSafe(F.col(f"{p}source"))).withColumn(
+        f"{p}n", copies(F.col(f"{p}rate"), F.col(f"{p}table"), F.col(id_col), seed)
     )
-    spread = drawn.where("__n > 0").select(
-        *docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("copy")
+    spread = drawn.where(f"{p}n > 0").select(
+        *docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{p}n"))).alias(f"{p}copy")
     )
-    placed = spread.withColumn("place", uniform(F.lit(f"{seed}-place"), F.col(id_col), F.col("copy")))
-    out = placed.repartition("place").sortWithinPartitions("place")
-    return out if details else out.select(*docs.columns)
+    placed = spread.withColumn(f"{p}place", uniform(F.lit(f"{seed}-place"), F.col(id_col), F.col(f"{p}copy")))
+    out = placed.repartition(f"{p}place").sortWithinPartitions(f"{p}place")
+    if not details:
+        return out.select(*docs.columns)
+    kept = [c for c in docs.columns if c.lower() not in ("copy", "place")]
+    return out.select(*kept, F.col(f"{p}copy").alias("copy"), F.col(f"{p}place").alias("place"))
 
 
 #: op9 in SQL.

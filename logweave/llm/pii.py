@@ -202,17 +202,18 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prec
     by the kind of its first span. Rows with equal id and text are alike, and
     null texts stay null.
     """
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    docs_columns = docs.columns
-    docs = docs.withColumn("__key", key)
-    spans = detect(docs, "__key", text_col, precision)
+    p = common.prefix(docs)
+    key, found = f"{p}key", f"{p}spans"
+    columns = docs.columns
+    docs = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col)))
+    spans = detect(docs, key, text_col, precision)
     all_spans = F.array_sort(
         F.transform(F.concat("base", "added"), lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"), s["kind"].alias("kind")))
     )
-    keyed = spans.groupBy("doc_id").agg(F.max(all_spans).alias("__spans"))
+    keyed = spans.groupBy("doc_id").agg(F.max(all_spans).alias(found))
     text = F.coalesce(F.col(text_col), F.lit(""))
     done = F.aggregate(
-        F.col("__spans"),
+        F.col(found),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(s["to"] <= acc["at"], acc).otherwise(
             F.struct(
@@ -224,8 +225,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prec
         ),
         lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)),
     )
-    joined = docs.join(keyed.withColumnRenamed("doc_id", "__key"), "__key", "left")
-    return joined.withColumn(text_col, F.when(F.size("__spans") > 0, done).otherwise(F.col(text_col))).select(*docs_columns)
+    joined = docs.join(keyed.withColumnRenamed("doc_id", key), key, "left")
+    return joined.withColumn(text_col, F.when(F.size(found) > 0, done).otherwise(F.col(text_col))).select(*columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -279,15 +279,14 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows that repeat one id, a single one stays; rows with a null id all
     stay, having no group. The columns are those of ``docs``.
     """
+    p = common.prefix(docs)
     found = near_duplicates(docs, id_col, text_col, **how)
     marks = (
         found.where("doc_id is not null")
-        .groupBy(F.col("doc_id").alias("__id"))
-        .agg((F.min("component_id") < F.first("doc_id")).alias("__gone"), F.count("*").alias("__times"))
-        .where("__gone or __times > 1")
+        .groupBy(F.col("doc_id").alias(f"{p}id"))
+        .agg((F.min("component_id") < F.first("doc_id")).alias(f"{p}gone"), F.count("*").alias(f"{p}times"))
+        .where(f"{p}gone or {p}times > 1")
     )
-    kept = docs.join(marks, docs[id_col].cast("long") == F.col("__id"), "left").where(
-        "not coalesce(__gone, false)"
-    )
-    once = kept.where("__times is null").select(*docs.columns)
-    return once.unionByName(kept.where("__times > 1").select(*docs.columns).dropDuplicates([id_col]))
+    kept = docs.join(marks, docs[id_col].cast("long") == F.col(f"{p}id"), "left").where(f"not coalesce({p}gone, false)")
+    once = kept.where(f"{p}times is null").select(*docs.columns)
+    return once.unionByName(kept.where(f"{p}times > 1").select(*docs.columns).dropDuplicates([id_col]))
