@@ -73,10 +73,15 @@ def statistic(body: Column) -> Column:
     About 6 for uniform draws; the larger, the less random. At least 20 characters are
     expected; the whole string is used.
     """
-    n, k = F.length(body).cast("double"), encoding_size(body).cast("double")
-    codes = F.transform(F.split(body, ""), lambda c: F.ascii(c))
-    codes = F.filter(codes, lambda c: c > 0)
-    classes = F.transform(codes, lambda c: F.when(c < 58, 0).when(c < 95, 1).otherwise(2))
+    codes = F.filter(F.transform(F.split(body, ""), lambda c: F.ascii(c)), lambda c: c > 0)
+    # Values are bound by a transform of one element, so that none is worked out anew for each character.
+    whole = F.struct(codes.alias("c"), encoding_size(body).cast("double").alias("k"))
+    return F.transform(F.array(whole), _battery)[0]
+
+
+def _battery(x: Column) -> Column:
+    codes, k = x["c"], x["k"]
+    n = F.size(codes).cast("double")
     squares = F.aggregate(
         F.array_distinct(codes),
         F.lit(0.0),
@@ -84,27 +89,27 @@ def statistic(body: Column) -> Column:
     )
     chi = k / n * squares - n
     p_chi = _upper_tail((chi - (k - 1)) / F.sqrt(2 * (k - 1)))
-    share = F.aggregate(
-        F.array(F.lit(0), F.lit(1), F.lit(2)),
-        F.lit(0.0),
-        lambda acc, d: acc + F.pow(_class_share(k, d), 2.0),
-    )
-    heads, tails = F.slice(classes, F.lit(1), F.size(classes) - 1), F.slice(classes, F.lit(2), F.size(classes) - 1)
-    changes = F.size(F.filter(F.zip_with(heads, tails, lambda a, b: a != b), lambda x: x)).cast("double")
-    q = 1 - share
-    p_runs = _upper_tail(((n - 1) * q - changes) / F.sqrt((n - 1) * q * (1 - q)))
-    mean = F.aggregate(codes, F.lit(0.0), lambda a, c: a + c) / n
-    spread = F.aggregate(codes, F.lit(0.0), lambda a, c: a + F.pow(c - mean, 2.0))
-    lagged = F.aggregate(
-        F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: (a - mean) * (b - mean)),
-        F.lit(0.0),
-        lambda a, x: a + x,
-    )
-    serial = F.when(spread > 0, lagged / spread).otherwise(1.0)
+    q = 1 - sum(F.pow(_class_share(k, F.lit(d)), 2.0) for d in range(3))
+    heads, tails = F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1)
+    pairs = F.zip_with(heads, tails, lambda a, b: F.struct((_class(a) != _class(b)).cast("int").alias("change"), (a * b).cast("double").alias("product")))
+    zero = F.lit(0.0)
+    sums = F.aggregate(pairs, F.struct(zero.alias("changes"), zero.alias("products")), lambda a, p: F.struct((a["changes"] + p["change"]).alias("changes"), (a["products"] + p["product"]).alias("products")))
+    moments = F.aggregate(codes, F.struct(zero.alias("s"), zero.alias("ss")), lambda a, c: F.struct((a["s"] + c).alias("s"), (a["ss"] + c * c).alias("ss")))
+    p_runs = _upper_tail(((n - 1) * q - sums["changes"]) / F.sqrt((n - 1) * q * (1 - q)))
+    mean = moments["s"] / n
+    spread = moments["ss"] - moments["s"] * mean
+    ends = F.element_at(codes, 1) + F.element_at(codes, -1)
+    lagged = sums["products"] - mean * (2 * moments["s"] - ends) + (n - 1) * mean * mean
+    serial = F.when(spread > 1e-9, lagged / spread).otherwise(1.0)
     p_serial = F.least(2 * _upper_tail(F.abs(serial + 1 / n) * F.sqrt(n)), F.lit(1.0))
     return -2 * (F.log(p_chi) + F.log(p_runs) + F.log(p_serial))
 
 
+def _class(code: Column) -> Column:
+    """0 for digits and signs, 1 for capitals, 2 for small letters."""
+    return F.when(code < 58, 0).when(code < 95, 1).otherwise(2)
+
+
 def _class_share(k: Column, d: Column) -> Column:
     """The expected share of digits, upper and lower case (0, 1, 2) in an alphabet of k."""
     digits = F.when(k == 16, 10 / 16).when(k == 32, 6 / 32).when(k == 36, 10 / 36).when(k == 62, 10 / 62).otherwise(12 / 64)
