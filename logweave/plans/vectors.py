@@ -123,13 +123,13 @@ def novelty_running_stats(spark, sf_dir):
 
 @query("""WITH s AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 7)) AS v FROM embeddings),
 n AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM s)
-SELECT id, round(norm, 4) AS norm, round(list_sum(v) / len(v), 4) AS mean, round(v[1] / norm, 4) AS first, round(list_sum(list_transform(v, lambda x: x / norm * x)), 4) AS along FROM n""")
+SELECT id, round(norm, 4) AS norm, round(list_sum(v) / len(v), 4) + 0 AS mean, round(v[1] / norm, 4) + 0 AS first, round(list_sum(list_transform(v, lambda x: x / norm * x)), 4) AS along FROM n""")
 def vector_functions(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
     v = F.col("v")
     rows = e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") % 7)).alias("v"))
     return rows.select(
-        "id", F.round(V.norm(v), 4).alias("norm"), F.round(V.mean(v), 4).alias("mean"), F.round(V.normalized(v)[0], 4).alias("first"),
+        "id", F.round(V.norm(v), 4).alias("norm"), (F.round(V.mean(v), 4) + 0.0).alias("mean"), (F.round(V.normalized(v)[0], 4) + 0.0).alias("first"),
         F.round(V.dot(V.normalized(v), v), 4).alias("along"),
     )
 
