@@ -52,3 +52,12 @@ def parse_changelog(files: DataFrame, path_col: str = "path", text_col: str = "t
         "path", "pos", F.col("r.name").alias("release"), F.col("r.date").alias("date"), F.col("r.yanked").alias("yanked"),
         F.col("s.name").alias("section"), F.trim(F.substring("line", 3, 2**31 - 1)).alias("entry"),
     )
+
+
+def parse_git_log(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """(sha, author, entry_type, scope, breaking, description, refs) of ``%H|%s|%an`` lines whose subject has a type."""
+    parts = F.split(F.col(line_col), r"\|")
+    rows = lines.where(F.size(parts) >= 3).select(
+        parts[0].alias("sha"), F.element_at(parts, -1).alias("author"), F.array_join(F.slice(parts, F.lit(2), F.size(parts) - 2), "|").alias("subject")
+    )
+    return rows.withColumn("c", parse_commit(F.col("subject"))).where("c is not null").select("sha", "author", "c.*")

@@ -199,3 +199,35 @@ def throughput(items: Column, nbytes: Column, seconds: Column) -> Column:
     """A struct of rates; all 0 where the duration isn't positive."""
     rate = lambda x: F.when(seconds > 0, x / seconds).otherwise(0.0)
     return F.struct(rate(items).alias("items_per_second"), rate(nbytes).alias("bytes_per_second"), rate(nbytes / 1048576).alias("mb_per_second"))
+
+
+def sweep(parameter: str, values: list, baseline) -> list[dict]:
+    """Configurations of a parameter sweep, the baseline first; each is named by its value."""
+    named = [{"config": f"{parameter}={baseline} (baseline)", parameter: baseline}]
+    return named + [{"config": f"{parameter}={v}", parameter: v} for v in values if v != baseline]
+
+
+def run_ablation(data: DataFrame, configs: list[dict], measure, n_runs: int = 3, seed: int = 42) -> DataFrame:
+    """(config, run, quality): ``measure(data, config, seed)`` is a one-row frame with ``quality``; every run is a plan, all run as one job."""
+    out = None
+    for c in configs:
+        for run in range(n_runs):
+            one = measure(data, c, seed + run).select(F.lit(c["config"]).alias("config"), F.lit(run).alias("run"), F.col("quality").cast("double").alias("quality"))
+            out = one if out is None else out.unionAll(one)
+    return out
+
+
+def session_order(pairs: DataFrame, session: str, pair_id: str = "pair_id", seed: int = 42) -> DataFrame:
+    """Adds position (from 1): the order in which a session shows its pairs, by keyed hash."""
+    w = Window.partitionBy(F.lit(session)).orderBy(F.xxhash64(F.lit(f"{session}-{seed}"), F.col(pair_id)), pair_id)
+    return pairs.withColumn("position", F.row_number().over(w))
+
+
+def session_progress(pairs: DataFrame, labels: DataFrame, pair_id: str = "pair_id") -> DataFrame:
+    """(total, labelled, skipped, remaining, percent): one row."""
+    j = pairs.select(pair_id).join(labels.select(pair_id, "label"), pair_id, "left")
+    total, done = F.count("*"), F.count("label")
+    return j.agg(
+        total.alias("total"), done.alias("labelled"), F.count_if(F.col("label") == "skip").alias("skipped"), (total - done).alias("remaining"),
+        F.round(100 * done / total, 2).alias("percent"),
+    )

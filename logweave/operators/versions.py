@@ -65,3 +65,40 @@ def migration_path(edges: DataFrame, start: str, goal: str, limit: int = 32) ->
             return spark.createDataFrame([(hops, hit[0]["path"])], "hops int, path array<string>")
         seen = seen.unionAll(front.select("at"))
     return spark.createDataFrame([], "hops int, path array<string>")
+
+
+class Migrator:
+    """Applies a chain of migrations to a data folder, undoing what was done if one fails.
+
+    A migration has up(path), down(path) and validate(path); they are plain code on the driver.
+    """
+
+    def __init__(self, edges: DataFrame, migrations: dict):
+        self.edges, self.migrations = edges, migrations
+
+    def plan(self, start: str, goal: str) -> list[str]:
+        found = migration_path(self.edges, start, goal).first()
+        if found is None:
+            raise ValueError(f"no migrations from {start} to {goal}")
+        return list(found["path"])
+
+    def migrate(self, path: str, start: str, goal: str, dry_run: bool = False) -> list[str]:
+        """The ids of the migrations applied, or to be applied."""
+        ids = self.plan(start, goal)
+        if dry_run:
+            return ids
+        done: list[str] = []
+        try:
+            for i in ids:
+                self.migrations[i].up(path)
+                done.append(i)
+                if not self.migrations[i].validate(path):
+                    raise ValueError(f"migration {i} left the data invalid")
+        except Exception:
+            self.rollback(path, done)
+            raise
+        return done
+
+    def rollback(self, path: str, done: list[str]) -> None:
+        for i in reversed(done):
+            self.migrations[i].down(path)

@@ -62,6 +62,23 @@ class Snapshots:
         return self.spark.read.parquet(f"{self.root}/data/{name}")
 
 
+def export_bundle(df: DataFrame, path: str) -> None:
+    """A table and the manifest of its files in one folder, to be carried elsewhere."""
+    df.write.parquet(f"{path}/data")
+    files = manifest_of(df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{path}/data"))
+    files.select(F.regexp_extract("path", r"[^/]+$", 0).alias("path"), "size", "checksum").coalesce(1).write.json(f"{path}/manifest")
+
+
+def import_bundle(spark: SparkSession, path: str) -> DataFrame:
+    """The table of a bundle, after every file was held against the manifest."""
+    want = spark.read.schema("path string, size long, checksum string").json(f"{path}/manifest")
+    got = manifest_of(spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{path}/data"))
+    bad = verify_manifest(want, got.select(F.regexp_extract("path", r"[^/]+$", 0).alias("path"), "checksum")).limit(3).collect()
+    if bad:
+        raise ValueError(f"the bundle is damaged: {[(r['path'], r['problem']) for r in bad]}")
+    return spark.read.parquet(f"{path}/data")
+
+
 def notify(events: DataFrame, send: Callable[[dict], None], attempts: int = 3, base: float = 1.0) -> DataFrame:
     """(event_id, status, attempts, error): sends each event from the executors, with doubling waits between tries."""
     from collections.abc import Iterator

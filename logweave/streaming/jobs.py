@@ -60,6 +60,29 @@ def watch_and_route(
     return micro_batches(targets, lambda batch, _: send(batch), checkpoint, seconds)
 
 
+def embedded(stream: DataFrame, provider, text_col: str = "message") -> DataFrame:
+    """A stream with an embedding of each row's text: a provider in each task, texts in Arrow batches."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    fields = T.StructType([*stream.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        embed = provider()
+        for b in batches:
+            yield b.assign(embedding=list(embed(b[text_col].fillna("").tolist())))
+
+    return stream.mapInPandas(run, fields)
+
+
+def limited(stream: DataFrame, most: int, window: str = "1 minute", ts_col: str = "ts", by: str = "target") -> DataFrame:
+    """(window start, by, sent, held back): counts against a limit for each notifier and window of event time."""
+    counts = stream.withWatermark(ts_col, window).groupBy(F.window(ts_col, window).alias("w"), by).agg(F.count("*").alias("n"))
+    return counts.select(F.col("w.start").alias("start"), by, F.least("n", F.lit(most)).alias("sent"), F.greatest(F.col("n") - most, F.lit(0)).alias("held_back"))
+
+
 def status(query: StreamingQuery) -> dict:
     """Counts and state of a running query, from its last progress."""
     last = query.lastProgress or {}
