@@ -280,13 +280,17 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay, having no group. The columns are those of ``docs``.
     """
     p = common.prefix(docs)
-    found = near_duplicates(docs, id_col, text_col, **how)
-    marks = (
-        found.where("doc_id is not null")
-        .groupBy(F.col("doc_id").alias(f"{p}id"))
-        .agg((F.min("component_id") < F.first("doc_id")).alias(f"{p}gone"), F.count("*").alias(f"{p}times"))
-        .where(f"{p}gone or {p}times > 1")
+    found = near_duplicates(docs, id_col, text_col, **how).where("doc_id is not null")
+    marks = found.groupBy(F.col("doc_id").alias(f"{p}id")).agg(
+        (F.min("component_id") < F.first("doc_id")).alias(f"{p}gone"), F.count("*").alias(f"{p}times")
     )
-    kept = docs.join(marks, docs[id_col].cast("long") == F.col(f"{p}id"), "left").where(f"not coalesce({p}gone, false)")
-    once = kept.where(f"{p}times is null").select(*docs.columns)
-    return once.unionByName(kept.where(f"{p}times > 1").select(*docs.columns).dropDuplicates([id_col]))
+    # Written first: the planner knows its size, and texts are dealt out at most once.
+    marks = common.durable(marks.where(f"{p}gone or {p}times > 1"), "marks")
+    same = docs[id_col].cast("long") == F.col(f"{p}id")
+    kept = docs.join(marks.where(f"{p}gone").select(f"{p}id"), same, "left_anti")
+    again = marks.where(f"not {p}gone").select(f"{p}id")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, kept[id_col].cast("long") == F.col(f"{p}id"), "left_anti")
+    repeated = kept.join(again, kept[id_col].cast("long") == F.col(f"{p}id"), "left_semi")
+    return once.unionByName(repeated.dropDuplicates([id_col]))
