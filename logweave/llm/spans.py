@@ -18,6 +18,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Matches whose places are summed up together.
+CHUNK = 256
+
 SPAN = "struct<kind:string,from:int,to:int,body:string,left:string,right:string>"
 
 
@@ -51,11 +54,13 @@ def with_matches(df: DataFrame, text: str, rules: list[Rule], context: int = 0)
             F.size(f"__gaps_{r.kind}") > 1, F.regexp_extract_all(F.col(text), F.lit(r.pattern), F.lit(0))
         )
     df = df.withColumns(gaps).withColumns(found)
-    out = df.withColumns({r.kind: _placed(r.kind, context) for r in rules})
-    return out.drop(*gaps, *found)
+    pairs = {f"__pairs_{r.kind}": _pairs(r.kind, context) for r in rules}
+    out = df.withColumns(pairs).withColumns({r.kind: _placed(r.kind) for r in rules})
+    return out.drop(*gaps, *found, *pairs)
 
 
-def _placed(kind: str, context: int) -> Column:
+def _pairs(kind: str, context: int) -> Column:
+    """Each match with the length of the gap ahead of it and its context."""
     gaps, bodies = F.col(f"__gaps_{kind}"), F.col(f"__found_{kind}")
     pairs = F.zip_with(
         F.zip_with(
@@ -68,7 +73,43 @@ def _placed(kind: str, context: int) -> Column:
         bodies,
         lambda gap, body: F.struct(gap["ahead"].alias("ahead"), gap["left"].alias("left"), gap["right"].alias("right"), body.alias("body")),
     )
+    return F.when(F.size(bodies) > 0, pairs)
+
+
+def _placed(kind: str) -> Column:
+    bodies, pairs = F.col(f"__found_{kind}"), F.col(f"__pairs_{kind}")
+    # Running sums within chunks, then over chunks: appending one by one to a list of all matches
+    # would copy it each time.
+    chunks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(bodies) - 1) / CHUNK).cast("int")),
+        lambda i: F.aggregate(F.slice(pairs, i * CHUNK + 1, F.lit(CHUNK)), _start(), _append(kind)),
+    )
+    whole = F.aggregate(
+        chunks,
+        _start(),
+        lambda acc, c: F.struct(
+            (acc["at"] + c["at"]).alias("at"),
+            F.concat(
+                acc["found"],
+                F.transform(
+                    c["found"],
+                    lambda s: F.struct(
+                        s["kind"].alias("kind"), (acc["at"] + s["from"]).alias("from"), (acc["at"] + s["to"]).alias("to"),
+                        s["body"].alias("body"), s["left"].alias("left"), s["right"].alias("right"),
+                    ),
+                ),
+            ).alias("found"),
+        ),
+        lambda acc: acc["found"],
+    )
+    return F.when(F.size(bodies) > 0, whole).otherwise(no_spans())
+
+
+def _start() -> Column:
+    return F.struct(F.lit(0).alias("at"), no_spans().alias("found"))
+
 
+def _append(kind: str):
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + p["ahead"]
         end = start + F.length(p["body"])
@@ -78,10 +119,7 @@ def _placed(kind: str, context: int) -> Column:
         )
         return F.struct(end.alias("at"), F.concat(acc["found"], F.array(span)).alias("found"))
 
-    return F.when(
-        F.size(bodies) > 0,
-        F.aggregate(pairs, F.struct(F.lit(0).alias("at"), no_spans().alias("found")), step, lambda acc: acc["found"]),
-    ).otherwise(no_spans())
+    return step
 
 
 def listed(spans: Column, kinds: list[str], by: tuple[str, ...]) -> Column:
