@@ -48,7 +48,7 @@ class Encoder:
     proto: bytes
     dropout: float = 0.1
     seed: int = 0
-    keep: int = 1_000_000
+    keep: int = 400_000
     ids: dict = field(default_factory=dict, repr=False)
     known: dict = field(default_factory=dict, repr=False)
 
