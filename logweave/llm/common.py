@@ -22,15 +22,42 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Tables written by this process that weren't released yet.
+_written: list[str] = []
+
+
+def written(df: DataFrame, label: str) -> str:
+    """Writes ``df`` to the shared folder; its path."""
+    path = f"{shared_folder(df.sparkSession)}/logweave/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
+    return path
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
     This cuts the lineage with a copy every executor can reread, so a lost
     executor costs its running tasks only.
     """
-    path = f"{shared_folder(df.sparkSession)}/logweave/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, label))
+
+
+def unreleased() -> list[str]:
+    return list(_written)
+
+
+def release(spark: SparkSession, *but: str) -> None:
+    """Deletes the tables that ``durable`` has written, except the named paths.
+
+    For when nothing lazy depends on them any more: frames that operators have
+    returned do until they are written themselves.
+    """
+    jvm = spark.sparkContext._jvm
+    for path in [p for p in _written if p not in but]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(path)
 
 
 def prefix(*frames: DataFrame) -> str:

@@ -47,4 +47,9 @@ def test_stages(spark, sf_dir):
 
 
 def test_run(spark, sf_dir):
+    before = common.unreleased()
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    left = set(common.unreleased()) - set(before)
+    assert len(left) == 1 and set(before) <= set(common.unreleased())
+    common.release(spark, *before)
+    assert common.unreleased() == before
