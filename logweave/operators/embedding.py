@@ -127,7 +127,7 @@ class VectorStore:
 class InvertedLists:
     """An approximate index: k-means cells on a bounded sample, every row in its cell, the nearest cells probed.
 
-    Stands for the reference index types IVF and IVFFlat, and for HNSW as the approximate choice.
+    Serves the index types IVF and IVFFlat, and HNSW as the approximate choice.
     """
 
     def __init__(self, lists: int = 100, probes: int = 10, sample: int = 50_000, seed: int = 42):

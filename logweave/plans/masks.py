@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.masking import MASKS, Masker, MaskingRule
-from ..session import read_table
+from ..session import read_table, spread
 from .lines import LINES_SQL, log_lines
 from .registry import query
 
@@ -32,7 +32,7 @@ SELECT pattern, count(*) AS n, min(doc_id) AS first_id
 FROM (SELECT doc_id, {chain_sql('text', NO_HEX)} AS pattern FROM documents)
 GROUP BY pattern ORDER BY n DESC, first_id LIMIT 20""")
 def top_patterns(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     masked = docs.select("doc_id", Masker().disable("hex_token").normalize(F.col("text")).alias("pattern"))
     return (
         masked.groupBy("pattern").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
@@ -42,7 +42,7 @@ def top_patterns(spark, sf_dir):
 
 @query(f"SELECT doc_id, {chain_sql('text', NO_HEX)} AS normalized FROM documents")
 def normalize_no_hex(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", Masker().disable("hex_token").normalize(F.col("text")).alias("normalized"))
 
 

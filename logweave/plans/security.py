@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import redaction
 from ..functions.redaction import LEVELS, PATTERNS, CustomPattern, Privacy, Redactor
 from ..operators import detection
-from ..session import read_table
+from ..session import read_table, spread
 from .lines import LINES_SQL, log_lines
 from .registry import query
 
@@ -53,7 +53,7 @@ for _level in ("none", "minimal", "standard", "strict", "paranoid"):
 
 @query(f"SELECT doc_id, {redact_sql('text', 'standard')} AS redacted FROM documents")
 def redact_documents(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", Redactor("standard").redact(F.col("text")).alias("redacted"))
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", Redactor("standard").redact(F.col("text")).alias("redacted"))
 
 
 @query(f"WITH {PII_SQL} SELECT id, {redact_sql('text', 'minimal', (('custom', '555-[0-9]+'),))} AS redacted FROM pii")

@@ -25,3 +25,13 @@ def build_session(app_name: str = "logweave", master: str | None = None, **conf:
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     """One of the parquet tables under ``sf_dir``; any path Spark can open will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df):
+    """Deals the rows of a few files out to all cores, ahead of work that is heavy for each row.
+
+    A table of at least as many files as there are cores is left as it is, so at
+    scale nothing is shuffled. Select the columns that are needed first.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
