@@ -112,3 +112,14 @@ def test_notify(spark):
 
     got = {r["event_id"]: (r["status"], r["attempts"]) for r in sinks.notify(spark.createDataFrame([("1",), ("2",)], "event_id string"), send, 2, 0.0).collect()}
     assert got == {"1": ("sent", 1), "2": ("failed", 2)}
+
+
+def test_spread(spark, tmp_path):
+    from logweave.session import spread
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(100).repartition(12).write.parquet(str(tmp_path / "many"))
+    one, many = spark.read.parquet(str(tmp_path / "one")), spark.read.parquet(str(tmp_path / "many"))
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert "Repartition" in plan(spread(one)) and "Repartition" not in plan(spread(many))
+    assert spread(one).count() == 100
