@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; if it has fewer files than there are cores, its rows are dealt out to all of them.
+
+    That is for small tables of one file. Larger ones are read as they lie.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
 def shared_folder(spark: SparkSession) -> str:
