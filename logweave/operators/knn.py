@@ -8,6 +8,7 @@ blocks. Results of units meet in a ranked window or a grouped sum.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -51,9 +52,18 @@ def packed(rows: DataFrame, id_col: str, vector_col: str, size: int = BLOCK, tag
     return out.select(*[F.col(c).alias(prefix + c) for c in out.columns])
 
 
-def by_blocks(queries: DataFrame, reference: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """Runs ``work(q_ids, q_tags, q, ids, tags, block)`` on every pair of packed blocks of one length."""
-    pairs = reference.join(queries, F.col("dim") == F.col("q_dim"))
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` in so few partitions that their pairs are a few for each core."""
+    return rows.repartition(math.isqrt(4 * rows.sparkSession.sparkContext.defaultParallelism) + 1)
+
+
+def by_blocks(queries: DataFrame, reference: DataFrame, work: Callable, schema: str, crossed: bool = False) -> DataFrame:
+    """Runs ``work(q_ids, q_tags, q, ids, tags, block)`` on every pair of packed blocks of one length.
+
+    ``crossed`` meets partition by partition instead of by the length, which often is a single one; for sides that are ``dealt``.
+    """
+    same = (F.col("dim") <= F.col("q_dim")) & (F.col("dim") >= F.col("q_dim")) if crossed else F.col("dim") == F.col("q_dim")
+    pairs = reference.join(queries, same)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -73,7 +83,7 @@ def squared_distances(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def nearest(
     queries: DataFrame, reference: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding",
-    exclude_self: bool = False, block: int = BLOCK,
+    exclude_self: bool = False, block: int = BLOCK, crossed: bool = False,
 ) -> DataFrame:
     """(query_id, rank, ref_id, d2): the ``k`` nearest reference rows of each query.
 
@@ -96,12 +106,28 @@ def nearest(
 
     found = by_blocks(
         packed(queries, id_col, vector_col, min(block, 1024), prefix="q_"), packed(reference, id_col, vector_col, block), work,
-        "query_id long, ref_id long, d2 double",
+        "query_id long, ref_id long, d2 double", crossed,
     )
     order = Window.partitionBy("query_id").orderBy("d2", "ref_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "ref_id", "d2")
 
 
+def counted(near: DataFrame, times: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+    """(query_id, d2, n): ``nearest`` of distinct vectors, each standing for as many rows as ``times`` (id, times) says, cut at ``k`` rows.
+
+    ``n`` is how many of the ``k`` lie at ``d2``. With ``exclude_self``, one row of the query's own vector is no neighbour;
+    ``near`` then has a rank more.
+    """
+    t = times.select(F.col("id").alias("ref_id"), F.col("times"))
+    if exclude_self:
+        n = F.col("times") - (F.col("query_id") == F.col("ref_id")).cast("long")
+    else:
+        n = F.col("times")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = near.join(t, "ref_id").withColumn("n", n).withColumn("n", F.least(F.col("n"), F.lit(k) - before))
+    return rows.where("n > 0").select("query_id", "d2", "n")
+
+
 def search(
     vectors: DataFrame, query: list[float], k: int = 10, min_similarity: float | None = None,
     id_col: str = "vec_id", vector_col: str = "embedding",

@@ -35,3 +35,8 @@ def spread(df):
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
+def held(df):
+    """``df`` computed now, its plan cut: in the folder of ``spark.checkpoint.dir``, or on the executors where none is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()

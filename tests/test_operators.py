@@ -93,6 +93,21 @@ def test_hdbscan_sampled(spark, blobs):
     assert len(got) == len(big) and len({v for v in got.values() if v >= 0}) >= 2
 
 
+def test_hdbscan_by_blocks_is_whole(spark, blobs):
+    x, _ = blobs
+    far = np.full((6, x.shape[1]), 40.0) + np.arange(6)[:, None] * 0.01
+    big = np.vstack([x, far, x[:9], x[:9], np.repeat(x[3:4], 7, axis=0)])
+    want = hdbscan.fit_predict(big, 5, 3)
+    got = {r["id"]: r["label"] for r in hdbscan.cluster(_vectors(spark, big), most=50).collect()}
+    assert len(got) == len(big)
+    pairs = {(int(w), got[i]) for i, w in enumerate(want)}
+    # One label of one is one label of the other, and noise is noise.
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    assert all((a == -1) == (b == -1) for a, b in pairs)
+    small = {got[i] for i in range(len(x), len(x) + 6)}
+    assert len(small) == 1 and small != {-1}
+
+
 def test_agreement(spark):
     rng = random.Random(1)
     pairs = [(rng.choice("ab"), rng.choice("abc")) for _ in range(200)]
