@@ -30,9 +30,23 @@ class Baseline:
     density: bool
 
 
-def neighbour_means(queries: DataFrame, reference: DataFrame, k: int, exclude_self: bool, **names) -> DataFrame:
-    """(id, mean_distance): the mean Euclidean distance to the k nearest rows; 0 without neighbours."""
+def neighbour_means(queries: DataFrame, reference: DataFrame, k: int, exclude_self: bool, distinct: bool = False, **names) -> DataFrame:
+    """(id, mean_distance): the mean Euclidean distance to the k nearest rows; 0 without neighbours.
+
+    ``distinct`` gives the same with the work of the distinct vectors only, for tables where many are equal; ids are unique then.
+    """
     id_col = names.get("id_col", "vec_id")
+    if distinct:
+        vector_col = names.get("vector_col", "embedding")
+        q, r = (
+            df.where(F.col(id_col).isNotNull() & (F.size(vector_col) > 0)).groupBy(F.col(vector_col).cast("array<double>").alias("v"))
+            .agg(F.min(F.col(id_col).cast("long")).alias("id"), F.count("*").alias("times")) for df in (queries, reference)
+        )
+        near = knn.nearest(knn.dealt(q), knn.dealt(r), k + exclude_self, "id", "v", crossed=True)
+        means = knn.counted(near, r.select("id", "times"), k, exclude_self).groupBy("query_id").agg((F.sum(F.col("n") * F.sqrt("d2")) / F.sum("n")).alias("mean_distance"))
+        of = q.join(means, q["id"] == means["query_id"]).select("v", "mean_distance")
+        ids = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("u"))
+        return ids.join(of, F.col("u") == F.col("v"), "left").select("id", F.coalesce("mean_distance", F.lit(0.0)).alias("mean_distance"))
     near = knn.nearest(queries, reference, k, exclude_self=exclude_self, **names)
     means = near.groupBy("query_id").agg(F.avg(F.sqrt("d2")).alias("mean_distance"))
     ids = queries.select(F.col(id_col).cast("long").alias("id"))

@@ -49,5 +49,5 @@ class Analysis:
         """(id, score, is_novel, explanation); without a reference the batch is measured against itself."""
         n = self.settings.novelty
         base = records if reference is None else reference
-        fitted = novelty.fit(base, n.k, n.use_density)
-        return novelty.detect(novelty.score(records, base, fitted), n.threshold)
+        fitted = novelty.fit(base, n.k, n.use_density, distinct=True)
+        return novelty.detect(novelty.score(records, base, fitted, distinct=True), n.threshold)

@@ -9,17 +9,18 @@ from ..config import Settings
 from ..operators import changelog, evaluation, report
 from ..operators.embedding import mock_provider
 from ..operators.service import Analysis
-from ..session import read_table
+from ..session import read_table, spread
 from .lines import LINES_SQL, log_lines
 from .registry import query
 from .vectors import vecs
 
 
 def _analysis(spark, sf_dir):
-    rows = log_lines(spark, sf_dir).where("id % 16 < 8").select(F.col("id").cast("string").alias("id"), F.col("line").alias("raw"), "source")
+    rows = log_lines(spark, sf_dir).select(F.col("id").cast("string").alias("id"), F.col("line").alias("raw"), "source")
     settings = Settings.from_dict({"clustering": {"min_cluster_size": 5}, "novelty": {"k": 5}})
     run = Analysis(settings, mock_provider(16))
-    return run, run.embedded(rows.limit(400))
+    # Held, else printing, parsing and masking are folded into one expression of enormous size.
+    return run, run.embedded(spread(rows).persist())
 
 
 @query()

@@ -2,13 +2,16 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from logweave.config import Settings
-from logweave.operators import evaluation, report, versions
+from logweave.operators import evaluation, hdbscan, report, versions
 from logweave.operators.embedding import VectorStore, mock_provider
 from logweave.operators.service import Analysis
+from logweave.plans import catalog
+from logweave.plans.lines import log_lines
 from logweave.sources import sinks
 from logweave.streaming import jobs
 
@@ -108,3 +111,21 @@ def test_sweep_and_session(spark):
     pairs = spark.createDataFrame([(str(i),) for i in range(30)], "pair_id string")
     a, b = (evaluation.session_order(pairs, s).orderBy("position").collect() for s in ("s1", "s2"))
     assert [r["position"] for r in a] == list(range(1, 31)) and [r["pair_id"] for r in a] != [r["pair_id"] for r in b]
+
+
+def test_ingest_queries_use_every_line(spark, sf_dir):
+    rows = log_lines(spark, sf_dir).select(F.col("id").cast("string").alias("id"), F.col("line").alias("raw"), "source")
+    held = Analysis(Settings(), mock_provider(16)).embedded(rows).select("vec_id", "id", "embedding").toPandas().sort_values("vec_id")
+    assert len(held) == rows.count() == 1000
+    x = np.stack(held["embedding"].to_numpy()).astype(float)
+    labels = hdbscan.fit_predict(x, 5, 3)
+    sizes = sorted(np.bincount(labels[labels >= 0]).tolist())
+    assert sorted(r["size"] for r in catalog.QUERIES["ingest_and_cluster"](spark, sf_dir).collect()) == sizes
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    own = np.sort(d, axis=1)[:, :5].mean(1)
+    np.fill_diagonal(d, np.inf)
+    dense = 1 / (np.sort(d, axis=1)[:, :5].mean(1) + 1e-10)
+    z = np.clip((1 / (own + 1e-10) - dense.mean()) / dense.std(), -700, 700)
+    want = dict(zip(held["vec_id"], 1 / (1 + np.exp(z))))
+    got = {r["id"]: r["score"] for r in catalog.QUERIES["ingest_and_detect"](spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-4 for i in want)
