@@ -1,18 +1,26 @@
 """Line de-duplication by a log-template tree.
 
 A line is parsed by a tree of fixed depth: its token count, then its leading
-tokens, then a template. Tokens that hold a digit are variable fields. Below the
-leading tokens the rest of a longer line falls into thirds, and a template may
-also leave one third open, whichever it is: so lines that differ in one field
-of words still meet. A template is a hash of what it fixes; a line belongs to
-its exact template and, from ``WIDE`` tokens on, to three open ones.
+tokens, then a template. Case is folded and tokens that hold a digit are
+variable fields. Below the leading tokens the rest of a longer line falls into
+thirds, and a template may also leave one third open, whichever it is: so lines
+that differ in one field of words still meet. A template is a hash of what it
+fixes; a line belongs to its exact template and, from ``WIDE`` tokens on, to
+three open ones. The hashes have 64 bits and are not compared further: among n
+templates a given line meets a stranger's with probability n / 2**64.
 
 What is dropped: lines of templates that recur across documents which are not
-copies of one another. A document most of whose tokens stand in recurring lines
-is copy-like; near-duplicate removal is for those, and they are no witnesses
-against a line. A template is boilerplate if enough other documents hold it:
-``FEW`` for lines of at least ``LONG`` tokens, ``MANY`` for shorter ones. Its
-lines are dropped wherever they stand.
+copies of one another. Copies are told by their words: a line is first held by
+the document with the smallest key (a hash of id and text) that has it, and a
+document is a copy of another that first holds at least ``PART`` of its tokens if
+``COPY`` of both texts' three-word shingles together are common to both. Shingles are
+sampled by the sizes of their words, one in ``RATE`` of them. Each group of copies
+(a connected component) is one witness for its lines, so a group of any size
+leaves its own text alone, while a notice goes even if it is most of every text
+that has it. A template is boilerplate if enough witnesses hold it:
+``FEW`` for lines of at least ``LONG`` tokens, ``MANY`` for those of at least
+``SHORT``, else ``MOST``. Its lines are dropped wherever they stand. Lines
+without a token stay.
 """
 
 from __future__ import annotations
@@ -23,10 +31,12 @@ from pyspark.sql import functions as F
 from . import common
 
 LEADING = 2
-LEAST = 3
 WIDE = 12
-LONG = 8
-FEW, MANY = 2, 3
+LONG, SHORT = 8, 3
+FEW, MANY, MOST = 2, 3, 10
+PART, COPY = 0.1, 0.6
+RATE = 4
+
 
 def _templates(t: Column) -> Column:
     """The templates of a line from its tokens, as hashes."""
@@ -43,8 +53,8 @@ def _templates(t: Column) -> Column:
 
 
 def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(did, total, lines): a row's key, its tokens, and its lines of at least ``LEAST`` tokens."""
-    text = F.col(text_col)
+    """(did, total, lines, sample): a row's key, its tokens, its lines that have tokens, and its sampled shingles."""
+    text = F.lower(F.col(text_col))
     # Texts without a digit have no variable fields to mask.
     masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "<*>")).otherwise(text)
     tokens = F.transform(F.split(masked, "\n", -1), lambda line: F.regexp_extract_all(line, F.lit(r"(\S+)"), F.lit(1)))
@@ -52,23 +62,53 @@ def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     lines = F.filter(
         F.transform(
             F.col("tokens"),
-            lambda t, i: F.struct(
-                i.alias("pos"), F.size(t).alias("n"),
-                F.when(F.size(t) >= LEAST, _templates(t)).alias("keys"),
-            ),
+            lambda t, i: F.struct(i.alias("pos"), F.size(t).alias("n"), F.when(F.size(t) > 0, _templates(t)).alias("keys")),
         ),
-        lambda line: line["n"] >= LEAST,
-    )
-    total = F.aggregate(F.col("tokens"), F.lit(0).cast("long"), lambda a, t: a + F.size(t))
-    return df.select("did", total.alias("total"), lines.alias("lines"))
+        lambda line: line["n"] > 0,
+    )
+    flat = F.flatten("tokens")
+    df = df.select("did", lines.alias("lines"), flat.alias("flat"))
+    return df.select("did", F.size("flat").cast("long").alias("total"), "lines", _sampled(F.col("flat")).alias("sample"))
+
+
+def _sampled(t: Column) -> Column:
+    """Hashes of sampled three-word shingles, and of the first token pair, so that no text with tokens has none."""
+    size = lambda i: F.octet_length(F.get(t, i))
+    starts = F.when(F.size(t) >= 3, F.sequence(F.lit(0), F.size(t) - 3)).otherwise(F.expr("cast(array() as array<int>)"))
+    chosen = F.filter(starts, lambda i: (5 * size(i) + 3 * size(i + 1) + size(i + 2)) % RATE == 0)
+    hashes = F.transform(chosen, lambda i: F.hash(F.slice(t, i + 1, F.lit(3))))
+    return F.array_distinct(F.concat(F.array(F.hash(F.slice(t, F.lit(1), F.lit(2)))), hashes))
 
 
 def _row(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    """The key of a document: 60 bits of a hash of its id and text."""
+    said = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col))
+    return F.conv(F.left(F.md5(said.cast("binary")), F.lit(15)), 16, 10).cast("long")
+
+
+def copy_groups(spots: DataFrame, samples: DataFrame) -> DataFrame:
+    """(did, copy_of) for each document in a group of copies; ``copy_of`` is the group's smallest key.
+
+    ``spots`` has one row for each document, line and template: did, total, pos, n,
+    first (the template's first holder). ``samples``: (did, sample). A document has at most
+    1 / ``PART`` candidates, however large its group is.
+    """
+    by_line = spots.groupBy("did", "pos").agg(F.max("total").alias("total"), F.max("n").alias("n"), F.min("first").alias("first"))
+    pairs = (
+        by_line.where("first <> did").groupBy("did", "first").agg(F.max("total").alias("total"), F.sum("n").alias("n"))
+        .where(F.col("n") >= PART * F.col("total")).select("did", F.col("first").alias("holder"))
+    )
+    pairs = common.durable(pairs, "pairs")
+    asked = pairs.select("did").unionAll(pairs.select(F.col("holder").alias("did"))).distinct()
+    samples = common.durable(samples.join(asked, "did", "left_semi").dropDuplicates(["did"]), "samples")
+    both = pairs.join(samples, "did").join(samples.select(F.col("did").alias("holder"), F.col("sample").alias("theirs")), "holder")
+    shared = F.size(F.array_intersect("sample", "theirs"))
+    edges = both.where(shared >= COPY * (F.size("sample") + F.size("theirs") - shared)).select(F.col("did").alias("a"), F.col("holder").alias("b"))
+    return common.components(edges).select(F.col("node").alias("did"), F.col("component").alias("copy_of"))
 
 
 def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(did, drop): for each document with lines to drop, their numbers (from 0).
+    """(did, drop): for each document with lines to drop, their numbers (from 0, ascending).
 
     Every count is combined map-side, so a line that stands in a third of all
     documents is one row of each task; joins on templates are between
@@ -76,27 +116,26 @@ def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     lines = common.durable(parsed(docs, id_col, text_col), "lines")
     held = lines.select(
-        F.explode(F.array_distinct(F.flatten(F.transform("lines", lambda line: line["keys"])))).alias("key")
+        "did", F.explode(F.array_distinct(F.flatten(F.transform("lines", lambda line: line["keys"])))).alias("key")
     )
-    recurring = common.durable(held.groupBy("key").agg(F.count("*").alias("docs")).where("docs > 1").select("key"), "recurring")
+    # In two documents at least: rows equal in id and text are one.
+    recurring = held.groupBy("key").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last")
+    recurring = common.durable(recurring.select("key", "first"), "recurring")
     spots = (
         lines.select("did", "total", F.explode("lines").alias("line"))
         .select("did", "total", "line.pos", "line.n", F.explode("line.keys").alias("key"))
         .join(recurring, "key")
     )
     spots = common.durable(spots, "spots")
-    original = (
-        spots.select("did", "total", "pos", "n").distinct()
-        .groupBy("did").agg(F.sum("n").alias("repeated"), F.max("total").alias("total"))
-        .where("2 * repeated <= total").select("did")
-    )
+    copies = common.durable(copy_groups(spots, lines.select("did", "sample")), "copies")
     witnesses = (
-        spots.join(original, "did").select("did", "key", "n").distinct()
-        .groupBy("key").agg(F.count("*").alias("docs"), F.max("n").alias("n"))
-        .where(F.col("docs") >= F.when(F.col("n") >= LONG, FEW).otherwise(MANY)).select("key")
+        spots.join(copies, "did", "left")
+        .select("key", "n", F.coalesce("copy_of", "did").alias("witness")).distinct()
+        .groupBy("key").agg(F.count("*").alias("held"), F.max("n").alias("n"))
+        .where(F.col("held") >= F.when(F.col("n") >= LONG, FEW).when(F.col("n") >= SHORT, MANY).otherwise(MOST)).select("key")
     )
     witnesses = common.durable(witnesses, "boilerplate")
-    return spots.join(witnesses, "key").groupBy("did").agg(F.collect_set("pos").alias("drop"))
+    return spots.join(witnesses, "key").groupBy("did").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
 
 
 def drop_boilerplate(
@@ -105,8 +144,8 @@ def drop_boilerplate(
     """``docs`` with boilerplate lines gone from the text and its length set anew.
 
     Every row stays, even if no line is left. A null text stays null, an empty one
-    empty; the rest of a text is as it was. Rows equal in id and text are copies of
-    one document and are treated alike; ids may be null. An empty table gives an
+    empty; the rest of a text is as it was. Rows equal in id and text are one
+    document, however often they stand there, and are treated alike; ids may be null. An empty table gives an
     empty one. With ``details``, also ``n_lines`` and ``dropped`` (line numbers,
     ascending), in place of columns of these names. Other columns pass through, whatever their names.
     """
@@ -115,46 +154,63 @@ def drop_boilerplate(
     drops = boilerplate(docs, id_col, text_col).select(F.col("did").alias(did), F.col("drop").alias(drop))
     joined = docs.withColumn(row, _row(id_col, text_col)).join(drops, F.col(row) == F.col(did), "left")
     all_lines = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(all_lines, lambda line, i: ~F.array_contains(F.col(drop), i)), "\n")
+    # By a set of the numbers, not a search of the list for each line.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col(drop))
+    left = F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n")
     text = F.when(F.col(drop).isNotNull(), left).otherwise(F.col(text_col))
     columns = {c: F.col(c) for c in docs.columns} | {text_col: text.alias(text_col)}
     if length_col and length_col in docs.columns:
         columns[length_col] = F.length(text).cast(docs.schema[length_col].dataType).alias(length_col)
     if details:
         columns["n_lines"] = F.coalesce(F.size(all_lines), F.lit(0)).cast("long").alias("n_lines")
-        numbers = F.array_join(F.transform(F.array_sort(drop), lambda i: i.cast("string")), ",")
+        numbers = F.array_join(F.transform(drop, lambda i: i.cast("string")), ",")
         columns["dropped"] = F.coalesce(numbers, F.lit("")).alias("dropped")
     return joined.select(*columns.values())
 
 
 #: op4 in SQL: the templates are the strings that the hashes stand for.
 ORACLE = rf"""
-WITH tokens AS (
-  SELECT doc_id, x.pos - 1 AS pos,
-         list_transform(list_filter(regexp_split_to_array(x.line, '[\x09\x0B\x0C\x0D\x20]+'), lambda w: w <> ''),
+WITH RECURSIVE docs AS (
+  SELECT DISTINCT doc_id, text, ('0x' || substr(md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), text)), 1, 15))::BIGINT AS did FROM documents WHERE text IS NOT NULL
+), tokens AS (
+  SELECT DISTINCT did, x.pos - 1 AS pos,
+         list_transform(list_filter(regexp_split_to_array(lower(x.line), '[\x09\x0B\x0C\x0D\x20]+'), lambda w: w <> ''),
                         lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS t
-  FROM documents, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos) AS x
-  WHERE text IS NOT NULL
-), totals AS (SELECT doc_id, sum(len(t)) AS total FROM tokens GROUP BY doc_id),
+  FROM docs, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos) AS x
+), totals AS (SELECT did, sum(len(t)) AS total FROM tokens GROUP BY did),
 lines AS (
-  SELECT doc_id, pos, t, len(t) AS n, {LEADING} + (len(t) - {LEADING}) // 3 AS a, {LEADING} + 2 * ((len(t) - {LEADING}) // 3) AS b
-  FROM tokens WHERE len(t) >= {LEAST}
+  SELECT did, pos, t, len(t) AS n, {LEADING} + (len(t) - {LEADING}) // 3 AS a, {LEADING} + 2 * ((len(t) - {LEADING}) // 3) AS b
+  FROM tokens WHERE len(t) > 0
 ), keys AS (
-  SELECT doc_id, pos, n, '0 ' || n || ' ' || array_to_string(t, ' ') AS key FROM lines
-  UNION ALL SELECT doc_id, pos, n, '1 ' || n || ' ' || array_to_string(t[1:{LEADING}], ' ') || ' | ' || array_to_string(t[a + 1:n], ' ') FROM lines WHERE n >= {WIDE}
-  UNION ALL SELECT doc_id, pos, n, '2 ' || n || ' ' || array_to_string(t[1:a], ' ') || ' | ' || array_to_string(t[b + 1:n], ' ') FROM lines WHERE n >= {WIDE}
-  UNION ALL SELECT doc_id, pos, n, '3 ' || n || ' ' || array_to_string(t[1:b], ' ') FROM lines WHERE n >= {WIDE}
-), recurring AS (SELECT key FROM keys GROUP BY key HAVING count(DISTINCT doc_id) > 1),
-spots AS (SELECT k.* FROM keys k JOIN recurring USING (key)),
-original AS (
-  SELECT s.doc_id FROM (SELECT DISTINCT doc_id, pos, n FROM spots) s JOIN totals USING (doc_id)
-  GROUP BY s.doc_id HAVING 2 * sum(s.n) <= max(total)
+  SELECT did, pos, n, '0 ' || n || ' ' || array_to_string(t, ' ') AS key FROM lines
+  UNION ALL SELECT did, pos, n, '1 ' || n || ' ' || array_to_string(t[1:{LEADING}], ' ') || ' | ' || array_to_string(t[a + 1:n], ' ') FROM lines WHERE n >= {WIDE}
+  UNION ALL SELECT did, pos, n, '2 ' || n || ' ' || array_to_string(t[1:a], ' ') || ' | ' || array_to_string(t[b + 1:n], ' ') FROM lines WHERE n >= {WIDE}
+  UNION ALL SELECT did, pos, n, '3 ' || n || ' ' || array_to_string(t[1:b], ' ') FROM lines WHERE n >= {WIDE}
+), recurring AS (SELECT key, min(did) AS first FROM keys GROUP BY key HAVING count(DISTINCT did) > 1),
+spots AS (SELECT k.*, first FROM keys k JOIN recurring USING (key)),
+by_line AS (SELECT did, pos, max(n) AS n, min(first) AS first FROM spots GROUP BY did, pos),
+pairs AS (
+  SELECT did, first AS holder FROM by_line JOIN totals USING (did) WHERE first <> did GROUP BY did, first HAVING sum(n) >= {PART}::DOUBLE * max(total)
+), flat AS (
+  SELECT did, flatten(list(t ORDER BY pos)) AS t FROM tokens WHERE did IN (SELECT did FROM pairs UNION SELECT holder FROM pairs) GROUP BY did
+), samples AS (
+  SELECT did, list_distinct(list_transform(list_filter(range(1, len(t) - 1), lambda i: (5 * strlen(t[i]) + 3 * strlen(t[i + 1]) + strlen(t[i + 2])) % {RATE} = 0),
+    lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) || [array_to_string(t[1:2], '  ')]) AS sample FROM flat
+), edges AS (
+  SELECT p.did AS a, p.holder AS b FROM pairs p JOIN samples x ON x.did = p.did JOIN samples y ON y.did = p.holder
+  WHERE len(list_intersect(x.sample, y.sample)) >= {COPY}::DOUBLE * (len(x.sample) + len(y.sample) - len(list_intersect(x.sample, y.sample)))
+), ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reached AS (SELECT a AS did, a AS other FROM ways UNION SELECT r.did, w.b FROM reached r JOIN ways w ON w.a = r.other),
+copies AS (SELECT did, min(other) AS holder FROM reached GROUP BY did
 ), boiler AS (
-  SELECT key FROM spots JOIN original USING (doc_id) GROUP BY key
-  HAVING count(DISTINCT doc_id) >= CASE WHEN max(n) >= {LONG} THEN {FEW} ELSE {MANY} END
-), drops AS (SELECT DISTINCT doc_id, pos FROM spots JOIN boiler USING (key)),
-listed AS (SELECT doc_id, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS dropped, list(pos) AS gone FROM drops GROUP BY doc_id),
-sorted AS (SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS l, listed.dropped, listed.gone FROM documents d LEFT JOIN listed USING (doc_id))
+  SELECT key FROM spots LEFT JOIN copies USING (did) GROUP BY key
+  HAVING count(DISTINCT coalesce(holder, did)) >= CASE WHEN max(n) >= {LONG} THEN {FEW} WHEN max(n) >= {SHORT} THEN {MANY} ELSE {MOST} END
+), drops AS (SELECT DISTINCT did, pos FROM spots JOIN boiler USING (key)),
+listed AS (SELECT did, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS dropped, list(pos) AS gone FROM drops GROUP BY did),
+sorted AS (
+  SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS l, listed.dropped, listed.gone
+  FROM documents d LEFT JOIN docs e ON d.doc_id IS NOT DISTINCT FROM e.doc_id AND d.text = e.text LEFT JOIN listed USING (did)
+)
 SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(dropped, '') AS dropped,
        CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(gone, i - 1)), lambda i: l[i]), chr(10)) END AS text
 FROM sorted

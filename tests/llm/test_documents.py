@@ -61,24 +61,52 @@ def test_quality_risk(spark):
 
 def plain_lines(rows):
     """Numbers of the lines to drop, by (id, text)."""
-    held = {}
+    held, flat, name = {}, {}, {}
     for key in {(r[0], r[1]) for r in rows if r[1] is not None}:
-        held[key] = []
+        held[key], flat[key] = [], []
+        name[key] = int(hashlib.md5(f"{'' if key[0] is None else key[0]}:{key[1]}".encode()).hexdigest()[:15], 16)
         for pos, line in enumerate(key[1].split("\n")):
-            t = ["<*>" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", line)]
+            t = ["<*>" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", line.lower())]
             n, ks = len(t), []
-            if n >= 3:
+            flat[key] += t
+            if n:
                 ks.append((0, n, *t))
             if n >= 12:
                 third = (n - 2) // 3
                 a, b = 2 + third, 2 + 2 * third
                 ks += [(1, n, *t[:2], "|", *t[a:]), (2, n, *t[:a], "|", *t[b:]), (3, n, *t[:b])]
             held[key].append((pos, n, ks))
-    docs_of = collections.Counter(k for ls in held.values() for k in {k for _, _, ks in ls for k in ks})
-    hit = lambda ks: [k for k in ks if docs_of[k] > 1]
-    own = {key for key, ls in held.items() if 2 * sum(n for _, n, ks in ls if hit(ks)) <= sum(n for _, n, _ in ls)}
-    seen = collections.Counter(k for key in own for k in {k for _, _, ks in held[key] for k in hit(ks)})
-    bad = {k for k, n in seen.items() if n >= (2 if k[1] >= 8 else 3)}
+    holders = collections.defaultdict(set)
+    for key, ls in held.items():
+        for _, _, ks in ls:
+            for k in ks:
+                holders[k].add(key)
+    recurring = {k: min(ds, key=name.get) for k, ds in holders.items() if len(ds) > 1}
+    size = lambda w: len(w.encode())
+    sample = {
+        key: {tuple(t[:2])} | {tuple(t[i : i + 3]) for i in range(len(t) - 2) if (5 * size(t[i]) + 3 * size(t[i + 1]) + size(t[i + 2])) % 4 == 0}
+        for key, t in flat.items()
+    }
+    links = collections.defaultdict(set)
+    for key, ls in held.items():
+        by = collections.Counter()
+        for _, n, ks in ls:
+            if firsts := [recurring[k] for k in ks if k in recurring]:
+                by[min(firsts, key=name.get)] += n
+        for other, n in by.items():
+            same, both = sample[key] & sample[other], sample[key] | sample[other]
+            if other != key and n >= 0.1 * len(flat[key]) and len(same) >= 0.6 * len(both):
+                links[key].add(other)
+                links[other].add(key)
+    group = {}
+    for key in held:
+        seen, todo = {key}, [key]
+        while todo:
+            new = links[todo.pop()] - seen
+            seen |= new
+            todo += new
+        group[key] = min(seen, key=name.get)
+    bad = {k for k in recurring if len({group[d] for d in holders[k]}) >= (2 if k[1] >= 8 else 3 if k[1] >= 3 else 10)}
     return {key: [pos for pos, _, ks in ls if bad & set(ks)] for key, ls in held.items()}
 
 
@@ -104,6 +132,30 @@ def test_lines(docs, rows, nothing):
     assert lines.drop_boilerplate(nothing).count() == 0
 
 
+def test_lines_of_notices_and_copies(spark):
+    rng = random.Random(9)
+    made = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    notice, shout = made(100), made(5)
+    # A notice that is most of every text that has it; copies of one text, some of them edited; a heading in two cases.
+    rows = [(i, f"{made(45)}\n{notice}") for i in range(30)]
+    whole = [made(12) for _ in range(10)]
+    for i in range(100, 140):
+        edited = list(whole)
+        if i % 2:
+            edited[i % 10] = made(12)
+        rows.append((i, "\n".join(edited)))
+    rows += [(200 + i, f"{shout.upper() if i % 2 else shout}\n{made(60)}") for i in range(4)]
+    rows += [(300 + i, f"Next\n\n{made(60)}") for i in range(10)]
+    left = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        first, *rest = text.split("\n")
+        want = first if i < 100 else text if i < 200 else "\n".join(rest)
+        assert left[i] == want
+    # Rows that stand there again change nothing.
+    twice = lines.drop_boilerplate(spark.createDataFrame(rows + rows[::2], "doc_id long, text string")).collect()
+    assert len(twice) == len(rows) + len(rows[::2]) and all(r["text"] == left[r["doc_id"]] for r in twice)
+
+
 def draw(seed, key, k, rate):
     parts = max(math.ceil(rate / mixing.PART), 1)
     mean, total = rate / parts, 0
