@@ -14,7 +14,7 @@ copies of one another. Copies are told by their words: a line is first held by
 the document with the smallest key (a hash of id and text) that has it, and a
 document is a copy of another that first holds at least ``PART`` of its tokens if
 ``COPY`` of both texts' three-word shingles together are common to both. Shingles are
-sampled by the sizes of their words, one in ``RATE`` of them. Each group of copies
+sampled by the size of their first word, where it leaves 3 divided by ``RATE``. Each group of copies
 (a connected component) is one witness for its lines, so a group of any size
 leaves its own text alone, while a notice goes even if it is most of every text
 that has it. A template is boilerplate if enough witnesses hold it:
@@ -34,22 +34,28 @@ LEADING = 2
 WIDE = 12
 LONG, SHORT = 8, 3
 FEW, MANY, MOST = 2, 3, 10
-PART, COPY = 0.1, 0.6
+PART, COPY = 0.1, 0.5
 RATE = 4
 
 
 def _templates(t: Column) -> Column:
-    """The templates of a line from its tokens, as hashes."""
+    """The templates of a line from its tokens, as hashes; tokens are hashed once, by stretches."""
     n = F.size(t)
     third = F.floor((n - LEADING) / 3).cast("int")
     a, b = F.lit(LEADING) + third, F.lit(LEADING) + 2 * third
-    exact = F.array(F.xxhash64(F.lit(0), n, t))
-    opened = F.array(
-        F.xxhash64(F.lit(1), n, F.slice(t, F.lit(1), F.lit(LEADING)), F.slice(t, a + 1, n - a)),
-        F.xxhash64(F.lit(2), n, F.slice(t, F.lit(1), a), F.slice(t, b + 1, n - b)),
-        F.xxhash64(F.lit(3), n, F.slice(t, F.lit(1), b)),
-    )
-    return F.when(n >= WIDE, F.concat(exact, opened)).otherwise(exact)
+    cuts = [F.lit(0), F.lit(LEADING), a, b, n]
+    parts = F.struct(*[F.xxhash64(F.slice(t, lo + 1, hi - lo)).alias(f"h{i}") for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))])
+    # Bound by a transform of one element, so that each stretch is hashed once.
+    wide = F.transform(
+        F.array(parts),
+        lambda h: F.array(
+            F.xxhash64(F.lit(0), n, h["h0"], h["h1"], h["h2"], h["h3"]),
+            F.xxhash64(F.lit(1), n, h["h0"], h["h2"], h["h3"]),
+            F.xxhash64(F.lit(2), n, h["h0"], h["h1"], h["h3"]),
+            F.xxhash64(F.lit(3), n, h["h0"], h["h1"], h["h2"]),
+        ),
+    )[0]
+    return F.when(n >= WIDE, wide).otherwise(F.array(F.xxhash64(F.lit(0), n, t)))
 
 
 def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,8 +63,13 @@ def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     text = F.lower(F.col(text_col))
     # Texts without a digit have no variable fields to mask.
     masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "<*>")).otherwise(text)
-    tokens = F.transform(F.split(masked, "\n", -1), lambda line: F.regexp_extract_all(line, F.lit(r"(\S+)"), F.lit(1)))
-    df = docs.where(F.col(text_col).isNotNull()).select(_row(id_col, text_col).alias("did"), tokens.alias("tokens"))
+    df = docs.where(F.col(text_col).isNotNull()).select(_row(id_col, text_col).alias("did"), F.split(masked, "\n", -1).alias("split"), text.alias("text"))
+    # Where spaces are the only white space within lines, they are cut without a pattern.
+    tokens = F.when(
+        F.col("text").rlike(r"[\t\x0B\f\r]"),
+        F.transform("split", lambda line: F.regexp_extract_all(line, F.lit(r"(\S+)"), F.lit(1))),
+    ).otherwise(F.transform("split", lambda line: F.array_remove(F.split(line, " ", -1), "")))
+    df = df.select("did", tokens.alias("tokens"))
     lines = F.filter(
         F.transform(
             F.col("tokens"),
@@ -73,10 +84,9 @@ def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def _sampled(t: Column) -> Column:
     """Hashes of sampled three-word shingles, and of the first token pair, so that no text with tokens has none."""
-    size = lambda i: F.octet_length(F.get(t, i))
-    starts = F.when(F.size(t) >= 3, F.sequence(F.lit(0), F.size(t) - 3)).otherwise(F.expr("cast(array() as array<int>)"))
-    chosen = F.filter(starts, lambda i: (5 * size(i) + 3 * size(i + 1) + size(i + 2)) % RATE == 0)
-    hashes = F.transform(chosen, lambda i: F.hash(F.slice(t, i + 1, F.lit(3))))
+    starts = F.transform(t, lambda w, i: F.when(F.octet_length(w) % RATE == 3, i + 1))
+    chosen = F.filter(starts, lambda i: i <= F.size(t) - 2)
+    hashes = F.transform(chosen, lambda i: F.hash(F.slice(t, i, F.lit(3))))
     return F.array_distinct(F.concat(F.array(F.hash(F.slice(t, F.lit(1), F.lit(2)))), hashes))
 
 
@@ -154,9 +164,9 @@ def drop_boilerplate(
     drops = boilerplate(docs, id_col, text_col).select(F.col("did").alias(did), F.col("drop").alias(drop))
     joined = docs.withColumn(row, _row(id_col, text_col)).join(drops, F.col(row) == F.col(did), "left")
     all_lines = F.split(F.col(text_col), "\n", -1)
-    # By a set of the numbers, not a search of the list for each line.
-    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col(drop))
-    left = F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n")
+    # By a set of the numbers, not a search of the list for each line; lines are bound, so that a text is split once.
+    both = F.struct(all_lines.alias("lines"), F.col(drop).alias("drop"))
+    left = F.transform(F.array(both), _without)[0]
     text = F.when(F.col(drop).isNotNull(), left).otherwise(F.col(text_col))
     columns = {c: F.col(c) for c in docs.columns} | {text_col: text.alias(text_col)}
     if length_col and length_col in docs.columns:
@@ -168,6 +178,11 @@ def drop_boilerplate(
     return joined.select(*columns.values())
 
 
+def _without(x: Column) -> Column:
+    stay = F.array_except(F.sequence(F.lit(0), F.size(x["lines"]) - 1), x["drop"])
+    return F.array_join(F.transform(stay, lambda i: F.get(x["lines"], i)), "\n")
+
+
 #: op4 in SQL: the templates are the strings that the hashes stand for.
 ORACLE = rf"""
 WITH RECURSIVE docs AS (
@@ -194,7 +209,7 @@ pairs AS (
 ), flat AS (
   SELECT did, flatten(list(t ORDER BY pos)) AS t FROM tokens WHERE did IN (SELECT did FROM pairs UNION SELECT holder FROM pairs) GROUP BY did
 ), samples AS (
-  SELECT did, list_distinct(list_transform(list_filter(range(1, len(t) - 1), lambda i: (5 * strlen(t[i]) + 3 * strlen(t[i + 1]) + strlen(t[i + 2])) % {RATE} = 0),
+  SELECT did, list_distinct(list_transform(list_filter(range(1, len(t) - 1), lambda i: strlen(t[i]) % {RATE} = 3),
     lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) || [array_to_string(t[1:2], '  ')]) AS sample FROM flat
 ), edges AS (
   SELECT p.did AS a, p.holder AS b FROM pairs p JOIN samples x ON x.did = p.did JOIN samples y ON y.did = p.holder

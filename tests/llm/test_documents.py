@@ -84,7 +84,7 @@ def plain_lines(rows):
     recurring = {k: min(ds, key=name.get) for k, ds in holders.items() if len(ds) > 1}
     size = lambda w: len(w.encode())
     sample = {
-        key: {tuple(t[:2])} | {tuple(t[i : i + 3]) for i in range(len(t) - 2) if (5 * size(t[i]) + 3 * size(t[i + 1]) + size(t[i + 2])) % 4 == 0}
+        key: {tuple(t[:2])} | {tuple(t[i : i + 3]) for i in range(len(t) - 2) if size(t[i]) % 4 == 3}
         for key, t in flat.items()
     }
     links = collections.defaultdict(set)
@@ -95,7 +95,7 @@ def plain_lines(rows):
                 by[min(firsts, key=name.get)] += n
         for other, n in by.items():
             same, both = sample[key] & sample[other], sample[key] | sample[other]
-            if other != key and n >= 0.1 * len(flat[key]) and len(same) >= 0.6 * len(both):
+            if other != key and n >= 0.1 * len(flat[key]) and len(same) >= 0.5 * len(both):
                 links[key].add(other)
                 links[other].add(key)
     group = {}
@@ -137,7 +137,7 @@ def test_lines_of_notices_and_copies(spark):
     made = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(n))
     notice, shout = made(100), made(5)
     # A notice that is most of every text that has it; copies of one text, some of them edited; a heading in two cases.
-    rows = [(i, f"{made(45)}\n{notice}") for i in range(30)]
+    rows = [(i, f"{made(80)}\n{notice}") for i in range(30)]
     whole = [made(12) for _ in range(10)]
     for i in range(100, 140):
         edited = list(whole)
