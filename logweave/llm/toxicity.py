@@ -1,20 +1,25 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one on the
-words of toxic text that ordinary text lacks: words with a beginning that
-toxic training documents hold far more often (a likelihood-ratio test).
-Each window of a text (about 32 bytes of whole words) is compressed twice, with
-the ordinary dictionary alone and with the toxic one after it, so what
-ordinary text explains costs the same both times and the difference in length
-is what only the toxic dictionary explains. A document's profile of window
-differences goes through a logistic calibration fitted on documents that did
-not train the dictionaries.
+Two zstandard dictionaries are trained on windows of whole texts, one on
+ordinary and one on toxic documents. Each window of a text (about ``WINDOW`` bytes of
+whole words) is compressed twice, with the ordinary dictionary alone and with
+the toxic one after it, so what ordinary text explains costs the same both
+times and the difference in length is what only toxic text explains.
+
+Most of a toxic document is ordinary text, and so is most of what the trainer
+picks from it. So the toxic dictionary is trained on the half of the windows that
+the ordinary dictionary compresses worst, then cut into segments, and those stay that shorten windows of toxic documents at least ``RATIO`` times as often as
+windows of ordinary ones; again only compressed lengths are compared. Segments
+are tried in groups on the executors, and each of a group on the windows that
+the group has shortened. A document's profile of window differences goes
+through a logistic calibration fitted on documents that did not train the
+dictionaries.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,14 +31,25 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW = 32
+WINDOW = 48
 LEVEL = 3
 ORDINARY_BYTES = 32768
-TOXIC_BYTES = 4096
-#: Sizes of the training sample: documents of a class, and bytes of one document.
+#: Sizes of the trained toxic dictionary, of a segment of it, and of what is kept of it at most.
+TRAINED_BYTES, SEGMENT, TOXIC_BYTES = 131072, 12, 8192
+#: Bytes of a group of segments, and between the starts of its segments.
+GROUP, STRIDE = 192, 4
+#: Segment and match sizes that the trainer is run with.
+TRAINERS = [(12, 8), (16, 6)]
+#: Bytes of the windows that the toxic dictionary is trained on and that segments are tried on.
+TRAIN, TRY = 16, 32
+#: A segment shortens a window if it saves ``GAIN`` bytes; it is kept from ``HITS`` toxic windows on, and at this ratio.
+GAIN, HITS, RATIO = 2, 16, 3.0
+#: Bounds of the training sample: documents of a class, and windows of a class that segments are tried on.
 SAMPLE_TOXIC = 3000
 SAMPLE_ORDINARY = 6000
-SAMPLE_BYTES = 16384
+TRIED = 16000
+#: Documents of a class without which nothing is learned.
+LEAST = 6
 FEATURES = 7
 
 
@@ -81,8 +97,8 @@ class Model:
 
     def scorer(self):
         """A function from a text to its score, with compressors of its own."""
-        if not self.plain:
-            return lambda text: 1 / (1 + math.exp(-self.bias))
+        if not self.weights:
+            return lambda text: 0.0
         plain, toxic = _compressor(self.plain), _compressor(self.plain + self.toxic)
         w, c = np.array(self.weights), np.array(self.centre)
 
@@ -93,7 +109,7 @@ class Model:
         return score
 
 
-def _trained(samples: list[bytes], size: int) -> bytes:
+def _trained(samples: list[bytes], size: int, **how) -> bytes:
     """The content of a trained dictionary; where all samples fit, the samples themselves.
 
     The trainer picks what recurs over many samples; it refuses too few.
@@ -102,47 +118,44 @@ def _trained(samples: list[bytes], size: int) -> bytes:
     if len(whole) <= size:
         return whole
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, **how).as_bytes()
     except zstandard.ZstdError:
         return whole[-size:]
 
 
-def _beginnings(words: set[bytes]) -> set[bytes]:
-    return {w[:k] for w in words for k in range(3, min(len(w), 10) + 1)}
+def _distinct(texts: list[str], size: int) -> list[bytes]:
+    return list(dict.fromkeys(w for text in texts for w in windows(text, size)))
 
 
-def _marked(toxic: list[str], ordinary: list[str], evidence: float = 20.0, ratio: float = 8.0) -> list[bytes]:
-    """The words, in toxic texts, with a beginning typical of them; each once, the commonest last.
+def _telling(spark, plain: bytes, trained: bytes, toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """The segments that shorten toxic windows far more often than ordinary ones, the best last.
 
-    Typical: the log likelihood ratio of the documents that hold it is over
-    ``evidence`` and its share is at least ``ratio`` times that among ordinary
-    ones. Copies of one document don't count as many: a beginning has no more
-    witnesses than pairs of neighbouring words that it occurs between.
+    At most ``TRIED`` windows of each class go to the executors; what comes back are two counts for each segment.
     """
-    words = [(t or "").encode().lower().split() for t in toxic]
-    a, b = Counter(), Counter()
-    for w in words:
-        a.update(_beginnings(set(w)))
-    for t in ordinary:
-        b.update(_beginnings(set((t or "").encode().lower().split())))
-    n, m = len(toxic), len(ordinary)
-
-    def told(x: int, y: int) -> bool:
-        if x < 3 or x * m < ratio * y * n:
-            return False
-        p, q, r = (x + 0.5) / (n + 1), (y + 0.5) / (m + 1), (x + y + 1) / (n + m + 2)
-        like = lambda k, of, s: k * math.log(s) + (of - k) * math.log(1 - s)
-        return like(x, n, p) + like(y, m, q) - like(x, n, r) - like(y, m, r) > evidence
-
-    between: dict[bytes, set[int]] = {w: set() for w, x in a.items() if told(x, b[w])}
-    for w in words:
-        for before, word, after in zip([b"", *w], w, [*w[1:], b""]):
-            for k in range(3, min(len(word), 10) + 1):
-                if (head := word[:k]) in between:
-                    between[head].add(hash((before, after)))
-    typical = {w for w, seen in between.items() if told(min(a[w], len(seen)), b[w])}
-    held = Counter(w for t in words for w in t if not typical.isdisjoint(w[:k] for k in range(3, min(len(w), 10) + 1)))
-    return [b" " + w + b" " for w, _ in sorted(held.items(), key=lambda p: (p[1], p[0]))]
+    toxic, ordinary = (random.Random(7).sample(w, min(len(w), TRIED)) for w in (toxic, ordinary))
+    mixed, split, more = toxic + ordinary, len(toxic), len(toxic) / len(ordinary)
+
+    def tried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = np.fromiter(map(len, map(_compressor(plain), mixed)), np.int64, len(mixed))
+        for batch in batches:
+            for content in batch["content"]:
+                after = np.fromiter(map(len, map(_compressor(plain + content), mixed)), np.int64, len(mixed))
+                at = np.flatnonzero(before - after >= GAIN).tolist()
+                rows = []
+                for i in range(0, max(len(content) - SEGMENT, 0) + 1, STRIDE):
+                    one, own = content[i : i + SEGMENT], _compressor(plain + content[i : i + SEGMENT])
+                    hit = [j for j in at if before[j] - len(own(mixed[j])) >= GAIN]
+                    p = sum(j < split for j in hit)
+                    rows.append((one, p, len(hit) - p))
+                yield pd.DataFrame(rows, columns=["segment", "p", "n"])
+
+    groups = [(bytearray(trained[i : i + GROUP]),) for i in range(0, len(trained), GROUP)]
+    if not groups:
+        return []
+    found = spark.createDataFrame(groups, "content binary").repartition(min(len(groups), 4 * spark.sparkContext.defaultParallelism))
+    counted = found.mapInPandas(tried, "segment binary, p long, n long").collect()
+    kept = {bytes(r["segment"]): r["p"] - more * r["n"] for r in counted if r["p"] >= HITS and r["p"] >= RATIO * (more * r["n"] + 0.5)}
+    return [s for s, _ in sorted(kept.items(), key=lambda x: (x[1], x[0]))]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> tuple[np.ndarray, float]:
@@ -159,31 +172,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
     return w[:-1], float(w[-1])
 
 
-def _sample(docs: DataFrame, marks: DataFrame, rows: int) -> list[tuple[int, str]]:
-    """(hash, text) of the ``rows`` documents with the smallest hashes.
-
-    Of a document over ``SAMPLE_BYTES`` characters, evenly spread pieces are taken.
-    """
+def _sample(docs: DataFrame, marks: DataFrame, rows: int) -> list[str]:
+    """The whole texts of the ``rows`` documents with the smallest hashes."""
     ids = marks.orderBy("key", "doc_id").limit(rows)
     picked = docs.join(F.broadcast(ids), "doc_id")  # at most ``rows`` rows of two numbers
-    pieces = F.ceil(F.length("text") / 256)
-    step = pieces / (SAMPLE_BYTES // 256)
-    spread = F.array_join(
-        F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_BYTES // 256 - 1)), lambda i: F.substr("text", F.floor(i * step).cast("int") * 256 + 1, F.lit(256))),
-        "",
-    )
-    text = F.when(F.length("text") > SAMPLE_BYTES, spread).otherwise(F.col("text"))
-    found = {r["key"]: r["t"] or "" for r in picked.select("key", text.alias("t")).collect()}
-    return sorted(found.items())
+    found = {r["key"]: r["text"] or "" for r in picked.select("key", "text").collect()}
+    return [text for _, text in sorted(found.items())]
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, ordinary_rows: int = SAMPLE_ORDINARY) -> Model:
     """Learns from labelled documents outside the held-out fifth.
 
-    At most ``SAMPLE_TOXIC`` toxic and ``SAMPLE_ORDINARY`` ordinary documents with the
-    smallest hashes of their ids are used, half for the dictionaries and half for
-    the calibration; the bias is set to the classes' true counts. With
-    no document of one class, the score is the same for all texts.
+    At most ``toxic_rows`` toxic and ``ordinary_rows`` ordinary documents with the
+    smallest hashes of their ids are used, whole: two thirds for the dictionaries and one
+    for the calibration; the bias is set to the classes' true counts. Labels that are
+    null, or of documents that aren't there, don't count; of several labels of one id the
+    largest does. With fewer than ``LEAST`` documents of either class nothing can be learned: the score is 0
+    for all texts and no document is predicted toxic.
     """
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     marks = (
@@ -195,22 +200,28 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     )
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
-    toxic = _sample(own, marks.where("toxic = 1"), SAMPLE_TOXIC)
-    ordinary = _sample(own, marks.where("toxic = 0"), SAMPLE_ORDINARY)
-    prior = math.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5))
-    if len(toxic) < 2 or len(ordinary) < 2:
-        return Model(b"", b"", [], [], prior)
-    fit = [[t for _, t in rows[0::2]] for rows in (toxic, ordinary)]
-    check = [[t for _, t in rows[1::2]] for rows in (toxic, ordinary)]
-    plain = _trained([w for t in fit[1] for w in windows(t, 64)], ORDINARY_BYTES)
-    marked = _trained(_marked(*fit), TOXIC_BYTES)
-    a, b = _compressor(plain), _compressor(plain + marked)
+    toxic = _sample(own, marks.where("toxic = 1"), toxic_rows)
+    ordinary = _sample(own, marks.where("toxic = 0"), ordinary_rows)
+    if min(len(toxic), len(ordinary)) < LEAST:
+        return Model(b"", b"", [], [], 0.0)
+    fit = [[t for i, t in enumerate(rows) if i % 3 < 2] for rows in (toxic, ordinary)]
+    check = [rows[2::3] for rows in (toxic, ordinary)]
+    plain = _trained(_distinct(fit[1], 64), ORDINARY_BYTES)
+    # Of the toxic windows, the half that the ordinary dictionary compresses worst.
+    short = _compressor(plain)
+    pieces = _distinct(fit[0], TRAIN)
+    worst = np.array([len(short(w)) / len(w) for w in pieces])
+    hard = [pieces[i] for i in np.flatnonzero(worst >= np.median(worst))]
+    content = b"".join(_trained(hard, TRAINED_BYTES // len(TRAINERS), k=k, d=d) for k, d in TRAINERS)
+    telling = _telling(docs.sparkSession, plain, content, _distinct(fit[0], TRY), _distinct(fit[1], TRY))
+    told = b"".join(telling)[-TOXIC_BYTES:]
+    a, b = _compressor(plain), _compressor(plain + told)
     x = np.array([profile(windows(t), a, b) for rows in check for t in rows])
     y = np.array([1.0] * len(check[0]) + [0.0] * len(check[1]))
     centre = x.mean(0)
     weights, bias = _logistic(x - centre, y)
-    bias += prior - math.log(len(check[0]) / len(check[1]))
-    return Model(plain, marked, centre.tolist(), weights.tolist(), bias)
+    bias += math.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5)) - math.log(len(check[0]) / len(check[1]))
+    return Model(plain, told, centre.tolist(), weights.tolist(), bias)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

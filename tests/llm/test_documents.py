@@ -299,6 +299,11 @@ def test_toxicity(spark, docs, rows, labels, nothing):
     scored = toxicity.score(docs, toxicity.train(docs, labels)).collect()
     assert len(scored) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in scored)
     assert toxicity.score(nothing, model).count() == 0
-    assert toxicity.score(docs, toxicity.train(nothing, labels.limit(0))).count() == len(rows)
+    # Without labels, or with those of one class, nothing is learned and nobody is marked.
+    for given in (labels.limit(0), labels.where("toxic = 1"), labels.where("toxic = 0")):
+        told = toxicity.score(docs, toxicity.train(docs, given)).collect()
+        assert len(told) == len(rows) and not any(r["predicted"] or r["score"] for r in told)
+        assert toxicity.without_toxic(docs, given).count() == len(rows)
+    assert toxicity.train(nothing, labels).weights == []
     kept = {r["doc_id"] for r in toxicity.without_toxic(df, marks).collect()}
     assert kept == {r["doc_id"] for r in toxicity.score(df, model).collect() if not r["predicted"]}
