@@ -68,10 +68,15 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, source_col:
 def copies(rate: Column, table: Column, key: Column, seed: int) -> Column:
     """The Poisson draw of one document, inverted from its hash."""
     parts = F.greatest(F.ceil(rate / PART), F.lit(1)).cast("int")
+
+    def drawn(u: Column) -> Column:
+        # Bound by a transform of one element, so that it is hashed once and not for each term.
+        return F.transform(F.array(u), lambda x: F.size(F.filter(table, lambda p: p <= x)).cast("long"))[0]
+
     return F.aggregate(
         F.sequence(F.lit(1), parts),
         F.lit(0).cast("long"),
-        lambda acc, i: acc + F.size(F.filter(table, lambda p: p <= uniform(F.lit(seed), key, i))).cast("long"),
+        lambda acc, i: acc + drawn(uniform(F.lit(seed), key, i)),
     )
 
 
