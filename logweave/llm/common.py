@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,24 +27,45 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
+_local: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured."""
+    """The folder all executors share. Only a local master may do without: it gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="logweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _local:
+        _local.append("file://" + tempfile.mkdtemp(prefix="logweave-"))
+    return _local[0]
 
 
-#: Tables written by this process that weren't released yet.
+#: Tables written that weren't released yet: of the scope one is in, else of the process.
 _written: list[str] = []
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+_lock = threading.Lock()
+
+
+def _own() -> list[str]:
+    held = _scope.get()
+    return _written if held is None else held
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def written(df: DataFrame, label: str) -> str:
-    """Writes ``df`` to the shared folder; its path."""
+    """Writes ``df`` to the shared folder; its path. What nobody releases goes when the driver's JVM ends."""
     path = f"{shared_folder(df.sparkSession)}/logweave/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
+    fs, at = _at(df.sparkSession, path)
+    fs.deleteOnExit(at)
+    with _lock:
+        _own().append(path)
     return path
 
 
@@ -50,20 +79,33 @@ def durable(df: DataFrame, label: str) -> DataFrame:
 
 
 def unreleased() -> list[str]:
-    return list(_written)
+    with _lock:
+        return list(_own())
 
 
-def release(spark: SparkSession, *but: str) -> None:
-    """Deletes the tables that ``durable`` has written, except the named paths.
+def release(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that were written here: the named ones, or all of the scope one is in.
 
     For when nothing lazy depends on them any more: frames that operators have
     returned do until they are written themselves.
     """
-    jvm = spark.sparkContext._jvm
-    for path in [p for p in _written if p not in but]:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        _written.remove(path)
+    for path in paths or unreleased():
+        fs, at = _at(spark, path)
+        fs.delete(at, True)
+        with _lock:
+            if path in _own():
+                _own().remove(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What is written within is released at the end; other threads' tables are left alone."""
+    token = _scope.set([])
+    try:
+        yield
+        release(spark)
+    finally:
+        _scope.reset(token)
 
 
 def prefix(*frames: DataFrame) -> str:
@@ -75,9 +117,25 @@ def prefix(*frames: DataFrame) -> str:
     return p
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keeps Arrow batches of long texts within a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def mapped(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = 1000) -> DataFrame:
+    """``df`` through a function from pandas frames to pandas frames, of at most ``rows`` rows each.
+
+    Spark bounds the bytes of an Arrow batch; its rows become Python objects
+    a slice at a time, so a worker's memory doesn't hang on any setting of the session.
+    Whole numbers that may be null come as objects, and lose nothing.
+    """
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def slices() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    yield batch.slice(at, rows).to_pandas(integer_object_nulls=True)
+
+        for out in fn(slices()):
+            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -324,17 +324,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     is empty and each token's probability is one over one. An empty table gives
     an empty result. Other columns are neither read nor returned.
     """
-    spark = docs.sparkSession
-    common.small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = common.durable(rows.mapInPandas(_blocks(block), "block long, tokens long, payload binary"), "lm-blocks")
+    blocks = common.durable(common.mapped(rows, _blocks(block), "block long, tokens long, payload binary"), "lm-blocks")
     size = blocks.agg(F.sum("tokens")).first()[0] or 0
     bits = max(4, int(size // BUCKET).bit_length())
-    common.small_batches(spark, 4)
-    asks = blocks.select("block", "payload").mapInPandas(_asks(bits), "block long, kind int, bucket int, data binary")
+    asks = common.mapped(blocks.select("block", "payload"), _asks(bits), "block long, kind int, bucket int, data binary", 4)
     asks = asks.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "block")
     answers = common.durable(
-        asks.mapInPandas(_answers(bits), "block long, kind int, bucket int, data binary, n long, v long"), "lm-answers"
+        common.mapped(asks, _answers(bits), "block long, kind int, bucket int, data binary, n long, v long", 4), "lm-answers"
     )
     tokens, vocabulary = (x or 0 for x in answers.agg(F.sum("n"), F.sum("v")).first())
     both = blocks.select("block", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.col("payload").alias("data")).unionAll(
@@ -342,11 +339,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     )
     both = both.repartition("block").sortWithinPartitions("block", "kind", "bucket")
     gathered = common.durable(
-        both.mapInPandas(_gathered(tokens), "packed binary, cells array<long>, sums array<long>"), "lm-gathered"
+        common.mapped(both, _gathered(tokens), "packed binary, cells array<long>, sums array<long>", 4), "lm-gathered"
     )
     cells = (
         gathered.select(F.explode(F.arrays_zip("cells", "sums")).alias("x"))
         .groupBy("x.cells").agg(F.sum("x.sums")).collect()
     )  # at most CONTEXTS * (STEPS + 1) ** 2 rows
     weights = mixture(sorted((r[0], r[1]) for r in cells), vocabulary)
-    return gathered.select("packed").mapInPandas(_scored(weights, tokens, vocabulary), SCORES)
+    return common.mapped(gathered.select("packed"), _scored(weights, tokens, vocabulary), SCORES, 4)

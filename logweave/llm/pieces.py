@@ -321,7 +321,6 @@ def encode(
     encoded, of any length. Rows equal in id and text are encoded alike. An empty
     table gives an empty result; other columns are neither read nor returned.
     """
-    common.small_batches(docs.sparkSession)
     proto = read_model(model_path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -341,9 +340,8 @@ def encode(
             out.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy())
             yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        run, "doc_id long, ids binary, n_pieces long, ids_hash string, lossless boolean"
-    )
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return common.mapped(own, run, "doc_id long, ids binary, n_pieces long, ids_hash string, lossless boolean")
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
@@ -356,4 +354,4 @@ def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
             texts = [None if x is None else coder.decode(np.frombuffer(x, coder.kind).tolist()) for x in b["ids"]]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text": texts})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return common.mapped(encoded.select("doc_id", "ids"), run, "doc_id long, text string")

@@ -64,8 +64,6 @@ def counts_of(text: str | None) -> tuple[int, int, int, int, int, int]:
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """One row of counts for each row of ``docs``, and whether the base rules reject it."""
-    common.small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = pd.DataFrame([counts_of(t) for t in b["text"]], columns=[*COUNTS, "n_lines"], dtype="int64")
@@ -73,9 +71,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
             found.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy())
             yield found
 
-    out = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).alias("text")
-    ).mapInPandas(run, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in [*COUNTS, "n_lines"]))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).alias("text"))
+    out = common.mapped(own, run, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in [*COUNTS, "n_lines"]))
     return out.withColumn(
         "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     )

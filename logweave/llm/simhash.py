@@ -65,8 +65,6 @@ def fingerprint_of(text: str | None, width: int = SHINGLE, seed: int = SEED) ->
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): one row for each input row; fp is the fingerprint as a signed long."""
-    common.small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             prints = np.fromiter(
@@ -74,9 +72,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": prints.view(np.int64)})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        run, "doc_id long, fp long"
-    )
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return common.mapped(own, run, "doc_id long, fp long")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:

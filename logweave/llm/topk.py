@@ -54,7 +54,7 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
         for dim in list(held):
             yield pack(dim)
 
-    return rows.mapInPandas(run, "dim int, ids binary, block binary")
+    return common.mapped(rows, run, "dim int, ids binary, block binary", 4096)
 
 
 def _search(q_ids, q, c_ids, c, k: int, step: int, dense: float):
@@ -124,8 +124,6 @@ def top_k(
     Scores are exact while sums of products stay below 2**53. An empty table
     gives an empty result.
     """
-    spark = vectors.sparkSession
-    common.small_batches(spark, 4096)
     candidates = _packed(_scaled(vectors, id_col, vector_col), block)
     asked = _packed(
         _scaled(queries, id_col, vector_col).dropDuplicates(["vec_id"]), query_block

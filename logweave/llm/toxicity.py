@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -230,16 +231,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null and empty texts are scored like texts without windows; whole texts are
     compressed. A null id is not held out. An empty table gives an empty result.
     """
-    common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = model.scorer()
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": [of(t) for t in b["text"]]})
 
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        run, "doc_id long, score double"
-    )
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    scored = common.mapped(own, run, "doc_id long, score double")
     return scored.select(
         "doc_id",
         F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),
@@ -249,13 +248,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic; its columns, in one pass over it."""
+    """The rows of ``docs`` that are not predicted toxic; its columns, in one pass over it.
+
+    Null and empty texts are scored like texts without windows; ids may be null or repeat, and every
+    row is judged by its own text. Without labels of both classes all rows stay. An empty table gives an empty one.
+    """
     model = train(docs, labels)
-    common.small_batches(docs.sparkSession)
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
         of = model.scorer()
-        return pd.Series([of(t) for t in texts], dtype="float64")
+        return pa.array([of(t.as_py()) for t in texts], pa.float64())
 
     return docs.where(scored(F.col("text")) < 0.5)
