@@ -63,12 +63,12 @@ def fingerprint_of(text: str | None, width: int = SHINGLE, seed: int = SEED) ->
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): one row for each input row; fp is the fingerprint as a signed long."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             prints = np.fromiter(
-                (fingerprint_of(t) for t in batch["text"]), np.uint64, len(batch)
+                (fingerprint_of(t, width) for t in batch["text"]), np.uint64, len(batch)
             )
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": prints.view(np.int64)})
 
@@ -135,25 +135,31 @@ def _joined(fps: np.ndarray, pairs: np.ndarray, budget: int, most: int = 400_000
         stack.append((bit - 1, np.concatenate(grown), np.concatenate(counted)))
 
 
-def _forest(count: int, links: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Smallest reachable position for each position, by hooking and pointer jumping."""
+def _spanning(links: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links that join trees of the forest ``label``, and the forest with them, by hooking and pointer jumping."""
+    chosen = []
     while len(links):
         a, b = label[links[:, 0]], label[links[:, 1]]
         live = a != b
         if not live.any():
             break
         links, a, b = links[live], a[live], b[live]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        # The first link of each higher root hooks it to a lower one, so no circle can form.
+        high, low = np.maximum(a, b), np.minimum(a, b)
+        roots, first = np.unique(high, return_index=True)
+        label = label.copy()
+        label[roots] = low[first]
+        chosen.append(links[first])
         while True:
             higher = label[label]
             if (higher == label).all():
                 break
             label = higher
-    return label
+    return (np.concatenate(chosen) if chosen else np.zeros((0, 2), np.int64)), label
 
 
 def _link_units(budget: int, room: int = 30_000):
-    """Joins the tries of a partition sorted by unit; yields a spanning forest of each."""
+    """Joins the tries of a partition sorted by unit; yields a spanning forest of each, of real links."""
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.reset_index(drop=True)
@@ -168,12 +174,15 @@ def _link_units(budget: int, room: int = 30_000):
         mid = lo + (far[hi] - far[lo])
         own = np.stack([lo, mid, lo, mid], axis=1)[mid - lo > 1]
         across = np.stack([lo, mid, mid, hi], axis=1)[(mid > lo) & (hi > mid)]
-        label = np.arange(len(fps))
+        label, chosen = np.arange(len(fps)), []  # a spanning forest; within a batch of links the closest come first
         for links in _joined(fps, np.concatenate([own, across]).astype(np.int64), budget):
-            label = _forest(len(fps), links, label)
+            far = _popcount(fps[links[:, 0]] ^ fps[links[:, 1]])
+            for errors in range(budget + 1):
+                links_now, label = _spanning(links[far == errors], label)
+                chosen.append(links_now)
         node = rows["node"].to_numpy()[order]
-        live = node[label] != node
-        return pd.DataFrame({"a": node[live], "b": node[label][live]})
+        edges = np.concatenate(chosen) if chosen else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": node[edges[:, 0]], "b": node[edges[:, 1]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -270,14 +279,93 @@ def near_duplicates(
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its group.
+def _shingles(words: list[bytes], width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending; the whole sequence where it is shorter, none without words."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    parts = (b" ".join(words[i : i + width]) for i in range(max(len(words) - width, 0) + 1))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64))
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def similar(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    similarity: float = 0.8,
+    print_width: int = 2,
+    budget: int = 8,
+    blocks: int = 10,
+    leaf: int = 1024,
+) -> DataFrame:
+    """(doc_id, component_id): groups of texts whose ``width``-word shingle sets have a Jaccard similarity of ``similarity``.
+
+    Texts of equal words (A-Z lowered) are one node. Fingerprints of ``print_width``-word
+    shingles propose: their trie self-join at ``budget`` bits gives, of every
+    unit, a spanning forest whose closest pairs come first, and the exact
+    similarity of both ends decides on each edge. An edge that fails is no link; its ends may
+    still meet by the forest of another trie.
+
+    One row for each row of ``docs``. Null and wordless texts are equal to each other. A row with a null id
+    links nothing and has a null component. An empty table gives an empty result.
+    Other columns of ``docs`` are neither read nor returned.
+    """
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fp = np.fromiter((fingerprint_of(t, print_width) for t in b["text"]), np.uint64, len(b))
+            same = [xxhash.xxh128_digest(b" ".join(_words(t))) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp.view(np.int64), "same": same})
+
+    rows = common.durable(common.mapped(own, prints, "doc_id long, fp long, same binary"), "prints")
+    texts = common.durable(rows.where("doc_id is not null").groupBy("same", "fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("weight")), "texts")
+    nodes = common.durable(texts.groupBy("fp").agg(F.min("node").alias("node"), F.sum("weight").alias("weight")), "nodes")
+    star = texts.join(nodes.select("fp", F.col("node").alias("b")), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
+    edges = common.durable(link_nodes(nodes, budget, blocks, leaf).unionAll(star).distinct(), "proposed")
+    ends = edges.select(F.col("a").alias("node")).unionAll(edges.select(F.col("b").alias("node"))).distinct()
+    wanted = common.durable(texts.join(ends, "node", "left_semi").select("node", "same"), "ends")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            words = [_words(t) for t in b["text"]]
+            mine = [xxhash.xxh128_digest(b" ".join(w)) == s for w, s in zip(words, b["same"])]  # an id may stand for other texts too
+            yield pd.DataFrame(
+                {"node": [n for n, m in zip(b["node"], mine) if m], "shingles": [_shingles(w, width).tobytes() for w, m in zip(words, mine) if m]}
+            )
+
+    held = own.join(wanted, own["doc_id"] == wanted["node"]).select("node", "same", "text")
+    held = common.durable(common.mapped(held, sets, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
+
+    def decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b["x"], b["y"]):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield b.loc[keep, ["a", "b"]]
+
+    both = edges.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
+        held.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
+    )
+    found = common.components(common.mapped(both.select("a", "b", "x", "y"), decided, "a long, b long", 200))
+    groups = texts.join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
+    return rows.join(groups, "same", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates, **how) -> DataFrame:
+    """The rows of ``docs`` whose document is the smallest of its group, by ``near_duplicates`` or ``similar``.
 
     Of rows that repeat one id, a single one stays; rows with a null id all
     stay, having no group. The columns are those of ``docs``.
     """
     p = common.prefix(docs)
-    found = near_duplicates(docs, id_col, text_col, **how).where("doc_id is not null")
+    found = find(docs, id_col, text_col, **how).where("doc_id is not null")
     marks = found.groupBy(F.col("doc_id").alias(f"{p}id")).agg(
         (F.min("component_id") < F.first("doc_id")).alias(f"{p}gone"), F.count("*").alias(f"{p}times")
     )

@@ -91,3 +91,48 @@ def test_keep_first(docs, rows):
     assert sorted(i for i in kept if i is not None) == sorted(set(whole.values()))
     assert kept.count(None) == 1 and simhash.keep_first(docs).columns == docs.columns
     assert docs.where(F.col("doc_id").isNull()).count() == 1
+
+
+def test_similar_texts(spark):
+    rng = random.Random(12)
+    made = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n)]
+    texts = [" ".join(made(rng.randint(0, 300))) for _ in range(150)]
+    for t in texts[:50]:
+        w = t.split()
+        for _ in range(rng.randint(1, 4)):
+            v = list(w)
+            for _ in range(rng.randint(0, 6)):
+                if v:
+                    v[rng.randrange(len(v))] = made(1)[0]
+            texts.append(" ".join(v).upper() if rng.random() < 0.2 else " ".join(v))
+    texts += ["", None, " \t", "one two", "ONE  two"]
+    rows = [*enumerate(texts), (None, texts[0]), (3, texts[3]), (3, "another text of that id")]
+
+    def shingles(t):
+        w = WORD.findall((t or "").translate(LOWER))
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 5, 0) + 1)) if w else frozenset()
+
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    root = dict(zip(sets, sets))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if same >= 0.8 * (len(sets[i]) + len(sets[j]) - same):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = simhash.similar(docs).collect()
+    assert len(found) == len(rows)
+    got = {r["doc_id"]: r["component_id"] for r in found if r["doc_id"] not in (None, 3)}
+    want = {i: find(i) for i in sets if i != 3}
+    # Groups are never joined without a link, and hardly any link is missed.
+    assert all(want[i] == want[c] for i, c in got.items() if c in want)
+    assert sum(got[i] == want[i] for i in got) >= 0.97 * len(got)
+    kept = simhash.keep_first(docs, find=simhash.similar).collect()
+    assert {r["doc_id"] for r in kept} >= {i for i in want if want[i] == i} and len(kept) < len(rows) - 60
