@@ -58,14 +58,17 @@ def _at(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def written(df: DataFrame, label: str) -> str:
-    """Writes ``df`` to the shared folder; its path. What nobody releases goes when the driver's JVM ends."""
+def written(df: DataFrame, label: str, outer: bool = False) -> str:
+    """Writes ``df`` to the shared folder; its path. What nobody releases goes when the driver's JVM ends.
+
+    With ``outer`` it outlives the scope one is in.
+    """
     path = f"{shared_folder(df.sparkSession)}/logweave/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     fs, at = _at(df.sparkSession, path)
     fs.deleteOnExit(at)
     with _lock:
-        _own().append(path)
+        (_written if outer else _own()).append(path)
     return path
 
 
