@@ -113,20 +113,25 @@ def _grow(cells, grads, rows, features, depth, rate, ridge):
     )
 
 
-def calibrate(model: Model, held: list[dict], precision: float, z: float = 1.96) -> Model:
-    """Sets the lowest threshold above which the held-out cells reach the precision.
+def threshold(scored: list[tuple[float, int, int]], precision: float, z: float = 1.96) -> float:
+    """The lowest score from which on the cells (score, rows, positives) reach the precision.
 
-    Reached: by the lower end of Wilson's interval at ``z``. Where no threshold
-    does, the model selects nothing.
+    Reached: by the lower end of Wilson's interval at ``z``. Where no score does: 2, over any probability.
     """
-    scored = sorted(((model.probability(c), c["n"], c["pos"]) for c in held if c["n"]), reverse=True)
-    n = pos = 0
-    for k, (score, rows, good) in enumerate(scored):
+    ordered = sorted((x for x in scored if x[1]), reverse=True)
+    out, n, pos = 2.0, 0, 0
+    for k, (score, rows, good) in enumerate(ordered):
         n, pos = n + rows, pos + good
-        if k + 1 < len(scored) and scored[k + 1][0] == score:
+        if k + 1 < len(ordered) and ordered[k + 1][0] == score:
             continue
         p = pos / n
         low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
         if low >= precision:
-            model.threshold = score
+            out = score
+    return out
+
+
+def calibrate(model: Model, held: list[dict], precision: float, z: float = 1.96) -> Model:
+    """Sets the model's threshold by held-out cells."""
+    model.threshold = threshold([(model.probability(c), c["n"], c["pos"]) for c in held], precision, z)
     return model

@@ -1,13 +1,20 @@
 """Personal data: fixed formats, and candidates chosen by boosted trees.
 
 Base spans are what the fixed formats match. Generators with a wide reach
-propose further spans, overlapping or not: runs of digits with any of the usual
-separators, and anything around an at-sign. The trees see format and context of
-a proposal, never whether it passes a checksum or format check: they learn from
-the corpus how often such a look belongs to a span that does pass, so a number
-that looks like the checked ones and stands where they stand is redacted even
-if a digit is wrong. A proposal is taken when its score is over a threshold
-that reached the asked precision on held-out documents.
+propose further spans, which may overlap base spans and each other: runs of
+digits with any of the usual separators, anything around an at-sign, and
+addresses with the sign spelled out. The trees see format and context of a
+proposal, but neither whether it passes a checksum or format check nor the marks
+that base spans owe their being found to (the plus of a phone number).
+
+Nobody has labelled the corpus, so the trees learn from positive and unlabelled
+examples, in two steps with spies. Proposals that meet a base span are the positives. In the
+first step a fifth of them, the spies, is put among the open proposals; those that
+score below nearly all spies are reliable negatives. In the second step the trees
+learn positives against reliable negatives. An open proposal is redacted when its
+score is over the lowest threshold that reaches the asked precision on held-out documents.
+So a number that looks like the checked ones and stands where they stand is
+taken even if a digit is wrong.
 """
 
 from __future__ import annotations
@@ -16,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting, common
-from .spans import Rule, listed, overlaps, with_matches
+from .spans import Rule, bound, each, listed, mask, with_matches
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -32,11 +39,12 @@ OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 GENERATORS = [
     Rule("digits", r"[+(]?[0-9](?:[ ().,/:-]{0,2}[0-9])++"),
     Rule("at", r"(?:\G|(?<![^\s@]))[^\s@]++@[^\s@]++", "@"),
+    Rule("spelled", r"(?i)(?:\G|(?<![a-z0-9._%+-]))[a-z0-9._%+-]++ ?[\[({]at[\])}] ?[a-z0-9-]++(?:(?: ?[\[({]dot[\])}] ?|\.)[a-z0-9-]++)++"),
 ]
 
 FEATURES = ["source", "size", "marks", "head", "before", "after", "word"]
 
-#: Words of the context that go with a kind of personal data.
+#: Words of the context that go with a kind of personal data.
 CONTEXT_WORDS = [
     ("card", "card|visa|credit|iban|account|konto|cuenta|carte"),
     ("phone", "phone|tel|call|mobile|fax|handy|appel"),
@@ -90,7 +98,15 @@ def _side(c: Column) -> Column:
 
 def _features(s: Column) -> Column:
     """Small integers on format and context; see ``FEATURES`` for their order."""
-    body, at = s["body"], s["kind"] == "at"
+    at = s["kind"] != "digits"
+    # As if the sign weren't spelled out, and without the plus that makes a phone number.
+    body = F.when(s["kind"] == "spelled", F.regexp_replace(F.regexp_replace(s["body"], r"(?i) ?[\[({]at[\])}] ?", "@"), r"(?i) ?[\[({]dot[\])}] ?", "."))
+    body = body.otherwise(F.regexp_replace(s["body"], r"^\+", ""))
+    return bound(F.struct(s.alias("s"), body.alias("body"), at.alias("at")), _of)
+
+
+def _of(x: Column) -> Column:
+    s, body, at = x["s"], x["body"], x["at"]
     domain = F.substring_index(body, "@", -1)
     marks = (
         F.when(body.rlike(r"[,/:]"), 5).when(body.rlike(r"[()]"), 4).when(body.contains("."), 3)
@@ -102,10 +118,9 @@ def _features(s: Column) -> Column:
     return F.struct(
         at.cast("int").alias("source"),
         F.when(at, _bin(F.length(body), 5, 10, 15, 20, 30, 60))
-        .otherwise(_bin(F.length(_digits(body)), 7, 9, 11, 15, 16, 19)).alias("size"),
+        .otherwise(_bin(F.length(_digits(body)), 4, 7, 9, 11, 15, 16, 19)).alias("size"),
         F.when(at, F.least(F.size(F.split(domain, r"\.")) - 1, F.lit(5))).otherwise(marks).cast("int").alias("marks"),
-        F.when(at, F.when(domain.rlike(r"\.[A-Za-z]{2,6}[.,;:!?]?$"), 1).otherwise(0))
-        .otherwise(F.when(body.startswith("+"), 2).when(body.startswith("("), 1).otherwise(0)).cast("int").alias("head"),
+        F.when(at, F.when(domain.rlike(r"\.[A-Za-z]{2,6}[.,;:!?]?$"), 1).otherwise(0)).otherwise(F.when(body.startswith("("), 1).otherwise(0)).cast("int").alias("head"),
         _side(F.right(s["left"], F.lit(1))).alias("before"),
         _side(F.left(s["right"], F.lit(1))).alias("after"),
         word.cast("int").alias("word"),
@@ -116,83 +131,93 @@ def _kind_of(s: Column) -> Column:
     """The kind of an added span, from its format."""
     n = F.length(_digits(s["body"]))
     return (
-        F.when(s["kind"] == "at", "email").when(s["body"].rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), "ip")
+        F.when(s["kind"] != "digits", "email").when(s["body"].rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), "ip")
         .when(n >= 13, "card").otherwise("phone")
     )
 
 
 def proposals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, base, proposed): base spans, and proposals that meet none of them, marked or not.
+    """(doc_id, base, spelled, at, digits): base spans, and the proposals of each generator, ascending.
 
-    A proposal has its span, its features and whether it holds a base span.
+    A proposal has its span, its features and whether it meets a base span; that is read off
+    a mask of the text, so all is linear in the number of spans.
     """
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
     df = with_matches(df, "__text", RULES)
-    df = df.withColumn(
-        "base", F.concat(*[F.filter(k, _valid(k)) for k in KINDS])
-    ).drop(*KINDS)
+    df = df.withColumns({f"__mask_{k}": mask(F.col(k), _valid(k)) for k in KINDS})
+    df = df.withColumn("base", F.concat(*[F.filter(k, _valid(k)) for k in KINDS])).drop(*KINDS)
     df = with_matches(df, "__text", GENERATORS, context=16)
-    raw = F.concat(
-        F.filter("digits", lambda s: F.length(_digits(s["body"])) >= 7), F.col("at")
+    masks = [F.col(f"__mask_{k}") for k in KINDS]
+    said = lambda s, holds: F.struct(
+        _kind_of(s).alias("kind"), s["from"].alias("from"), s["to"].alias("to"), _features(s).alias("f"), holds.alias("holds")
     )
-    return df.withColumn("__raw", raw).select(
+    return df.select(
         "doc_id",
         F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["from"].alias("from"), s["to"].alias("to"))).alias("base"),
-        F.transform(
-            "__raw",
-            lambda s: F.struct(
-                _kind_of(s).alias("kind"), s["from"].alias("from"), s["to"].alias("to"),
-                _features(s).alias("f"), F.exists("base", lambda b: overlaps(s, b)).alias("holds"),
-            ),
-        ).alias("proposed"),
-    )
+        each(F.col("spelled"), masks, said).alias("spelled"),
+        each(F.col("at"), masks, said).alias("at"),
+        each(F.filter("digits", lambda s: F.length(_digits(s["body"])) >= 2), masks, said).alias("digits"),
+    )
 
 
-def train(found: DataFrame, precision: float = 0.98) -> boosting.Model:
-    """Trees on four fifths of the documents, their threshold on the rest.
+def train(found: DataFrame, precision: float = 0.98, spies: float = 0.05) -> boosting.Model:
+    """Trees on all documents; their threshold is calibrated on each half by trees of the other half.
 
-    What comes to the driver is the table of feature cells: at most
-    2 * 7 * 6 * 3 * 3 * 3 * 5 = 11340 rows, at any size of the corpus.
+    ``spies``: the share of spies that may score below a reliable negative's bound. What comes to the
+    driver is the table of feature cells: at most 2 * 2 * 2 * 8 * 6 * 2 * 3 * 3 * 5 = 34560
+    rows, at any size of the corpus. Without base spans, or without proposals unlike them, nothing is selected.
     """
-    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(10))
     cells = (
-        found.select(held.alias("held"), F.explode("proposed").alias("p"))
-        .groupBy("held", *[F.col(f"p.f.{f}").alias(f) for f in FEATURES])
+        found.select((part % 2).alias("half"), (part >= 8).alias("spy"), F.explode(F.concat("spelled", "at", "digits")).alias("p"))
+        .groupBy("half", "spy", *[F.col(f"p.f.{f}").alias(f) for f in FEATURES])
         .agg(F.count("*").alias("n"), F.sum(F.col("p.holds").cast("long")).alias("pos"))
         .collect()
     )
     rows = [r.asDict() for r in cells]
-    model = boosting.fit([r for r in rows if not r["held"]], FEATURES)
-    return boosting.calibrate(model, [r for r in rows if r["held"]], precision)
+    # First step: positives against open proposals, the spies among these.
+    first = boosting.fit([{**r, "pos": 0} if r["spy"] else r for r in rows], FEATURES)
+    allowed, low = spies * sum(r["pos"] for r in rows if r["spy"]), 0.0
+    for score, n in sorted((first.probability(r), r["pos"]) for r in rows if r["spy"] and r["pos"]):
+        low, allowed = score, allowed - n
+        if allowed < 0:
+            break
+    # Second step: open proposals from the bound on are left out, as nobody knows what they are.
+    known = [{**r, "n": r["pos"] + (r["n"] - r["pos"] if first.probability(r) < low else 0)} for r in rows]
+    known = [r for r in known if r["n"]]
+    if not 0 < sum(r["pos"] for r in known) < sum(r["n"] for r in known):
+        return boosting.Model(bias=0.0)
+    halves = [[r for r in known if r["half"] == h] for h in (0, 1)]
+    scored = []
+    for own, other in (halves, halves[::-1]):
+        model = boosting.fit(other, FEATURES)
+        scored += [(model.probability(r), r["n"], r["pos"]) for r in own]
+    model = boosting.fit(known, FEATURES)
+    model.threshold = boosting.threshold(scored, precision)
+    return model
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.98) -> DataFrame:
     """(doc_id, base, added): one row for each row of ``docs``; spans as arrays.
 
-    Added spans overlap neither a base span nor each other; of proposals that
-    overlap, the one with the highest score stays, then the earliest and
-    longest. A null text is an empty one; ids may be null or repeat; an empty
+    Added spans overlap neither a base span nor each other; of chosen proposals that
+    overlap, a spelled-out address goes before one with an at-sign, and that before a
+    run of digits. A null text is an empty one; ids may be null or repeat; an empty
     table gives an empty result. Other columns are neither read nor returned.
     """
     found = common.durable(proposals(docs, id_col, text_col), "pii")
     model = train(found, precision)
-    scored = F.transform(
-        F.filter("proposed", lambda p: ~p["holds"]),
-        lambda p: F.struct(
-            (-model.column(p["f"])).alias("rank"), p["from"].alias("from"), (-p["to"]).alias("back"),
-            p["kind"].alias("kind"), p["to"].alias("to"),
-        ),
-    )
-    taken = F.array_sort(F.filter(scored, lambda p: -p["rank"] >= model.threshold))
-    empty = F.expr("cast(array() as array<struct<kind:string,from:int,to:int>>)")
-    added = F.aggregate(
-        taken,
-        empty,
-        lambda acc, p: F.when(F.exists(acc, lambda a: overlaps(a, p)), acc).otherwise(
-            F.concat(acc, F.array(F.struct(p["kind"].alias("kind"), p["from"].alias("from"), p["to"].alias("to"))))
-        ),
-    )
-    return found.select("doc_id", "base", added.alias("added"))
+    chosen = lambda p: ~p["holds"] & (model.column(p["f"]) >= model.threshold)
+    if model.threshold > 1:
+        return found.select("doc_id", "base", F.expr("cast(array() as array<struct<kind:string,from:int,to:int>>)").alias("added"))
+    df, masks, taken = found, [], []
+    for name in ("spelled", "at", "digits"):
+        free = each(F.filter(name, chosen), masks, lambda p, met: F.struct(p["kind"].alias("kind"), p["from"].alias("from"), p["to"].alias("to"), met.alias("met")))
+        df = df.withColumn(f"__{name}", F.filter(free, lambda p: ~p["met"]))
+        df = df.withColumn(f"__mask_{name}", mask(F.col(f"__{name}"), lambda s: F.lit(True)))
+        masks.append(F.col(f"__mask_{name}"))
+        taken.append(F.transform(f"__{name}", lambda p: F.struct(p["kind"].alias("kind"), p["from"].alias("from"), p["to"].alias("to"))))
+    return df.select("doc_id", "base", F.concat(*taken).alias("added"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.98) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Matches whose places are summed up together.
-CHUNK = 256
+CHUNK = 64
 
 SPAN = "struct<kind:string,from:int,to:int,body:string,left:string,right:string>"
 
@@ -77,32 +77,31 @@ def _pairs(kind: str, context: int) -> Column:
 
 
 def _placed(kind: str) -> Column:
-    bodies, pairs = F.col(f"__found_{kind}"), F.col(f"__pairs_{kind}")
     # Running sums within chunks, then over chunks: appending one by one to a list of all matches
-    # would copy it each time.
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(bodies) - 1) / CHUNK).cast("int")),
-        lambda i: F.aggregate(F.slice(pairs, i * CHUNK + 1, F.lit(CHUNK)), _start(), _append(kind)),
-    )
-    whole = F.aggregate(
+    # would copy it each time. Pairs are bound, or they would be worked out anew for each chunk.
+    def chunks(pairs: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int"))
+        return F.transform(numbers, lambda i: F.aggregate(F.slice(pairs, i * CHUNK + 1, F.lit(CHUNK)), _start(), _append(kind)))
+
+    pairs = F.col(f"__pairs_{kind}")
+    whole = bound(pairs, lambda p: bound(chunks(p), _joined))
+    return F.when(F.size(pairs) > 0, whole).otherwise(no_spans())
+
+
+def _joined(chunks: Column) -> Column:
+    ends = F.aggregate(chunks, F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + c["at"])))
+    shifted = F.zip_with(
         chunks,
-        _start(),
-        lambda acc, c: F.struct(
-            (acc["at"] + c["at"]).alias("at"),
-            F.concat(
-                acc["found"],
-                F.transform(
-                    c["found"],
-                    lambda s: F.struct(
-                        s["kind"].alias("kind"), (acc["at"] + s["from"]).alias("from"), (acc["at"] + s["to"]).alias("to"),
-                        s["body"].alias("body"), s["left"].alias("left"), s["right"].alias("right"),
-                    ),
-                ),
-            ).alias("found"),
+        F.slice(ends, F.lit(1), F.size(chunks)),
+        lambda c, at: F.transform(
+            c["found"],
+            lambda s: F.struct(
+                s["kind"].alias("kind"), (at + s["from"]).alias("from"), (at + s["to"]).alias("to"),
+                s["body"].alias("body"), s["left"].alias("left"), s["right"].alias("right"),
+            ),
         ),
-        lambda acc: acc["found"],
     )
-    return F.when(F.size(bodies) > 0, whole).otherwise(no_spans())
+    return F.flatten(shifted)
 
 
 def _start() -> Column:
@@ -136,5 +135,39 @@ def listed(spans: Column, kinds: list[str], by: tuple[str, ...]) -> Column:
     return F.array_join(F.transform(F.array_sort(keyed), lambda s: s["said"]), ",")
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["from"] < b["to"]) & (b["from"] < a["to"])
+def bound(value: Column, fn) -> Column:
+    """``fn`` of a value that is worked out once, even where the planner folds projections into lambdas."""
+    return F.transform(F.array(value), fn)[0]
+
+
+def mask(spans: Column, counts) -> Column:
+    """A byte for each code point up to the last span's end: '1' within spans that ``counts`` holds for, else '0'.
+
+    ``spans`` is a column of ascending spans that don't overlap each other.
+    """
+
+    def of(spans: Column) -> Column:
+        parts = F.transform(
+            spans,
+            lambda s, i: F.concat(
+                F.repeat(F.lit("0"), s["from"] - F.coalesce(F.get(spans, i - 1)["to"], F.lit(0))),
+                F.repeat(F.when(counts(s), "1").otherwise("0"), s["to"] - s["from"]),
+            ),
+        )
+        return F.array_join(parts, "").cast("binary")
+
+    return bound(spans, of)
+
+
+def each(spans: Column, masks: list[Column], fn) -> Column:
+    """``fn(span, meets)`` for each span: ``meets`` says whether it overlaps one marked in a mask, by a look at its own bytes."""
+    one = F.lit(b"1")
+
+    def meets(s: Column, held: Column) -> Column:
+        out = F.lit(False)
+        for i in range(len(masks)):
+            out = out | F.contains(F.substring(held[f"m{i}"], s["from"] + 1, s["to"] - s["from"]), one)
+        return out
+
+    held = F.struct(F.lit(0).alias("none"), *[m.alias(f"m{i}") for i, m in enumerate(masks)])
+    return bound(held, lambda h: F.transform(spans, lambda s: fn(s, meets(s, h))))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -74,19 +75,39 @@ def test_added_spans_overlap_nothing(noisy):
                 taken.append(s)
 
 
-def test_mistyped_numbers_join_what_they_look_like(spark):
-    rng = random.Random(2)
+def card(rng, valid):
+    while True:
+        d = "".join(rng.choice("0123456789") for _ in range(16))
+        if passes("card", d) == valid:
+            return d
 
-    def card(valid):
-        while True:
-            d = "".join(rng.choice("0123456789") for _ in range(16))
-            if passes("card", d) == valid:
-                return d
 
-    rows = [(i, f"pay by card {card(i % 40 != 0)} today") for i in range(2000)] + [(5000 + i, f"order {rng.randint(10**7, 10**8)}x") for i in range(500)]
-    found = pii.detect(spark.createDataFrame(rows, "doc_id long, text string"), precision=0.9).collect()
+def test_near_forms_join_what_they_look_like(spark):
+    """Planted: wrong cards, phone numbers without a plus, spelled-out addresses; beside orders, years and prices."""
+    rng = random.Random(2)
+    phone = lambda mark: f"call {mark}1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)} now"
+    rows = [(i, f"pay by card {card(rng, i % 40 != 0)} today") for i in range(2000)]
+    rows += [(5000 + i, f"order {rng.randint(10**7, 10**8)}x of {rng.randint(1990, 2030)}, {rng.randint(1, 99)}.{rng.randint(10, 99)} each") for i in range(800)]
+    rows += [(7000 + i, phone("+" if i % 20 else "")) for i in range(1000)]
+    rows += [(9000 + i, f"write to name{i}@mail{i % 9}.example.com" if i % 10 else f"write to name{i} [at] mail{i % 9} [dot] example.com") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.detect(df, precision=0.9).collect()
     added = {r["doc_id"] for r in found if r["added"]}
-    assert added == {i for i in range(2000) if i % 40 == 0}
+    planted = {i for i in range(2000) if i % 40 == 0} | {7000 + i for i in range(1000) if i % 20 == 0} | {9000 + i for i in range(1000) if i % 10 == 0}
+    assert len(added & planted) >= 0.95 * len(planted) and len(added - planted) <= 0.02 * len(planted)
+    kinds = {r["doc_id"] // 1000 * 1000: r["added"][0]["kind"] for r in found if r["added"]}
+    assert (kinds[0], kinds[7000], kinds[9000]) == ("card", "phone", "email")
+    # Nothing to learn from: nothing is added.
+    assert pii.detect(df.where("doc_id between 5000 and 6000")).where("size(added) > 0").count() == 0
+
+
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"user{i}@mail{i % 9}.example.com token=abcdef{i:06d}" for i in range(20_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    assert pii.digest(pii.detect(df)).first()["n_email"] == 20_000
+    assert secrets.digest(secrets.scan(df)).first()["n_assign"] == 20_000
+    assert time.time() - began < 60
 
 
 def test_redaction_replaces_spans(spark):
@@ -98,13 +119,17 @@ def test_redaction_replaces_spans(spark):
 
 def test_random_strings_are_found_and_words_are_not(spark):
     rng = random.Random(4)
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    words = ["".join(rng.choice(["tion", "ment", "ing", "con", "pre", "er", "al"]) for _ in range(8)) for _ in range(3000)]
-    keys = {i: "".join(rng.choice(alphabet) for _ in range(40)) for i in range(0, 600, 20)}
-    rows = [(i, " ".join(words[5 * i : 5 * i + 5]) + " " + keys.get(i, "section2section2section2")) for i in range(600)]
+    digits, low, up = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    planted = [("0123456789abcdef", 20), (up + "234567", 24), (low + digits, 24), (up + low + digits, 40), (up + low + digits + "+/", 40), (digits, 18)]
+    word = lambda: "".join(rng.choice(["tion", "ment", "ing", "con", "pre", "er", "al"]) for _ in range(rng.randint(2, 8)))
+    keys = {i: "".join(rng.choice(planted[i // 20 % 6][0]) for _ in range(planted[i // 20 % 6][1])) for i in range(0, 3000, 20)}
+    rows = [(i, " ".join(word() for _ in range(60)) + " " + keys.get(i, "section2section2section2" if i % 30 == 5 else word())) for i in range(3000)]
     found = {r["doc_id"]: len(r["added"]) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     hit = {i for i, n in found.items() if n}
-    assert len(hit & set(keys)) >= 0.9 * len(keys) and len(hit - set(keys)) <= 2
+    for kind in range(6):
+        mine = {i for i in keys if i // 20 % 6 == kind}
+        assert len(hit & mine) >= 0.8 * len(mine), planted[kind]
+    assert len(hit - set(keys)) <= 0.02 * len(keys)
 
 
 def test_boosting():
