@@ -237,16 +237,16 @@ def _sql_prompt(prompt: str, **holes: str) -> str:
     return " || ".join("'" + p.replace("'", "''") + "'" if i % 2 == 0 else f"coalesce(({holes[p]})::VARCHAR, 'unknown')" for i, p in enumerate(parts))
 
 
-@query("SELECT event_id AS id, " + _sql_prompt(explain.NOVELTY_PROMPT, log_message="event_type || ' by ' || user_id", novelty_score="format('{:.2f}', value / 500)", threshold="'0.7'", n_reference="100") + " AS prompt FROM events WHERE event_id % 20 = 0")
+@query("SELECT event_id AS id, " + _sql_prompt(explain.NOVELTY_PROMPT, log_message="event_type || ' by ' || user_id", novelty_score="format('{:.2f}', value / 500)", threshold="'0.7'", n_reference="100") + " AS prompt FROM events")
 def novelty_prompts(spark, sf_dir):
-    e = read_table(spark, sf_dir, "events").where("event_id % 20 = 0")
-    p = explain.fill(explain.NOVELTY_PROMPT, log_message=F.concat_ws(" by ", "event_type", F.col("user_id").cast("string")), novelty_score=F.format_string("%.2f", F.col("value") / 500), threshold=F.lit("0.7"), n_reference=F.lit(100))
+    e = read_table(spark, sf_dir, "events")
+    p = explain.fill(explain.NOVELTY_PROMPT, log_message=F.concat_ws(" by ", "event_type", F.col("user_id").cast("string")), novelty_score=display.fixed(F.col("value") / 500, 2), threshold=F.lit("0.7"), n_reference=F.lit(100))
     return e.select(F.col("event_id").alias("id"), p.alias("prompt"))
 
 
-@query("SELECT event_id AS id, " + _sql_prompt(explain.ERROR_PROMPT, error_message="event_type", log_level="CASE WHEN event_id % 40 = 0 THEN 'ERROR' END", source="'app'", timestamp="strftime(ts, '%Y-%m-%d')", context="props") + " AS prompt FROM events WHERE event_id % 20 = 0")
+@query("SELECT event_id AS id, " + _sql_prompt(explain.ERROR_PROMPT, error_message="event_type", log_level="CASE WHEN event_id % 40 = 0 THEN 'ERROR' END", source="'app'", timestamp="strftime(ts, '%Y-%m-%d')", context="props") + " AS prompt FROM events")
 def error_prompts(spark, sf_dir):
-    e = read_table(spark, sf_dir, "events").where("event_id % 20 = 0")
+    e = read_table(spark, sf_dir, "events")
     p = explain.fill(explain.ERROR_PROMPT, error_message=F.col("event_type"), log_level=F.when(F.col("event_id") % 40 == 0, "ERROR"), source=F.lit("app"), timestamp=F.date_format("ts", "yyyy-MM-dd"), context=F.col("props"))
     return e.select(F.col("event_id").alias("id"), p.alias("prompt"))
 

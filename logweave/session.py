@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -38,5 +40,14 @@ def spread(df):
 
 
 def held(df):
-    """``df`` computed now, its plan cut: in the folder of ``spark.checkpoint.dir``, or on the executors where none is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    """``df`` computed now, its plan cut: in the folder of ``spark.checkpoint.dir``, which all executors share.
+
+    Only a local master may do without one: it gets a temporary folder.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="logweave-"))
+    return df.checkpoint()
