@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The longest line, in characters, that ``read_lines`` takes.
 MAX_LINE = 1024 * 1024
-MAX_FILE = 100 * 1024 * 1024
 PATTERNS = "*.{log,jsonl}"
 
 # The columns of the engines' own JSON log.
@@ -20,7 +20,7 @@ LOG_SCHEMA = (
 def read_lines(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = False, numbered: bool = False) -> DataFrame:
     """(line, source[, line_num]) of text files, of all files that fit a glob.
 
-    Lines over ``MAX_LINE`` characters are left out. Numbering needs whole files in
+    A line over ``MAX_LINE`` characters is an error when its row is computed, not left out. Numbering needs whole files in
     a task; without it files are split and read in parallel.
     """
     reader = spark.read.option("recursiveFileLookup", recursive)
@@ -31,13 +31,14 @@ def read_lines(spark: SparkSession, path: str, glob: str | None = None, recursiv
     else:
         whole = reader.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\n$", ""), "\r?\n", -1).alias("all"), F.col("_metadata.file_path").alias("source"))
         rows = whole.select(F.posexplode("all").alias("pos", "line"), "source").select("line", "source", (F.col("pos") + 1).alias("line_num"))
-    return rows.where(F.length("line") <= MAX_LINE)
+    too_long = F.raise_error(F.concat(F.lit("line too long in "), F.col("source"))).cast("string")
+    return rows.withColumn("line", F.when(F.length("line") <= MAX_LINE, F.col("line")).otherwise(too_long))
 
 
-def discover(spark: SparkSession, path: str, glob: str = PATTERNS, recursive: bool = True, most: int = MAX_FILE) -> DataFrame:
-    """(path, size, modified) of files that fit, up to a size; contents aren't read."""
+def discover(spark: SparkSession, path: str, glob: str = PATTERNS, recursive: bool = True, most: int | None = None) -> DataFrame:
+    """(path, size, modified) of files that fit, up to a size if one is given; contents aren't read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).load(path)
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")).where(F.col("size") <= most)
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")).where(F.lit(True) if most is None else F.col("size") <= most)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:

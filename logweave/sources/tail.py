@@ -4,7 +4,8 @@ Spark's file source takes a file as finished once it is seen. This one keeps
 {path: bytes read}: what was appended since is the next batch, a file that
 shrank is read again from its start, new files that fit are picked up, and
 half-written last lines wait. A batch takes at most ``maxLines`` new lines of a
-file. Register with ``spark.dataSource.register(TailSource)``.
+file. A query that is started again goes on from its checkpoint: its first
+batch takes what was appended meanwhile, however much. Register with ``spark.dataSource.register(TailSource)``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,11 @@ class _Span(InputPartition):
 
 
 class TailSource(DataSource):
-    """Options: path, patterns ('*.log,*.jsonl'), recursive, maxLines (100), maxFileMb (100)."""
+    """Options: path, patterns ('*.log,*.jsonl'), recursive, maxLines (100), maxFileMb (none).
+
+    ``maxFileMb`` leaves out files that are larger when they are first seen; a file that is followed
+    is followed on, whatever it grows to.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -41,8 +46,10 @@ class TailReader(DataSourceStreamReader):
         self.patterns = options.get("patterns", "*.log,*.jsonl").split(",")
         self.recursive = options.get("recursive", "true").lower() == "true"
         self.lines = int(options.get("maxLines", "100"))
-        self.most = int(options.get("maxFileMb", "100")) * 1024 * 1024
+        self.most = float(options.get("maxFileMb", "inf")) * 1024 * 1024
         self.last: dict = {}
+        # Only a query without a checkpoint asks for the initial offset; else what was read is known to Spark alone.
+        self.fresh = False
 
     def _files(self) -> dict[str, int]:
         """Sizes of the files that fit; files that vanish meanwhile are left out."""
@@ -56,14 +63,31 @@ class TailReader(DataSourceStreamReader):
                 sizes[f] = os.path.getsize(f)
             except OSError:
                 continue
-        return {f: n for f, n in sorted(sizes.items()) if n <= self.most}
+        return {f: n for f, n in sorted(sizes.items()) if n <= self.most or f in self.last}
+
+    @staticmethod
+    def _lines_end(path: str, size: int, block: int = 65536) -> int:
+        """Where the last whole line of a file ends."""
+        with open(path, "rb") as f:
+            while size > 0:
+                start = max(size - block, 0)
+                f.seek(start)
+                at = f.read(size - start).rfind(b"\n")
+                if at >= 0:
+                    return start + at + 1
+                size = start
+        return 0
 
     def initialOffset(self) -> dict:
+        self.fresh = True
         return {}
 
     def latestOffset(self) -> dict:
         out = {}
         for path, size in self._files().items():
+            if not self.fresh:
+                out[path] = self._lines_end(path, size)
+                continue
             start = self.last.get(path, 0)
             start = 0 if size < start else start
             out[path] = start
@@ -74,7 +98,7 @@ class TailReader(DataSourceStreamReader):
                     if not line.endswith(b"\n"):
                         break
                     out[path] += len(line)
-        self.last = out
+        self.last, self.fresh = dict(out), True
         return out
 
     def partitions(self, start: dict, end: dict) -> list[_Span]:

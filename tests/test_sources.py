@@ -53,6 +53,29 @@ def test_tail_offsets(tmp_path):
     assert take(third, r.latestOffset()) == ["new"]
 
 
+def test_tail_goes_on_from_a_checkpoint(tmp_path):
+    log = tmp_path / "a.log"
+    log.write_text("1\n2\n3\n4\n")
+    first = TailReader({"path": str(tmp_path), "maxLines": "3"})
+    first.initialOffset()
+    done = first.latestOffset()
+    with log.open("a") as f:
+        f.write("5\n" * 9 + "half")
+    # A reader of a restarted query isn't asked for the initial offset.
+    again = TailReader({"path": str(tmp_path), "maxLines": "2"})
+    end = again.latestOffset()
+    assert [line for p in again.partitions(done, end) for line, _, _ in again.read(p)] == ["4", *["5"] * 9]
+    with log.open("a") as f:
+        f.write(" more\n6\n7\n")
+    assert [line for p in again.partitions(end, again.latestOffset()) for line, _, _ in again.read(p)] == ["half more", "6"]
+
+
+def test_long_lines_are_errors(spark, tmp_path):
+    (tmp_path / "long.log").write_text("short\n" + "x" * (files.MAX_LINE + 1) + "\n")
+    with pytest.raises(Exception, match="line too long"):
+        files.read_lines(spark, str(tmp_path)).collect()
+
+
 def test_tail_stream_to_alerts(spark, tmp_path):
     logs, out = tmp_path / "logs", tmp_path / "out"
     logs.mkdir()
@@ -74,6 +97,25 @@ def test_tail_stream_to_alerts(spark, tmp_path):
     assert got == [("one", "slack"), ("two", "slack")]
 
 
+def test_stopped_stream_yields_each_line_once(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    spark.dataSource.register(TailSource)
+
+    def run():
+        lines = spark.readStream.format("logweave-tail").option("path", str(logs)).option("maxLines", "20").load()
+        query = lines.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out")).trigger(processingTime="0 seconds").start()
+        query.processAllAvailable()
+        query.stop()
+
+    for part in range(3):
+        with (logs / "a.log").open("a") as f:
+            f.writelines(f"line {part} {i}\n" for i in range(50))
+        run()
+    got = sorted(r["line"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted(f"line {part} {i}" for part in range(3) for i in range(50))
+
+
 def test_dead_letters(spark, tmp_path):
     spark.range(5).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
