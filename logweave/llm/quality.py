@@ -1,15 +1,17 @@
 """Quality rules with risk-controlled thresholds.
 
 Each rule is a score of a document; larger is worse. Labelled documents are the
-holdout: for each stratum (language) and rule, a cutoff from a fixed grid is
-admissible when the exact (Clopper-Pearson) upper bound on its rate of rejecting
-good documents stays within the allowed risk. Cutoffs of a rule are tried from
-the strictest rejection of none towards more (fixed-sequence testing, which
-needs no correction within the sequence), and the error probability is shared
-out over all rules and strata (Bonferroni), so all admissible cutoffs hold
-together and any of them may be chosen. Of a rule's, the one chosen rejects most
-bad documents for the good ones it costs. A document is rejected if it fails a
-base rule or the chosen cutoff of any rule of its stratum.
+holdout, split in two by a hash of their ids. The design half proposes: for each
+stratum (language) it orders cutoffs of the rules, from rejecting nothing on, each
+step lowering the cutoff of one rule to where it gains most bad documents for
+the good ones it costs. The proof half disposes: along that order, the share of good documents
+rejected by any rule at once must have an exact (Clopper-Pearson) upper bound
+within the allowed risk, and the scan stops at the first step that doesn't
+(fixed-sequence testing, which needs no correction within the sequence). The error
+probability is shared out over the strata (Bonferroni), so the guarantee holds for
+all of them together: in each stratum at most ``risk`` of the good documents that pass the base rules
+are rejected. A stratum with too few good documents in the proof half to prove the
+risk at all gets no cutoff: only the base rules reject there.
 """
 
 from __future__ import annotations
@@ -37,7 +39,6 @@ RULES = {
     "short_words": "100.0 * greatest(6 - word_chars / greatest(n_words, 1), 0) / 6",
 }
 TOP = 200
-MAX_STRATA = 64
 
 
 def counts_of(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -103,47 +104,84 @@ def _cells(rows: DataFrame) -> DataFrame:
     return rows.withColumn("r", F.explode(F.array(*rules))).select("*", "r.rule", "r.cell").drop("r")
 
 
+def proposed(cells: dict[str, dict[bool, Counter]], worth: float) -> list[tuple[str, int]]:
+    """Steps (rule, lowest rejected cell), the best first, from the design half's counts by rule, goodness and cell.
+
+    A step takes the cells of one rule from its last cutoff down; it is the one with the most bad
+    documents beyond ``worth`` times the good ones for each document it rejects, and must gain.
+    """
+    at = dict.fromkeys(cells, TOP + 1)
+    steps = []
+    while True:
+        best = (0.0, 0, "", 0)
+        for rule, table in cells.items():
+            good = bad = 0
+            for cell in range(at[rule] - 1, 0, -1):
+                good, bad = good + table[True][cell], bad + table[False][cell]
+                if bad > worth * good:
+                    best = max(best, ((bad - worth * good) / (good + bad), bad, rule, cell))
+        if best[0] <= 0:
+            return steps
+        _, _, rule, cell = best
+        at[rule] = cell
+        steps.append((rule, cell))
+
+
+def least_holdout(risk: float, error: float) -> int:
+    """The fewest good documents that can prove the risk: with none of them rejected."""
+    n = max(1, math.ceil(math.log(error) / math.log1p(-risk)))
+    return n if controlled(0, n, risk, error) else n + 1
+
+
 def thresholds(
     counts: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05, worth: float = 10.0
-) -> dict[tuple[str, str], int]:
-    """{(stratum, rule): lowest rejected cell} with the risk controlled together at ``error``.
-
-    The holdout is the labelled documents that pass the base rules, each once; a
-    document with any label 1 is good. Strata are the languages with enough good
-    documents to prove the risk at all, the ``MAX_STRATA`` largest of them; all
-    others and null share the stratum ''. A scan of the grid stops at the first
-    cutoff that isn't controlled; of those before it, the one that rejects most bad
-    documents wins, a good one counting ``worth`` times, and none if it gains
-    nothing. The driver gets at most 65 * 5 * 201 counted cells and the languages'
-    names.
+) -> dict[str, dict[str, int]]:
+    """{stratum: {rule: lowest rejected cell}} with the risk of each stratum controlled together at ``error``.
+
+    The holdout is the labelled documents that pass the base rules, each id once, with the
+    row of the smallest counts where an id repeats; a document with any label 1 is good. Rows without
+    a language are a stratum of their own. The driver gets a few thousand counted cells for each stratum that can
+    prove the risk, and no stratum that can't.
     """
     marked = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         (F.max("quality") == 1).alias("good")
     )
-    holdout = counts.where("not base_failed").join(marked, "doc_id").dropDuplicates(["doc_id"])
-    holdout = common.durable(holdout, "holdout")
-    sizes = (
-        holdout.where("good and stratum is not null").groupBy("stratum").count()
-        .orderBy(F.desc("count"), "stratum").limit(MAX_STRATA).collect()
-    )
-    # Every language that qualifies shares the error with the others, and with ''.
-    for tests in (len(RULES) * (1 + n) for n in range(len(sizes), -1, -1)):
-        named = [r["stratum"] for r in sizes if controlled(0, r["count"], risk, error / tests)]
-        if len(RULES) * (1 + len(named)) >= tests:
-            break
-    rows = holdout.withColumn("stratum", F.when(F.col("stratum").isin(named), F.col("stratum")).otherwise("") if named else F.lit(""))
-    table: dict[tuple[str, str], dict[bool, Counter]] = {}
-    for r in _cells(rows).groupBy("stratum", "rule", "cell", "good").count().collect():
-        table.setdefault((r["stratum"], r["rule"]), {True: Counter(), False: Counter()})[r["good"]][r["cell"]] += r["count"]
-    out = {}
-    for key, cells in table.items():
-        n, good, bad, best = sum(cells[True].values()), 0, 0, 0.0
-        for cell in range(TOP, 0, -1):
-            good, bad = good + cells[True][cell], bad + cells[False][cell]
-            if not controlled(good, n, risk, error / tests):
+    row = F.struct(*COUNTS, "n_lines", F.col("stratum").isNull().alias("none"), F.coalesce("stratum", F.lit("")).alias("named"))
+    first = counts.where("not base_failed").groupBy("doc_id").agg(F.min(row).alias("row"))
+    proof = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) > 0
+    holdout = first.join(marked, "doc_id").select("row.*", "good", proof.alias("proof"))
+    stratum = F.when(F.col("none"), F.lit("")).otherwise(F.concat(F.lit("="), "named"))
+    holdout = common.durable(holdout.withColumn("stratum", stratum), "holdout")
+    least = least_holdout(risk, error)
+    sizes = {r["stratum"]: r["count"] for r in holdout.where("good and proof").groupBy("stratum").count().where(F.col("count") >= least).collect()}
+    # Each stratum that qualifies shares the error with the others that do.
+    while sizes and (small := [s for s, n in sizes.items() if n < least_holdout(risk, error / len(sizes))]):
+        del sizes[min(small, key=lambda s: (sizes[s], s))]
+    if not sizes:
+        return {}
+    rows = holdout.where(F.col("stratum").isin(list(sizes)))
+    design: dict[str, dict[str, dict[bool, Counter]]] = {s: {} for s in sizes}
+    for r in _cells(rows.where("not proof")).groupBy("stratum", "rule", "cell", "good").count().collect():
+        design[r["stratum"]].setdefault(r["rule"], {True: Counter(), False: Counter()})[r["good"]][r["cell"]] += r["count"]
+    orders = {s: proposed(design[s], worth) for s in sizes}
+    # The first step that rejects a document, and how many good ones each step is the first to reject.
+    step = F.lit(None).cast("int")
+    for s, order in orders.items():
+        own = F.lit(None).cast("int")
+        for i, (rule, cell) in reversed(list(enumerate(order))):
+            own = F.when(F.expr(RULES[rule]) >= cell, i).otherwise(own)
+        step = F.when(F.col("stratum") == s, own).otherwise(step)
+    rejected: dict[str, Counter] = {s: Counter() for s in sizes}
+    for r in rows.where("proof and good").select("stratum", step.alias("step")).where("step is not null").groupBy("stratum", "step").count().collect():
+        rejected[r["stratum"]][r["step"]] = r["count"]
+    out: dict[str, dict[str, int]] = {}
+    for s, order in orders.items():
+        k = 0
+        for i, (rule, cell) in enumerate(order):
+            k += rejected[s][i]
+            if not controlled(k, sizes[s], risk, error / len(sizes)):
                 break
-            if bad - worth * good > best:
-                best, out[key] = bad - worth * good, cell
+            out.setdefault(s, {})[rule] = cell
     return out
 
 
@@ -152,19 +190,16 @@ def judge(
 ) -> DataFrame:
     """Counts, ``base_failed`` and ``kept``: one row for each row of ``docs``.
 
-    A null text has no words and so fails the base rules; a null or rare
-    language is in the common stratum; labels that are null or of unknown
-    documents don't count, and without labels only the base rules reject. Ids
-    may repeat. An empty table gives an empty result.
+    A null text has no words and so fails the base rules; rows without a language are a
+    stratum of their own; labels that are null or of unknown documents don't count, and where they
+    can't prove the risk only the base rules reject. Ids may repeat. An empty table gives an empty result.
     """
     counts = common.durable(measured(docs, id_col, text_col, stratum_col), "counts")
-    cuts = thresholds(counts, labels, risk, error)
-    strata = sorted({s for s, _ in cuts if s})
-    stratum = F.when(F.col("stratum").isin(strata), F.col("stratum")).otherwise("") if strata else F.lit("")
     rejected = F.lit(False)
-    for (s, rule), cell in sorted(cuts.items()):
-        rejected = rejected | ((stratum == s) & (F.expr(RULES[rule]) >= cell))
+    for s, cuts in sorted(thresholds(counts, labels, risk, error).items()):
+        mine = F.col("stratum").isNull() if s == "" else F.col("stratum").eqNullSafe(F.lit(s[1:]))
+        for rule, cell in sorted(cuts.items()):
+            rejected = rejected | (mine & (F.expr(RULES[rule]) >= cell))
     return counts.select(
         "doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & ~rejected).alias("kept")
     )
-

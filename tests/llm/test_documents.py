@@ -52,11 +52,32 @@ def test_binomial_bound():
 def test_quality_risk(spark):
     rng = random.Random(8)
     filler = lambda mark: " ".join(f"w{rng.randint(0, 10**6)}{mark}" for _ in range(60))
-    rows = [(i, filler("" if i % 10 else "###"), "en") for i in range(4000)]
+    # A language large enough to prove the risk, and a small one whose documents all look like the bad ones of the other.
+    rows = [(i, filler("" if i % 10 else "###"), "en") for i in range(4000)] + [(5000 + i, filler("###"), "xx") for i in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(4000)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(4000)] + [(5000 + i, 1) for i in range(100)], "doc_id long, quality int")
     kept = {r["doc_id"] for r in quality.judge(docs, labels).where("kept").collect()}
-    assert kept == {i for i in range(4000) if i % 10}
+    assert kept == {i for i in range(4000) if i % 10} | {5000 + i for i in range(100)}
+
+
+def test_risk_holds_for_all_rules_together(spark):
+    # Good documents that each fail some rule now and then: the bound is on all rules at once.
+    rng = random.Random(5)
+    rows, marks = [], []
+    for i in range(12000):
+        bad = i % 8 == 0
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
+        if bad or rng.random() < 0.004:
+            words = [w + "##" for w in words]
+        if bad or rng.random() < 0.004:
+            words = [w * 3 for w in words]
+        rows.append((i, " ".join(words), "en"))
+        marks.append((i, int(not bad)))
+    counts = quality.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    cuts = quality.thresholds(counts, spark.createDataFrame(marks, "doc_id long, quality int"), risk=0.01)
+    assert cuts
+    failed = [r["doc_id"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, quality int")).where("not kept").collect()]
+    assert sum(i % 8 > 0 for i in failed) <= 0.01 * 10500 and sum(i % 8 == 0 for i in failed) >= 1400
 
 
 def plain_lines(rows):
