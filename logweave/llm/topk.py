@@ -1,12 +1,14 @@
 """Exact top-k inner products by columnar branch and bound.
 
 Vectors are packed into blocks laid out by dimension. Every pair of a query
-block and a candidate block is one unit of work: inner products accumulate one
-block of dimensions after another, and after each the Cauchy-Schwarz bound on
-what the remaining dimensions can still add drops candidates that can't reach
-the query's k-th best score so far. While many survive, the next block of
-dimensions is a dense product; once few do, the survivors are compacted and
-only they go on. Results of the units are merged by rank.
+block and a candidate block is one unit of work: dimensions are taken in order of the
+candidates' energy, inner products accumulate one block of dimensions after another,
+and after each the Cauchy-Schwarz bound on what the remaining dimensions can still
+add drops candidates that can't reach the query's k-th best score so far. A task
+carries that score from unit to unit, so it rises as candidate blocks go by. While
+many candidates survive, the next block of dimensions is a dense product; from
+``dense`` on, which is about where gathering pays, the survivors are compacted and only they go on.
+Results of the units are merged by rank.
 """
 
 from __future__ import annotations
@@ -57,43 +59,52 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
     return common.mapped(rows, run, "dim int, ids binary, block binary", 4096)
 
 
-def _search(q_ids, q, c_ids, c, k: int, step: int, dense: float):
-    """Top ``k`` of one unit: arrays (query row, candidate row, score). ``q`` and ``c`` are (dim, n)."""
+def _search(q_ids, q, c_ids, c, k: int, step: int, dense: float, floor: np.ndarray | None = None, shares: list | None = None):
+    """Top ``k`` of one unit: arrays (query row, candidate row, score). ``q`` and ``c`` are (dim, n).
+
+    ``floor``: scores that ``k`` candidates of each query are known to reach. ``shares`` gets
+    the share of candidates that survive each block of dimensions.
+    """
+    order = np.argsort(-(c**2).sum(1), kind="stable")
+    q, c = q[order], c[order]
     dims, n = c.shape
-    own = q_ids[:, None] == c_ids[None, :]
     cuts = list(range(0, dims, step))
     # Norms of what lies beyond each cut.
     q_rest = [np.sqrt((q[at + step :] ** 2).sum(0)) for at in cuts]
     c_rest = [np.sqrt((c[at + step :] ** 2).sum(0)) for at in cuts]
     total = np.zeros((q.shape[1], n))
-    alive = ~own
-    floor = np.full(q.shape[1], -np.inf)
+    alive = q_ids[:, None] != c_ids[None, :]
+    floor = np.full(q.shape[1], -np.inf) if floor is None else floor
     pairs = None
     for number, at in enumerate(cuts):
+        last = number == len(cuts) - 1
         if pairs is None:
             total += q[at : at + step].T @ c[at : at + step]
-            if number == len(cuts) - 1:
+            if last:
                 break
-            if number == 0 and n > 2 * k:
+            if number == 0 and n > 2 * k and not np.isfinite(floor).all():
                 # The full scores of the best beginnings give the first floor.
                 head = np.argpartition(np.where(alive, -total, np.inf), 2 * k - 1, axis=1)[:, : 2 * k]
                 full = np.einsum("dq,dqk->qk", q, c[:, head])
                 full[~np.take_along_axis(alive, head, 1)] = -np.inf
-                floor = -np.partition(-full, k - 1, axis=1)[:, k - 1]
-            reach = total + q_rest[number][:, None] * c_rest[number][None, :]
-            alive &= reach >= floor[:, None] - 1e-6 * np.abs(floor[:, None])
-            if alive.mean() < dense:
+                floor = np.maximum(floor, -np.partition(-full, k - 1, axis=1)[:, k - 1])
+            least = floor - 1e-6 * np.abs(floor)
+            alive &= total + q_rest[number][:, None] * c_rest[number][None, :] >= least[:, None]
+            share = alive.mean()
+            if share < dense:
                 pairs = np.nonzero(alive)
                 score = total[pairs]
         else:
             qi, ci = pairs
             score = score + np.einsum("dp,dp->p", q[at : at + step, qi], c[at : at + step, ci])
-            if number < len(cuts) - 1:
-                reach = score + q_rest[number][qi] * c_rest[number][ci]
-                keep = reach >= floor[qi] - 1e-6 * np.abs(floor[qi])
+            if not last:
+                keep = score + q_rest[number][qi] * c_rest[number][ci] >= least[qi]
                 pairs, score = (qi[keep], ci[keep]), score[keep]
+                share = len(score) / alive.size
+        if shares is not None and not last:
+            shares.append(float(share))
     if pairs is None:
-        pairs = np.nonzero(alive)
+        pairs = np.nonzero(alive & (total >= (floor - 1e-6 * np.abs(floor))[:, None]))
         score = total[pairs]
     qi, ci = pairs
     order = np.lexsort((c_ids[ci], -score, qi))
@@ -103,6 +114,26 @@ def _search(q_ids, q, c_ids, c, k: int, step: int, dense: float):
     return qi[rank < k], ci[rank < k], score[rank < k]
 
 
+class _Floors:
+    """The ``k`` best scores so far of the queries of each block that a task has met; as many numbers as results."""
+
+    def __init__(self, k: int):
+        self.k, self.best = k, {}
+
+    def of(self, key: bytes, n: int) -> np.ndarray:
+        if key not in self.best:
+            self.best[key] = np.full((n, self.k), -np.inf)
+        return self.best[key][:, -1].copy()
+
+    def add(self, key: bytes, qi: np.ndarray, score: np.ndarray) -> None:
+        best = self.best[key]
+        new = np.full_like(best, -np.inf)
+        first = np.searchsorted(qi, qi)
+        new[qi, np.arange(len(qi)) - first] = score
+        both = np.concatenate([best, new], axis=1)
+        self.best[key] = -np.sort(-both, axis=1)[:, : self.k]
+
+
 def top_k(
     vectors: DataFrame,
     queries: DataFrame,
@@ -131,15 +162,21 @@ def top_k(
     # Both sides are small numbers of packed blocks: (rows / block) * (queries / query_block) units.
     asked = common.durable(asked.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("block").alias("q_block")), "asked")
     candidates = common.durable(candidates.repartition(F.xxhash64("ids")), "candidates")
-    units = candidates.join(asked, F.col("dim") == F.col("q_dim"))
+    # One length is the rule and would be a single hot key: candidate blocks are dealt to parts, and the queries, the smaller side, to each part.
+    parts = 64
+    candidates = candidates.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
+    asked = asked.withColumn("q_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    units = candidates.join(asked, (F.col("dim") == F.col("q_dim")) & (F.col("part") == F.col("q_part")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        floors = _Floors(k)
         for batch in batches:
             for u in batch.itertuples(index=False):
                 c_ids, q_ids = np.frombuffer(u.ids, np.int64), np.frombuffer(u.q_ids, np.int64)
                 c = np.frombuffer(u.block, np.float64).reshape(u.dim, -1)
                 q = np.frombuffer(u.q_block, np.float64).reshape(u.dim, -1)
-                qi, ci, score = _search(q_ids, q, c_ids, c, k, step, dense)
+                qi, ci, score = _search(q_ids, q, c_ids, c, k, step, dense, floors.of(u.q_ids, len(q_ids)))
+                floors.add(u.q_ids, qi, score)
                 yield pd.DataFrame({"query_id": q_ids[qi], "vec_id": c_ids[ci], "score": score.astype(np.int64)})
 
     found = units.mapInPandas(run, "query_id long, vec_id long, score long")
