@@ -120,18 +120,21 @@ class VectorStore:
         return VectorStore(self.spark, path)
 
     def clear(self) -> None:
-        self.read().limit(0).write.mode("overwrite").parquet(self.path + ".empty")
-        self.path += ".empty"
+        """Deletes the data; the table stays, empty."""
+        empty = self.spark.createDataFrame([], self.read().schema)
+        empty.write.mode("overwrite").parquet(self.path)
 
 
 class InvertedLists:
     """An approximate index: k-means cells on a bounded sample, every row in its cell, the nearest cells probed.
 
+    ``probes`` is the least number of cells; training raises it until ``recall`` of the ten nearest
+    of sampled rows are found among the sample. With ``recall`` None it stays as given.
     Serves the index types IVF and IVFFlat, and HNSW as the approximate choice.
     """
 
-    def __init__(self, lists: int = 100, probes: int = 10, sample: int = 50_000, seed: int = 42):
-        self.lists, self.probes, self.sample, self.seed = lists, probes, sample, seed
+    def __init__(self, lists: int = 100, probes: int = 10, sample: int = 50_000, seed: int = 42, recall: float | None = 0.95):
+        self.lists, self.probes, self.sample, self.seed, self.recall = lists, probes, sample, seed, recall
         self.centres: np.ndarray | None = None
 
     def train(self, df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", rounds: int = 10) -> InvertedLists:
@@ -147,8 +150,22 @@ class InvertedLists:
                 if (near == i).any():
                     c[i] = x[near == i].mean(0)
         self.centres = c
+        if self.recall is not None:
+            self.probes = max(self.probes, self._enough(x))
         return self
 
+    def _enough(self, x: np.ndarray, k: int = 10, asked: int = 500) -> int:
+        """How many cells hold ``recall`` of the nearest neighbours of sampled rows, within the sample."""
+        c = self.centres
+        norms = (c**2).sum(1)
+        home = np.concatenate([(norms[None, :] - 2 * x[i : i + 4096] @ c.T).argmin(1) for i in range(0, len(x), 4096)])
+        q = x[:: max(len(x) // asked, 1)][:asked]
+        turn = np.empty((len(q), len(c)), np.int64)  # of each cell, when a query probes it
+        np.put_along_axis(turn, np.argsort(norms[None, :] - 2 * q @ c.T, axis=1, kind="stable"), np.arange(len(c))[None, :], 1)
+        near = np.argsort((x**2).sum(1)[None, :] - 2 * q @ x.T, axis=1, kind="stable")[:, 1 : k + 1]
+        needed = np.sort(np.take_along_axis(turn, home[near], 1).ravel())
+        return int(needed[min(int(np.ceil(self.recall * len(needed))), len(needed)) - 1]) + 1 if len(needed) else 1
+
     def _cells(self, df: DataFrame, id_col: str, vector_col: str, probes: int) -> DataFrame:
         centres = self.centres
 

@@ -184,3 +184,16 @@ def test_provider_failures_stay_in_their_rows(spark):
     df = spark.createDataFrame([("ok",), ("bad",)], "p string")
     got = {r["p"]: (r["answer"], r["error"]) for r in explain.ask(df, "p", provider, attempts=2, base=0.0).collect()}
     assert got == {"ok": ("OK", None), "bad": (None, "RuntimeError: no")}
+
+
+def test_inverted_lists_reach_their_recall(spark):
+    rng = np.random.default_rng(3)
+    df = _vectors(spark, rng.normal(size=(1200, 16)))
+    asked = df.where("vec_id % 50 = 0")
+    exact = {(r["query_id"], r["ref_id"]) for r in knn.nearest(asked, df, 10).collect()}
+    index = embedding.index("IVFFlat", lists=30, probes=2).train(df)
+    found = {(r["query_id"], r["ref_id"]) for r in index.search(df, asked, 10).collect()}
+    assert len(exact & found) >= 0.9 * len(exact) and index.probes < 30
+    # Every row is in a list: with all lists probed nothing is missed.
+    whole = embedding.InvertedLists(lists=30, probes=30, recall=None).train(df).search(df, asked, 10)
+    assert {(r["query_id"], r["ref_id"]) for r in whole.collect()} == exact
