@@ -8,11 +8,14 @@ How the join is dealt out. The 64 bits are cut into ``blocks`` runs. With
 ``budget`` differing bits at least ``blocks - budget`` runs are equal, so for
 each choice of that many runs the distinct fingerprints are grouped by those
 bits and each group is a trie of its own, joined with itself. Fingerprints
-shared by many documents count once. A group larger than ``leaf`` is split:
-what lies within the budget of the group's most common fingerprint (its pivot)
-is linked to the pivot at once and needs no comparison among itself; it is
-dealt to units of about ``leaf`` rows, and the rest of the group goes to every
-unit. No pair is lost by this and no unit holds a whole group.
+shared by many documents count once. In a group larger than ``leaf``, what lies
+within the budget of its most common fingerprint (its pivot) is linked to the pivot
+at once and needs no comparison among itself. The group is then dealt out anew:
+its other bits are cut into ``budget + 2`` runs, of which two must be equal, so each row
+goes to one sub-trie for each choice of two, and crowded groups of far-apart
+fingerprints fall to pieces at a constant number of rows for each. Only what is
+still crowded then, fingerprints that share two levels of prefixes, is split around a pivot of
+its own: the near rows into units of about ``leaf`` and the rest to every unit. No pair is lost by this.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -204,53 +207,66 @@ def _link_units(budget: int, room: int = 30_000):
     return run
 
 
-def link_nodes(nodes: DataFrame, budget: int = 4, blocks: int = 6, leaf: int = 1024) -> DataFrame:
-    """Links (a, b) that span each component of ``nodes`` (fp, node, weight); fp is unique."""
-    if not 0 <= budget < blocks <= 64:
-        raise ValueError("blocks must exceed the budget")
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    masks = [((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in range(blocks)]
-    keys = []
-    for number, kept in enumerate(combinations(range(blocks), blocks - budget)):
-        mask = sum(masks[i] for i in kept)
-        mask -= (mask >> 63) << 64
-        keys.append(
-            F.struct(
-                F.lit(number).alias("trie"),
-                F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("prefix"),
-            )
-        )
-    rows = nodes.withColumn("at", F.explode(F.array(*keys))).select("fp", "node", "weight", "at.trie", "at.prefix")
-    groups = (
+def _masks(free: int, runs: int, kept: int) -> list[int]:
+    """Masks over the set bits of ``free``, cut into runs, for each choice of ``kept`` runs."""
+    bits = [i for i in range(64) if free >> i & 1]
+    cuts = [len(bits) * i // runs for i in range(runs + 1)]
+    parts = [sum(1 << i for i in bits[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
+    return [sum(parts[i] for i in chosen) for chosen in combinations(range(runs), kept)]
+
+
+def _signed(mask: int) -> int:
+    return mask - ((mask >> 63) << 64)
+
+
+def _pivoted(rows: DataFrame, leaf: int) -> DataFrame:
+    """(trie, prefix, size, pivot) of the groups over ``leaf``."""
+    return (
         rows.groupBy("trie", "prefix")
         .agg(F.count("*").alias("size"), F.max_by(F.struct("fp", "node"), F.struct("weight", "node")).alias("pivot"))
         .where(F.col("size") > leaf)
     )
-    placed = rows.join(groups, ["trie", "prefix"], "left").withColumn(
-        "near",
-        F.coalesce(F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot.fp"))) <= budget, F.lit(False)),
-    )
-    units = F.ceil(F.coalesce(F.col("size"), F.lit(1)) / leaf).cast("int")
-    placed = (
-        placed.withColumn(
-            "part",
-            F.explode(
-                F.when(F.col("near"), F.array(F.pmod(F.xxhash64("fp"), units).cast("int"))).otherwise(
-                    F.sequence(F.lit(0), units - 1)
-                )
-            ),
-        )
-        .select("fp", "node", "near", F.xxhash64("trie", "prefix", "part").alias("unit"))
-        .repartition("unit")
-        .sortWithinPartitions("unit")
-    )
-    found = placed.mapInPandas(_link_units(budget), "a long, b long")
-    pivots = (
-        rows.join(groups.select("trie", "prefix", F.col("pivot.fp").alias("pfp"), F.col("pivot.node").alias("pnode")), ["trie", "prefix"])
-        .where((F.bit_count(F.col("fp").bitwiseXOR(F.col("pfp"))) <= budget) & (F.col("node") != F.col("pnode")))
-        .select(F.col("node").alias("a"), F.col("pnode").alias("b"))
+
+
+def _within(pivot: str, budget: int) -> Column:
+    return F.bit_count(F.col("fp").bitwiseXOR(F.col(f"{pivot}.fp"))) <= budget
+
+
+def link_nodes(nodes: DataFrame, budget: int = 4, blocks: int = 6, leaf: int = 1024) -> DataFrame:
+    """Links (a, b) that span each component of ``nodes`` (fp, node, weight); fp is unique."""
+    if not 0 <= budget < blocks <= 64:
+        raise ValueError("blocks must exceed the budget")
+    masks = _masks((1 << 64) - 1, blocks, blocks - budget)
+    keys = [F.struct(F.lit(i).alias("trie"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("prefix")) for i, m in enumerate(masks)]
+    rows = nodes.withColumn("at", F.explode(F.array(*keys))).select("fp", "node", "weight", F.col("at.trie").alias("trie"), F.col("at.prefix").alias("prefix"))
+    crowded = common.durable(_pivoted(rows, leaf), "crowded")
+    small = rows.join(crowded.select("trie", "prefix"), ["trie", "prefix"], "left_anti").select(
+        "fp", "node", F.lit(False).alias("near"), F.xxhash64("trie", "prefix").alias("unit")
     )
-    return found.unionAll(pivots)
+    linked = lambda df: df.where(F.col("near") & (F.col("node") != F.col("pivot.node"))).select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
+    placed, found = small, None
+    if not crowded.isEmpty():
+        inner = rows.join(crowded, ["trie", "prefix"]).withColumn("near", _within("pivot", budget))
+        pivots = linked(inner)
+        # By trie, the sub-tries over the bits that its prefix leaves free.
+        subs = F.array(*[F.array(*[F.lit(_signed(m)).cast("long") for m in _masks(((1 << 64) - 1) & ~mask, budget + 2, 2)]) for mask in masks])
+        again = inner.select("fp", "node", "weight", "near", "trie", "prefix", F.posexplode(F.element_at(subs, F.col("trie") + 1)).alias("sub", "mask"))
+        again = again.select(
+            "fp", "node", "weight", "near", (F.col("trie") * 1000 + F.col("sub")).alias("trie"),
+            F.xxhash64("prefix", F.col("fp").bitwiseAND(F.col("mask"))).alias("prefix"),
+        )
+        again = common.durable(again, "sub-tries")
+        packed = common.durable(_pivoted(again, leaf), "crowded")
+        loose = again.join(packed.select("trie", "prefix"), ["trie", "prefix"], "left_anti").select("fp", "node", "near", F.xxhash64("trie", "prefix").alias("unit"))
+        dense = again.drop("near").join(packed, ["trie", "prefix"]).withColumn("near", _within("pivot", budget))
+        units = F.ceil(F.col("size") / leaf).cast("int")
+        part = F.when(F.col("near"), F.array(F.pmod(F.xxhash64("fp"), units).cast("int"))).otherwise(F.sequence(F.lit(0), units - 1))
+        split = dense.withColumn("part", F.explode(part)).select("fp", "node", "near", F.xxhash64("trie", "prefix", "part").alias("unit"))
+        placed = small.unionAll(loose).unionAll(split)
+        found = pivots.unionAll(linked(dense))
+    placed = placed.repartition("unit").sortWithinPartitions("unit")
+    joined = placed.mapInPandas(_link_units(budget), "a long, b long")
+    return joined if found is None else joined.unionAll(found)
 
 
 def near_duplicates(
