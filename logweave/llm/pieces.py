@@ -311,17 +311,19 @@ def encode(
     seed: int = 11,
     variants: int = 4,
     model_path: str = MODEL_PATH,
+    verify: bool = False,
 ) -> DataFrame:
-    """(doc_id, ids, n_pieces, ids_hash, lossless): one row for each row of ``docs``.
+    """(doc_id, ids, n_pieces, ids_hash): one row for each row of ``docs``; with ``verify`` also lossless.
 
     ``ids`` are the piece numbers as little-endian 16-bit integers (32-bit if the model has
     more than 65536 pieces), ``ids_hash`` the XXH64 of them in hex, and ``lossless``
     says that decoding gave the text back. A null text is null throughout, with no
-    pieces and ``lossless`` true; an empty one has no pieces. Whole texts are
+    pieces and ``lossless`` true; an empty one has no pieces. ``variants`` bounds the segmentations of a
+    word over the corpus: more of them show more, and cost more, as fewer encodings are found in a worker's memory. Whole texts are
     encoded, of any length. Rows equal in id and text are encoded alike. An empty
     table gives an empty result; other columns are neither read nor returned.
     """
-    proto = read_model(model_path)
+    proto, width = read_model(model_path), 3 + verify
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = Encoder(proto, dropout, seed)
@@ -332,16 +334,16 @@ def encode(
             given = coder.encode_all([t or "" for t in texts], [variant_of(d, seed, variants) for d in docs_of])
             for text, packed in zip(texts, given):
                 if text is None:
-                    rows.append((None, 0, None, True))
+                    rows.append((None, 0, None, True)[:width])
                     continue
-                back = coder.decode(np.frombuffer(packed, coder.kind).tolist())
-                rows.append((packed, len(packed) // coder.width, xxhash.xxh64_hexdigest(packed), back == text))
-            out = pd.DataFrame(rows, columns=["ids", "n_pieces", "ids_hash", "lossless"])
+                row = (packed, len(packed) // coder.width, xxhash.xxh64_hexdigest(packed))
+                rows.append((*row, coder.decode(np.frombuffer(packed, coder.kind).tolist()) == text) if verify else row)
+            out = pd.DataFrame(rows, columns=["ids", "n_pieces", "ids_hash", "lossless"][:width])
             out.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy())
             yield out
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return common.mapped(own, run, "doc_id long, ids binary, n_pieces long, ids_hash string, lossless boolean")
+    return common.mapped(own, run, "doc_id long, ids binary, n_pieces long, ids_hash string" + ", lossless boolean" * verify)
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:

@@ -74,7 +74,7 @@ ORACLES["op4_lines"] = lines.ORACLE
 
 @_query
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = pieces.encode(common.read_table(spark, sf_dir, "documents"), dropout=0.1, seed=11, variants=4)
+    encoded = pieces.encode(common.read_table(spark, sf_dir, "documents"), dropout=0.1, seed=11, variants=4, verify=True)
     return encoded.select("doc_id", "n_pieces", "ids_hash", "lossless")
 
 

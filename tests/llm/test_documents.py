@@ -213,7 +213,7 @@ def test_large_rates(spark):
 
 
 def test_pieces_round_trip(docs, rows, nothing):
-    found = pieces.encode(docs).collect()
+    found = pieces.encode(docs, verify=True).collect()
     assert len(found) == len(rows) and all(r["lossless"] for r in found)
     back = collections.Counter((r["doc_id"], r["text"]) for r in pieces.decode(pieces.encode(docs)).collect())
     assert back == collections.Counter((r[0], r[1]) for r in rows)

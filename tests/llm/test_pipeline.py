@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from logweave.llm import common, queries, simhash, toxicity
+from logweave.llm import common, pieces, queries, simhash, toxicity
 
 
 def test_names():
@@ -43,7 +43,8 @@ def test_stages(spark, sf_dir):
     assert {r[0] for r in single.select("doc_id").collect()} == {r[0] for r in groups.select("component_id").collect()}
     assert single.count() == groups.select("component_id").distinct().count()
     assert mixed.select("doc_id").distinct().join(single, "doc_id", "left_anti").count() == 0
-    assert encoded.count() == mixed.count() and encoded.where("not lossless").count() == 0
+    back = pieces.decode(encoded).exceptAll(mixed.select("doc_id", "text"))
+    assert encoded.count() == mixed.count() and back.count() == 0
 
 
 def test_run(spark, sf_dir):
