@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -11,9 +12,50 @@ from pyspark.sql import functions as F
 from ..operators.retention import manifest_of, verify_manifest
 
 
-def write_log(df: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
-    """JSON lines, appended as files of bounded size."""
+def _filesystem(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def write_log(
+    df: DataFrame, path: str, rows_per_file: int = 100_000, backups: int | None = None, max_bytes: int | None = None, max_age_days: float | None = None
+) -> list[str]:
+    """JSON lines, appended as files of bounded size; the log is rotated afterwards. The files that went.
+
+    The newest ``backups`` files stay, of these as many as fit ``max_bytes`` in all (one at least),
+    and of these those up to ``max_age_days`` old. Without limits nothing goes.
+    """
     df.write.mode("append").option("maxRecordsPerFile", rows_per_file).json(path)
+    if backups is None and max_bytes is None and max_age_days is None:
+        return []
+    fs, at = _filesystem(df.sparkSession, path)
+    files = [f for f in fs.listStatus(at) if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+    files.sort(key=lambda f: (-f.getModificationTime(), f.getPath().getName()))
+    gone, total, now = [], 0, time.time() * 1000
+    for i, f in enumerate(files):
+        total += f.getLen()
+        old = max_age_days is not None and now - f.getModificationTime() > max_age_days * 86_400_000
+        if old or (backups is not None and i >= backups) or (max_bytes is not None and i and total > max_bytes):
+            fs.delete(f.getPath(), False)
+            gone.append(f.getPath().getName())
+    return gone
+
+
+def sweep_empty(spark: SparkSession, root: str) -> list[str]:
+    """Deletes the empty folders under ``root``, from the deepest up; ``root`` stays. The folders that went."""
+    fs, top = _filesystem(spark, root)
+    top = fs.makeQualified(top)
+    gone: list[str] = []
+
+    def swept(folder) -> bool:
+        inside = [swept(f.getPath()) if f.isDirectory() else False for f in fs.listStatus(folder)]
+        if not all(inside) or folder.equals(top):
+            return False
+        gone.append(folder.toString())
+        return bool(fs.delete(folder, False))
+
+    swept(top)
+    return gone
 
 
 def dry_run(df: DataFrame) -> int:
