@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import embedding, hdbscan as density, knn
 from ..operators.preprocess import with_stats
-from ..session import read_table
+from ..session import read_table, scratch
 from ..sources import synthetic
 from ..streaming import jobs
 from .lines import LINES_SQL, log_lines
@@ -75,18 +74,12 @@ def ivf_recall(spark, sf_dir):
 @query("""SELECT vec_id::VARCHAR AS id, CASE WHEN vec_id % 3 = 0 THEN 100 + label WHEN vec_id % 2 = 0 THEN label END AS cluster_id, substr('vector ' || vec_id, 1, 200) AS message_preview FROM embeddings""")
 def vector_store_update(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
-    store = embedding.VectorStore(spark, f"{_scratch(spark)}/store")
+    store = embedding.VectorStore(spark, f"{scratch(spark)}/store")
     store.add(e.select("vec_id", F.col("vec_id").alias("id"), "embedding", F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("message"), F.when(F.col("vec_id") % 2 == 0, F.col("label")).alias("cluster_id")))
     labels = e.where("vec_id % 3 = 0").select(F.col("vec_id").alias("id"), (F.col("label") + 100).alias("label"))
     return store.with_clusters(labels).select("id", "cluster_id", "message_preview")
 
 
-def _scratch(spark) -> str:
-    """A folder of its own under the shared one, or a temporary folder where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/logweave-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="logweave-")
-
-
 @query()
 def synthetic_logs(spark, sf_dir):
     return synthetic.generate(spark, 2000).groupBy("pattern", "level").agg(F.count("*").alias("n"))
@@ -108,7 +101,7 @@ def _event_stream(spark, sf_dir):
 
 def _into_memory(stream, mode: str):
     name = f"logweave_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{_scratch(stream.sparkSession)}/checkpoint").start()
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{scratch(stream.sparkSession)}/checkpoint").start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
 
@@ -133,7 +126,7 @@ def stream_alerts(spark, sf_dir):
 
 @query("""SELECT count(*) AS processed FROM events""")
 def stream_micro_batches(spark, sf_dir):
-    folder = _scratch(spark)
+    folder = scratch(spark)
     q = jobs.micro_batches(_event_stream(spark, sf_dir).select("event_id"), lambda batch, n: batch.write.mode("append").parquet(f"{folder}/out"), f"{folder}/checkpoint", seconds=None)
     q.awaitTermination()
     return spark.read.parquet(f"{folder}/out").agg(F.count("*").alias("processed"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -39,15 +40,30 @@ def spread(df):
     return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
-def held(df):
-    """``df`` computed now, its plan cut: in the folder of ``spark.checkpoint.dir``, which all executors share.
+def _shared(spark) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share. Only a local master may do without: it gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="logweave-")
 
-    Only a local master may do without one: it gets a temporary folder.
-    """
+
+def scratch(spark) -> str:
+    """A new folder's path under the shared one; it goes when the driver's JVM ends."""
+    path = f"{_shared(spark)}/logweave-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
+def held(df):
+    """``df`` computed now, its plan cut, in the folder that all executors share."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="logweave-"))
+        context.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint()
