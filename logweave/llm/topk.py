@@ -166,7 +166,8 @@ def top_k(
     parts = 64
     candidates = candidates.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
     asked = asked.withColumn("q_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    units = candidates.join(asked, (F.col("dim") == F.col("q_dim")) & (F.col("part") == F.col("q_part")))
+    # Merged: the planner knows the size of the queries before they are exploded only, and might broadcast them.
+    units = candidates.hint("merge").join(asked, (F.col("dim") == F.col("q_dim")) & (F.col("part") == F.col("q_part")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         floors = _Floors(k)
