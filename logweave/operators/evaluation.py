@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import at_shares, positions
+
 # Labels of a pair, and what kappa is called.
 PAIR_LABELS = ["same", "different", "similar", "unsure", "skip"]
 KAPPA_BANDS = [
@@ -177,22 +179,22 @@ def ablation_compare(runs: DataFrame, config: str = "config", quality: str = "qu
 
 def percentile_by_index(samples: DataFrame, by: str, value: str, q: float, name: str) -> DataFrame:
     """The value at index min(floor(n * q), n - 1) of the sorted samples, not interpolated."""
-    w = Window.partitionBy(by)
-    n = F.count("*").over(w)
-    rank = F.row_number().over(w.orderBy(value))
-    at = F.least(F.floor(n * q), n - 1) + 1
-    return samples.select(by, value, rank.alias("__r"), at.alias("__at")).where("__r = __at").select(by, F.col(value).alias(name))
+    return at_shares(samples, by, value, **{name: _index(q)})
+
+
+def _index(q: float):
+    return lambda n: [F.least(F.floor(n * q), n - 1) + 1]
 
 
 def timing_stats(samples: DataFrame, by: str = "name", value: str = "sample") -> DataFrame:
     """count, sum, mean, median, sample deviation (0 for one sample), min, max, p95, p99 by name."""
     base = samples.groupBy(by).agg(
-        F.count("*").alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.median(value).alias("median"),
+        F.count("*").alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"),
         F.coalesce(F.nanvl(F.stddev_samp(value), F.lit(0.0)), F.lit(0.0)).alias("stdev"), F.min(value).alias("least"), F.max(value).alias("most"),
     )
-    for q, name in ((0.95, "p95"), (0.99, "p99")):
-        base = base.join(percentile_by_index(samples, by, value, q, name), by)
-    return base
+    middle = lambda n: [F.floor((n + 1) / 2), F.floor(n / 2) + 1]
+    at = at_shares(samples, by, value, median=middle, p95=_index(0.95), p99=_index(0.99))
+    return base.join(at, by).select(by, "n", "total", "mean", "median", "stdev", "least", "most", "p95", "p99")
 
 
 def throughput(items: Column, nbytes: Column, seconds: Column) -> Column:
@@ -219,8 +221,7 @@ def run_ablation(data: DataFrame, configs: list[dict], measure, n_runs: int = 3,
 
 def session_order(pairs: DataFrame, session: str, pair_id: str = "pair_id", seed: int = 42) -> DataFrame:
     """Adds position (from 1): the order in which a session shows its pairs, by keyed hash."""
-    w = Window.partitionBy(F.lit(session)).orderBy(F.xxhash64(F.lit(f"{session}-{seed}"), F.col(pair_id)), pair_id)
-    return pairs.withColumn("position", F.row_number().over(w))
+    return positions(pairs, [F.xxhash64(F.lit(f"{session}-{seed}"), F.col(pair_id)), F.col(pair_id)])
 
 
 def session_progress(pairs: DataFrame, labels: DataFrame, pair_id: str = "pair_id") -> DataFrame:

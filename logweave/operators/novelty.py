@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import knn
+from .running import running
 
 TINY = 1e-10
 
@@ -117,7 +118,9 @@ def mock_score(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
 def running_stats(scores: DataFrame, order_col: str, score_col: str = "score", by: str | None = None) -> DataFrame:
     """Running mean, largest and smallest score in order, within each value of ``by``."""
-    w = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    return scores.withColumns(
-        {"running_mean": F.avg(score_col).over(w), "running_max": F.max(score_col).over(w), "running_min": F.min(score_col).over(w)}
-    )
+    s = F.col(score_col)
+    done = running(
+        scores, [F.col(order_col)], by, running_max=("max", s), running_min=("min", s),
+        __total=("sum", F.coalesce(s, F.lit(0)).cast("double")), __seen=("sum", s.isNotNull().cast("long")),
+    )
+    return done.withColumn("running_mean", F.try_divide("__total", "__seen")).select(*scores.columns, "running_mean", "running_max", "running_min")

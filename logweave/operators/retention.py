@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import positions, running
+
 
 def glob_pattern(glob: str) -> str:
     """A glob of *, ? and literal characters as an anchored regex."""
@@ -46,13 +48,11 @@ def decisions(files: DataFrame, max_age_days: float | None = None, max_total: in
     """Adds delete and reasons: the oldest go while too old or while the rest is too large.
 
     ``files`` has path, age_days and size_bytes. Deletions are a prefix of the files by
-    age, so what was freed before a file is the running sum of the older ones: one
-    window, oldest first, ties by path. With ``by`` each of its values is a directory
-    of its own, and directories are dealt out.
+    age, so what is left at a file is the running sum from the youngest up to it; of
+    equal age the one with the smaller path goes first. With ``by`` each of its values is a directory
+    of its own. Files are dealt out by age, so a directory may have any number of them.
     """
-    part = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
-    older = part.orderBy(F.desc("age_days"), "path").rowsBetween(Window.unboundedPreceding, -1)
-    df = files.withColumn("__left", F.sum("size_bytes").over(part) - F.coalesce(F.sum("size_bytes").over(older), F.lit(0)))
+    df = running(files, [F.asc("age_days"), F.desc("path")], by, __left=("sum", F.coalesce("size_bytes", F.lit(0))))
     reasons = F.array_compact(
         F.array(
             F.when(over_age(F.col("age_days"), max_age_days), "age") if max_age_days is not None else F.lit(None).cast("string"),
@@ -71,8 +71,8 @@ def directory_stats(files: DataFrame, by: str | None = None) -> DataFrame:
 
 def keep_newest(snapshots: DataFrame, n: int, by: str | None = None, order: str = "created_at", tie: str = "id") -> DataFrame:
     """Adds keep: whether a snapshot is among the newest ``n`` (of its ``by``)."""
-    w = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc(order), tie)
-    return snapshots.withColumn("keep", F.row_number().over(w) <= n)
+    ranked = positions(snapshots, [F.desc(order), F.asc(tie)], by, "__rank")
+    return ranked.withColumn("keep", F.col("__rank") <= n).drop("__rank")
 
 
 def verify_manifest(manifest: DataFrame, found: DataFrame) -> DataFrame:

@@ -197,3 +197,22 @@ def test_inverted_lists_reach_their_recall(spark):
     # Every row is in a list: with all lists probed nothing is missed.
     whole = embedding.InvertedLists(lists=30, probes=30, recall=None).train(df).search(df, asked, 10)
     assert {(r["query_id"], r["ref_id"]) for r in whole.collect()} == exact
+
+
+def test_running_over_many_ranges(spark):
+    from logweave.operators import running
+
+    rng = random.Random(6)
+    rows = [(i, "hot" if i % 3 else rng.choice(["a", None]), rng.choice([None, *range(20)])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, g string, v long").repartition(8)
+    for by in (None, "g"):
+        got = {r["id"]: r for r in running.running(df, [F.col("id")], by, s=("sum", F.col("v")), m=("max", F.col("v")), n=("sum", F.lit(1))).collect()}
+        state = {}
+        for i, g, v in rows:
+            s, m, n = state.get(g if by else 0, (0, None, 0))
+            state[g if by else 0] = s, m, n = s + (v or 0), v if m is None else m if v is None else max(m, v), n + 1
+            assert (got[i]["s"] or 0, got[i]["m"], got[i]["n"]) == (s, m, n)
+    at = {r["g"]: r for r in running.at_shares(df, "g", "v", low=lambda n: [F.lit(1)], mid=lambda n: [F.floor((n + 1) / 2), F.floor(n / 2) + 1]).collect()}
+    for g in ("hot", "a", None):
+        vs = sorted(v for _, h, v in rows if h == g and v is not None)
+        assert (at[g]["low"], at[g]["mid"]) == (vs[0], float(np.median(vs)))
