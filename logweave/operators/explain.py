@@ -11,17 +11,7 @@ from pyspark.sql import types as T
 
 # Severities, and the four prompts with named holes.
 SEVERITIES = ["critical", "high", "medium", "low", "info"]
-_SHAPE = """Provide a structured analysis in the following JSON format:
-{
-    "summary": "%s",
-    "root_cause": "%s",
-    "severity": "critical|high|medium|low|info",
-    "suggested_actions": ["action 1", "action 2", "action 3"],%s
-    "confidence": 0.0 to 1.0
-}"""
-_ONLY = "Respond with ONLY the JSON object, no additional text."
-CLUSTER_PROMPT = (
-    """You are an expert log analyst helping on-call engineers understand log patterns.
+CLUSTER_PROMPT = """You are an expert log analyst helping on-call engineers understand log patterns.
 
 Analyze the following cluster of <n_logs> similar log messages:
 
@@ -33,9 +23,14 @@ Analyze the following cluster of <n_logs> similar log messages:
 - Common Log Level: <common_level>
 - Time Range: <time_range>
 
-"""
-    + _SHAPE % ("Brief 1-2 sentence description of what this log pattern represents", "Most likely root cause of these log messages", "")
-    + """
+Provide a structured analysis in the following JSON format:
+{
+    "summary": "Brief 1-2 sentence description of what this log pattern represents",
+    "root_cause": "Most likely root cause of these log messages",
+    "severity": "critical|high|medium|low|info",
+    "suggested_actions": ["action 1", "action 2", "action 3"],
+    "confidence": 0.0 to 1.0
+}
 
 Important:
 - Be concise and actionable
@@ -43,11 +38,8 @@ Important:
 - Suggest specific debugging steps
 - Rate severity based on production impact
 
-"""
-    + _ONLY
-)
-NOVELTY_PROMPT = (
-    """You are an expert log analyst helping on-call engineers identify unusual patterns.
+Respond with ONLY the JSON object, no additional text."""
+NOVELTY_PROMPT = """You are an expert log analyst helping on-call engineers identify unusual patterns.
 
 A novel log pattern has been detected that doesn't match known patterns:
 
@@ -60,9 +52,14 @@ A novel log pattern has been detected that doesn't match known patterns:
 - Detection Algorithm: k-NN density-based
 - This log is significantly different from the baseline of <n_reference> known patterns
 
-"""
-    + _SHAPE % ("Brief explanation of what makes this log unusual", "Possible cause for this unexpected pattern", "")
-    + """
+Provide a structured analysis in the following JSON format:
+{
+    "summary": "Brief explanation of what makes this log unusual",
+    "root_cause": "Possible cause for this unexpected pattern",
+    "severity": "critical|high|medium|low|info",
+    "suggested_actions": ["action 1", "action 2", "action 3"],
+    "confidence": 0.0 to 1.0
+}
 
 Important:
 - Explain WHY this log is unusual compared to normal patterns
@@ -70,11 +67,8 @@ Important:
 - Suggest investigation steps
 - Rate severity based on potential impact
 
-"""
-    + _ONLY
-)
-ERROR_PROMPT = (
-    """You are an expert log analyst diagnosing errors in production systems.
+Respond with ONLY the JSON object, no additional text."""
+ERROR_PROMPT = """You are an expert log analyst diagnosing errors in production systems.
 
 Analyze the following error log:
 
@@ -87,20 +81,23 @@ Analyze the following error log:
 - Timestamp: <timestamp>
 - Additional Context: <context>
 
-"""
-    + _SHAPE % ("Brief explanation of the error", "Most likely cause of this error", '\n    "related_patterns": ["pattern 1", "pattern 2"],')
-    + """
+Provide a structured analysis in the following JSON format:
+{
+    "summary": "Brief explanation of the error",
+    "root_cause": "Most likely cause of this error",
+    "severity": "critical|high|medium|low|info",
+    "suggested_actions": ["action 1", "action 2", "action 3"],
+    "related_patterns": ["pattern 1", "pattern 2"],
+    "confidence": 0.0 to 1.0
+}
 
 Important:
 - Focus on actionable debugging steps
 - Consider common causes for this type of error
 - Suggest both immediate actions and long-term fixes
 
-"""
-    + _ONLY
-)
-SUMMARY_PROMPT = (
-    """You are an expert log analyst creating executive summaries for incident reviews.
+Respond with ONLY the JSON object, no additional text."""
+SUMMARY_PROMPT = """You are an expert log analyst creating executive summaries for incident reviews.
 
 Summarize the following log analysis results:
 
@@ -129,9 +126,7 @@ Important:
 - Prioritize by severity and frequency
 - Make recommendations actionable
 
-"""
-    + _ONLY
-)
+Respond with ONLY the JSON object, no additional text."""
 
 
 def fill(prompt: str, **holes: Column) -> Column:

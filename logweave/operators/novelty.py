@@ -88,6 +88,7 @@ def detect(scored: DataFrame, threshold: float = 0.7) -> DataFrame:
 
 
 def explanation(score_col: Column, threshold: float) -> Column:
+    # The bands and the text.
     band = (
         F.when(score_col >= 0.9, "highly unusual").when(score_col >= 0.8, "unusual").when(score_col >= 0.7, "moderately unusual")
         .otherwise("slightly unusual")

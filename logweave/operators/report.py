@@ -24,6 +24,7 @@ def recommendations(silhouette: Column, davies_bouldin: Column, noise_ratio: Col
     none = F.lit(None).cast("string")
     status = F.lower(status) if status is not None else none
     new = new_clusters if new_clusters is not None else F.lit(0)
+    # The texts.
     return F.array_compact(
         F.array(
             F.when(silhouette < 0.25, "Low silhouette score indicates poor cluster separation. Consider adjusting min_cluster_size or min_samples parameters."),
@@ -36,6 +37,7 @@ def recommendations(silhouette: Column, davies_bouldin: Column, noise_ratio: Col
 
 
 def privacy_recommendations(level: str, encrypted: bool, retention_days: int, mode: str, pii_rate: Column) -> Column:
+    # The texts.
     said = [
         (level != "maximum", "Consider using MAXIMUM privacy level for sensitive environments"), (not encrypted, "Enable at-rest encryption to protect stored data"),
         (retention_days == 0, "Set a data retention policy to automatically delete old data"), (mode == "store_all", "Switch to STORE_REDACTED mode to avoid storing PII"),
