@@ -140,6 +140,20 @@ def session_progress(spark, sf_dir):
     return evaluation.session_progress(pairs, labels)
 
 
+@query("SELECT session, count(*) AS pairs, 1::BIGINT AS first, count(*) AS last, count(*) AS places, true AS shuffled FROM labels, (VALUES ('s1'), ('s2')) AS t(session) GROUP BY session")
+def session_permutations(spark, sf_dir):
+    """A session's order holds every place once and isn't that of the ids."""
+    pairs, out = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pair_id")), None
+    for session in ("s1", "s2"):
+        rows = evaluation.session_order(pairs, session)
+        one = rows.agg(
+            F.lit(session).alias("session"), F.count("*").alias("pairs"), F.min("position").alias("first"), F.max("position").alias("last"),
+            F.count_distinct("position").alias("places"), (F.corr("pair_id", "position") < 0.5).alias("shuffled"),
+        )
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 @query()
 def session_order(spark, sf_dir):
     pairs = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pair_id"))
