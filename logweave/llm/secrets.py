@@ -10,8 +10,8 @@ Fisher's method into one statistic, small for random strings. The tails are appr
 which moves the statistic but no decision: that is taken by ranks.
 
 The false-discovery control takes text of the corpus itself as its null. The
-letters of each document, run together, give one string for each length class,
-from a place that a hash of the document chooses; so every length has a null that grows with
+letters of each document, run together, give one string for every fourth length class;
+a hash of the document chooses which and from what place. So every length has a null that grows with
 the corpus, also lengths that no word has. A candidate's p-value is the share of null strings of its length class
 that look at least as random, and within each class the Benjamini-Hochberg rule
 picks what is reported. Null strings and candidates are counted over the whole
@@ -144,7 +144,7 @@ def _cell(body: Column) -> Column:
 def proposals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, runs, control): base spans, candidates with their class and cell, and those of the null strings.
 
-    A text with few letters has null strings of the shorter classes only.
+    A document has null strings of every fourth class, and none that is longer than its letters.
     """
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
     df = with_matches(df, "__text", [*RULES, RUNS])
@@ -159,10 +159,10 @@ def proposals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     run = lambda s, known: F.struct(
         s["from"].alias("from"), s["to"].alias("to"), length_class(s["body"]).alias("size"), _cell(s["body"]).alias("cell"), known.alias("known")
     )
-    key = F.xxhash64("doc_id", F.lit(5))
+    key, turn = F.xxhash64("doc_id", F.lit(5)), F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(4))
 
     def cuts(letters: Column) -> Column:
-        sizes = F.filter(F.array(*[F.lit(x) for x in NULLS]), lambda size: size <= F.length(letters))
+        sizes = F.filter(F.array(*[F.lit(x) for x in NULLS]), lambda size, i: (F.pmod(turn + i, F.lit(4)) == 0) & (size <= F.length(letters)))
         return F.transform(sizes, lambda size: F.substr(letters, (F.pmod(key, F.length(letters) - size + 1) + 1).cast("int"), size))
 
     return df.select(
