@@ -168,7 +168,7 @@ def _link_units(budget: int, room: int = 30_000):
         rows = rows.reset_index(drop=True)
         fps = rows["fp"].to_numpy(np.int64).view(np.uint64)
         unit = rows["unit"].to_numpy()
-        near = rows["near"].to_numpy(bool)
+        unit, near = unit >> 1, (unit & 1).astype(bool)
         order = np.lexsort((fps, near, unit))
         fps, unit, near = fps[order], unit[order], near[order]
         edge = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1], [True])))
@@ -196,7 +196,7 @@ def _link_units(budget: int, room: int = 30_000):
             if size < room:
                 continue
             rows = pd.concat(held, ignore_index=True)
-            last = rows["unit"] == rows["unit"].iloc[-1]
+            last = rows["unit"].to_numpy() >> 1 == rows["unit"].iloc[-1] >> 1
             if last.all():
                 continue
             yield solve(rows[~last])
@@ -219,17 +219,20 @@ def _signed(mask: int) -> int:
     return mask - ((mask >> 63) << 64)
 
 
-def _pivoted(rows: DataFrame, leaf: int) -> DataFrame:
-    """(trie, prefix, size, pivot) of the groups over ``leaf``."""
-    return (
-        rows.groupBy("trie", "prefix")
-        .agg(F.count("*").alias("size"), F.max_by(F.struct("fp", "node"), F.struct("weight", "node")).alias("pivot"))
-        .where(F.col("size") > leaf)
-    )
+def _crowded(rows: DataFrame, leaf: int) -> DataFrame:
+    """(unit) of the groups over ``leaf``: counts of single numbers, as every row of every trie is counted."""
+    return common.durable(rows.groupBy("unit").agg(F.count("*").alias("size")).where(F.col("size") > leaf), "crowded")
+
 
+def _around(rows: DataFrame, crowded: DataFrame, budget: int) -> DataFrame:
+    """The rows of crowded groups with size and pivot of their group, and whether they are near the pivot."""
+    own = rows.join(crowded, "unit")
+    pivots = own.groupBy("unit").agg(F.max_by(F.struct("fp", "node"), F.struct("weight", "node")).alias("pivot"))
+    return own.join(common.durable(pivots, "pivots"), "unit").withColumn("near", F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot.fp"))) <= budget)
 
-def _within(pivot: str, budget: int) -> Column:
-    return F.bit_count(F.col("fp").bitwiseXOR(F.col(f"{pivot}.fp"))) <= budget
+
+def _linked(around: DataFrame) -> DataFrame:
+    return around.where(F.col("near") & (F.col("node") != F.col("pivot.node"))).select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
 
 
 def link_nodes(nodes: DataFrame, budget: int = 4, blocks: int = 6, leaf: int = 1024) -> DataFrame:
@@ -237,36 +240,40 @@ def link_nodes(nodes: DataFrame, budget: int = 4, blocks: int = 6, leaf: int = 1
     if not 0 <= budget < blocks <= 64:
         raise ValueError("blocks must exceed the budget")
     masks = _masks((1 << 64) - 1, blocks, blocks - budget)
-    keys = [F.struct(F.lit(i).alias("trie"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("prefix")) for i, m in enumerate(masks)]
-    rows = nodes.withColumn("at", F.explode(F.array(*keys))).select("fp", "node", "weight", F.col("at.trie").alias("trie"), F.col("at.prefix").alias("prefix"))
-    crowded = common.durable(_pivoted(rows, leaf), "crowded")
-    small = rows.join(crowded.select("trie", "prefix"), ["trie", "prefix"], "left_anti").select(
-        "fp", "node", F.lit(False).alias("near"), F.xxhash64("trie", "prefix").alias("unit")
-    )
-    linked = lambda df: df.where(F.col("near") & (F.col("node") != F.col("pivot.node"))).select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
-    placed, found = small, None
+    keys = [
+        F.struct(F.lit(i).alias("trie"), F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long"))).alias("unit"))
+        for i, m in enumerate(masks)
+    ]
+    rows = nodes.withColumn("at", F.explode(F.array(*keys))).select("fp", "node", "weight", F.col("at.trie").alias("trie"), F.col("at.unit").alias("unit"))
+    # The lowest bit of a unit says whether a row is near its pivot: rows that are dealt out are three numbers.
+    marked = lambda df, near: df.select("fp", "node", F.shiftleft(F.shiftright("unit", 1), 1).bitwiseOR(near.cast("long")).alias("unit"))
+    crowded = _crowded(rows, leaf)
+    placed = [marked(rows.join(crowded, "unit", "left_anti"), F.lit(False))]
+    found = []
     if not crowded.isEmpty():
-        inner = rows.join(crowded, ["trie", "prefix"]).withColumn("near", _within("pivot", budget))
-        pivots = linked(inner)
+        around = _around(rows, crowded, budget)
+        found.append(_linked(around))
         # By trie, the sub-tries over the bits that its prefix leaves free.
         subs = F.array(*[F.array(*[F.lit(_signed(m)).cast("long") for m in _masks(((1 << 64) - 1) & ~mask, budget + 2, 2)]) for mask in masks])
-        again = inner.select("fp", "node", "weight", "near", "trie", "prefix", F.posexplode(F.element_at(subs, F.col("trie") + 1)).alias("sub", "mask"))
-        again = again.select(
-            "fp", "node", "weight", "near", (F.col("trie") * 1000 + F.col("sub")).alias("trie"),
-            F.xxhash64("prefix", F.col("fp").bitwiseAND(F.col("mask"))).alias("prefix"),
-        )
-        again = common.durable(again, "sub-tries")
-        packed = common.durable(_pivoted(again, leaf), "crowded")
-        loose = again.join(packed.select("trie", "prefix"), ["trie", "prefix"], "left_anti").select("fp", "node", "near", F.xxhash64("trie", "prefix").alias("unit"))
-        dense = again.drop("near").join(packed, ["trie", "prefix"]).withColumn("near", _within("pivot", budget))
-        units = F.ceil(F.col("size") / leaf).cast("int")
-        part = F.when(F.col("near"), F.array(F.pmod(F.xxhash64("fp"), units).cast("int"))).otherwise(F.sequence(F.lit(0), units - 1))
-        split = dense.withColumn("part", F.explode(part)).select("fp", "node", "near", F.xxhash64("trie", "prefix", "part").alias("unit"))
-        placed = small.unionAll(loose).unionAll(split)
-        found = pivots.unionAll(linked(dense))
-    placed = placed.repartition("unit").sortWithinPartitions("unit")
-    joined = placed.mapInPandas(_link_units(budget), "a long, b long")
-    return joined if found is None else joined.unionAll(found)
+        again = around.select("fp", "node", "weight", "near", "unit", F.posexplode(F.element_at(subs, F.col("trie") + 1)).alias("sub", "mask"))
+        again = again.select("fp", "node", "weight", "near", F.xxhash64("unit", "sub", F.col("fp").bitwiseAND(F.col("mask"))).alias("unit"))
+        packed = _crowded(again, leaf)
+        placed.append(marked(again.join(packed, "unit", "left_anti"), F.col("near")))
+        if not packed.isEmpty():
+            dense = _around(again.drop("near"), packed, budget)
+            found.append(_linked(dense))
+            units = F.ceil(F.col("size") / leaf).cast("int")
+            part = F.when(F.col("near"), F.array(F.pmod(F.xxhash64("fp"), units).cast("int"))).otherwise(F.sequence(F.lit(0), units - 1))
+            split = dense.withColumn("part", F.explode(part)).select("fp", "node", "near", F.xxhash64("unit", "part").alias("unit"))
+            placed.append(marked(split, F.col("near")))
+    whole = placed[0]
+    for more in placed[1:]:
+        whole = whole.unionAll(more)
+    whole = whole.repartition(F.shiftright("unit", 1)).sortWithinPartitions("unit")
+    out = whole.mapInPandas(_link_units(budget), "a long, b long")
+    for more in found:
+        out = out.unionAll(more)
+    return out
 
 
 def near_duplicates(
