@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import threading
 import uuid
@@ -120,6 +123,16 @@ def prefix(*frames: DataFrame) -> str:
     return p
 
 
+def _trim() -> None:
+    """Gives freed memory back to the system: a worker is used again by other stages, which would find it taken."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library has it
+        if trim:
+            trim(0)
+
+
 def mapped(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = 1000) -> DataFrame:
     """``df`` through a function from pandas frames to pandas frames, of at most ``rows`` rows each.
 
@@ -135,8 +148,11 @@ def mapped(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
                 for at in range(0, batch.num_rows, rows):
                     yield batch.slice(at, rows).to_pandas(integer_object_nulls=True)
 
-        for out in fn(slices()):
-            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+        try:
+            for out in fn(slices()):
+                yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+        finally:
+            _trim()
 
     return df.mapInArrow(run, schema)
 

@@ -48,7 +48,7 @@ class Encoder:
     proto: bytes
     dropout: float = 0.1
     seed: int = 0
-    keep: int = 400_000
+    keep: int = 200_000
     ids: dict = field(default_factory=dict, repr=False)
     known: dict = field(default_factory=dict, repr=False)
 
@@ -88,6 +88,7 @@ class Encoder:
                     self.pairs.append(a << 32 | b)
                     merged.append(i)
         self._index(np.array(self.pairs, np.int64), np.array(merged, np.int32))
+        self.pairs.clear()
         single = sorted((ord(p), i) for p, i in self.ids.items() if len(p) == 1)
         self.points = np.array([c for c, _ in single], np.int64)
         self.point_ids = np.array([i for _, i in single], np.int32)
@@ -343,7 +344,7 @@ def encode(
             yield out
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return common.mapped(own, run, "doc_id long, ids binary, n_pieces long, ids_hash string" + ", lossless boolean" * verify)
+    return common.mapped(own, run, "doc_id long, ids binary, n_pieces long, ids_hash string" + ", lossless boolean" * verify, 250)
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
