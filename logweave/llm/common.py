@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -157,6 +158,22 @@ def mapped(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
     return df.mapInArrow(run, schema)
 
 
+#: Bytes of text that a kernel over Arrow buffers takes at a time, unless one text has more.
+SLICE = 4 << 20
+
+
+def slices(text: pa.Array, size: int = SLICE, rows: int = 1000) -> list[tuple[int, int]]:
+    """(start, length) of stretches of a text array of at most ``size`` bytes and ``rows`` rows, or of one row; at least one."""
+    ends = np.frombuffer(text.buffers()[1], np.int32, len(text) + 1, text.offset * 4) if len(text) else np.zeros(1, np.int32)
+    out, at = [], 0
+    while at < len(text):
+        to = int(np.searchsorted(ends, int(ends[at]) + size, "right")) - 1
+        to = min(max(to, at + 1), at + rows, len(text))
+        out.append((at, to - at))
+        at = to
+    return out or [(0, 0)]
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list: (node, component).
 

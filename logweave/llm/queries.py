@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, lines, lm, mixing, pieces, pii, quality, secrets, simhash, topk, toxicity
+from . import common, fim, lines, lm, mixing, periodic, pieces, pii, quality, secrets, simhash, topk, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -81,3 +81,18 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(common.read_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fim.digest(fim.transform(docs, unit="line", rate=100, spm=50, seed=7))
+
+
+ORACLES["op11_fim"] = fim.ORACLE
+
+
+@_query
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.digest(periodic.find(periodic.planted(docs)))
