@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fim, lines, lm, mixing, periodic, pieces, pii, quality, secrets, simhash, topk, toxicity
+from . import common, fim, lines, lm, mixing, periodic, pieces, pii, quality, secrets, simhash, topk, toxicity, urls
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -96,3 +96,21 @@ ORACLES["op11_fim"] = fim.ORACLE
 def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return periodic.digest(periodic.find(periodic.planted(docs)))
+
+
+@_query
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, urls.train(urls.seed_table(spark))).select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict", "judged.score")
+
+
+@_query
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op13 takes from the rules alone; the verdict is null where no rule fits."""
+    host, path = urls.parts(F.col("url"))
+    pages = common.read_table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    rule, verdict = urls.ruled(F.col("host"), F.col("path"), urls.RULES)
+    return pages.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+
+
+ORACLES["url_rules"] = urls.RULES_ORACLE
