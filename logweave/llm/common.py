@@ -15,7 +15,8 @@ from contextvars import ContextVar
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -174,6 +175,28 @@ def slices(text: pa.Array, size: int = SLICE, rows: int = 1000) -> list[tuple[in
     return out or [(0, 0)]
 
 
+def with_kernel(df: DataFrame, inputs: list[Column], fn: Callable[..., pa.Array], kind: str, into: str) -> DataFrame:
+    """``df`` with a column ``into`` that ``fn`` makes of slices of the inputs' Arrow arrays, the first of which is a text; null texts come as empty ones.
+
+    A column called ``into`` is replaced, whatever its case; others pass through as they are. This is a step of its own in the plan,
+    and not a function in a projection, so that whatever made the inputs is worked out before it.
+    """
+    p = prefix(df)
+    kept = [c for c in df.columns if c.lower() != into.lower()]
+    own = df.select(*[F.col(f"`{c}`") for c in kept], *[x.alias(f"{p}{i}") for i, x in enumerate(inputs)])
+    schema = T.StructType([*own.schema.fields[: len(kept)], T.StructField(into, T._parse_datatype_string(kind))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = pc.fill_null(batch.column(len(kept)).cast(pa.string()), "")
+            rest = batch.columns[len(kept) + 1 :]
+            for at, n in slices(text) if len(text) else []:
+                made = fn(text.slice(at, n), *[x.slice(at, n) for x in rest])
+                yield pa.RecordBatch.from_arrays([*[x.slice(at, n) for x in batch.columns[: len(kept)]], made], [*kept, into])
+
+    return own.mapInArrow(run, schema)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list: (node, component).
 

@@ -128,14 +128,9 @@ def transform(
     check_marks(marks)
     pairs = _pairs(unit)
 
-    @F.arrow_udf(SCHEMA)
-    def cut(text: pa.Array, key: pa.Array) -> pa.Array:
-        text = pc.fill_null(text, "")
-        done = [_transformed(text.slice(i, k), key.slice(i, k), pairs, rate, spm, marks) for i, k in common.slices(text)]
-        return pa.concat_arrays(done)
-
     hashed = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 256)
-    return docs.withColumn(into, cut(F.col(text_col), F.unhex(hashed)))
+    cut = lambda text, key: _transformed(text, key, pairs, rate, spm, marks)
+    return common.with_kernel(docs, [F.col(text_col), F.unhex(hashed)], cut, SCHEMA, into)
 
 
 def restore(output: Column, form: Column, marks: tuple[str, str, str] = MARKS) -> Column:

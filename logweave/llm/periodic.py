@@ -214,13 +214,7 @@ def find(docs: DataFrame, text_col: str = "text", into: str = "periodic") -> Dat
     and an empty collapsed text. Each row is searched by itself, whole: a task holds
     one slice of ``common.SLICE`` bytes, or one longer text. A column called ``into`` is replaced. An empty table gives an empty one.
     """
-
-    @F.arrow_udf(SCHEMA)
-    def searched(text: pa.Array) -> pa.Array:
-        text = pc.fill_null(text, "")
-        return pa.concat_arrays([_found(text.slice(i, k)) for i, k in common.slices(text)])
-
-    return docs.withColumn(into, searched(F.col(text_col)))
+    return common.with_kernel(docs, [F.col(text_col)], _found, SCHEMA, into)
 
 
 def planted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
