@@ -1,4 +1,4 @@
-"""Embeddings of texts: providers, each distinct text once, and a store on disk."""
+"""Embeddings of texts: providers, each distinct text once, and a store on disk. Indexes are in ``index``."""
 
 from __future__ import annotations
 
@@ -123,80 +123,3 @@ class VectorStore:
         """Deletes the data; the table stays, empty."""
         empty = self.spark.createDataFrame([], self.read().schema)
         empty.write.mode("overwrite").parquet(self.path)
-
-
-class InvertedLists:
-    """An approximate index: k-means cells on a bounded sample, every row in its cell, the nearest cells probed.
-
-    ``probes`` is the least number of cells; training raises it until ``recall`` of the ten nearest
-    of sampled rows are found among the sample. With ``recall`` None it stays as given.
-    Serves the index types IVF and IVFFlat, and HNSW as the approximate choice.
-    """
-
-    def __init__(self, lists: int = 100, probes: int = 10, sample: int = 50_000, seed: int = 42, recall: float | None = 0.95):
-        self.lists, self.probes, self.sample, self.seed, self.recall = lists, probes, sample, seed, recall
-        self.centres: np.ndarray | None = None
-
-    def train(self, df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", rounds: int = 10) -> InvertedLists:
-        """Lloyd's k-means on at most ``sample`` rows chosen by keyed hash."""
-        rows = df.where(F.size(vector_col) > 0).orderBy(F.xxhash64(id_col, F.lit(self.seed)), id_col).limit(self.sample).select(F.col(vector_col).cast("array<double>").alias("v")).collect()
-        if not rows:
-            raise ValueError("nothing to train on")
-        x = np.array([r["v"] for r in rows])
-        c = x[: min(self.lists, len(x))].copy()
-        for _ in range(rounds):
-            near = ((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)[None, :]).argmin(1)
-            for i in range(len(c)):
-                if (near == i).any():
-                    c[i] = x[near == i].mean(0)
-        self.centres = c
-        if self.recall is not None:
-            self.probes = max(self.probes, self._enough(x))
-        return self
-
-    def _enough(self, x: np.ndarray, k: int = 10, asked: int = 500) -> int:
-        """How many cells hold ``recall`` of the nearest neighbours of sampled rows, within the sample."""
-        c = self.centres
-        norms = (c**2).sum(1)
-        home = np.concatenate([(norms[None, :] - 2 * x[i : i + 4096] @ c.T).argmin(1) for i in range(0, len(x), 4096)])
-        q = x[:: max(len(x) // asked, 1)][:asked]
-        turn = np.empty((len(q), len(c)), np.int64)  # of each cell, when a query probes it
-        np.put_along_axis(turn, np.argsort(norms[None, :] - 2 * q @ c.T, axis=1, kind="stable"), np.arange(len(c))[None, :], 1)
-        near = np.argsort((x**2).sum(1)[None, :] - 2 * q @ x.T, axis=1, kind="stable")[:, 1 : k + 1]
-        needed = np.sort(np.take_along_axis(turn, home[near], 1).ravel())
-        return int(needed[min(int(np.ceil(self.recall * len(needed))), len(needed)) - 1]) + 1 if len(needed) else 1
-
-    def _cells(self, df: DataFrame, id_col: str, vector_col: str, probes: int) -> DataFrame:
-        centres = self.centres
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if len(b):
-                    x = np.stack(b["v"].to_numpy())
-                    d = (centres**2).sum(1)[None, :] - 2 * x @ centres.T
-                    at = np.argsort(d, axis=1, kind="stable")[:, :probes]
-                    yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), at.shape[1]), "cell": at.ravel().astype(np.int64), "v": list(np.repeat(x, at.shape[1], axis=0))})
-
-        rows = df.where(F.col(id_col).isNotNull() & (F.size(vector_col) > 0)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-        return rows.mapInPandas(run, "id long, cell long, v array<double>")
-
-    def search(self, df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-        """(query_id, rank, ref_id, d2): the nearest rows among each query's probed cells."""
-        from pyspark.sql import Window
-
-        from ..functions.vectors import squared_l2
-
-        rows = self._cells(df, id_col, vector_col, 1).withColumnsRenamed({"id": "ref_id", "v": "rv"})
-        asked = self._cells(queries, id_col, vector_col, self.probes).withColumnsRenamed({"id": "query_id", "v": "qv"})
-        hits = asked.join(rows, "cell").select("query_id", "ref_id", squared_l2(F.col("qv"), F.col("rv")).alias("d2"))
-        w = Window.partitionBy("query_id").orderBy("d2", "ref_id")
-        return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "ref_id", "d2")
-
-
-def index(kind: str, **options):
-    """'Flat' (exact, by blocks), 'IVF', 'IVFFlat' or 'HNSW' (inverted lists)."""
-    if kind == "Flat":
-        return None
-    if kind in ("IVF", "IVFFlat", "HNSW"):
-        return InvertedLists(**options)
-    raise ValueError(f"unknown index type {kind}")

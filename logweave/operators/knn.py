@@ -52,25 +52,64 @@ def packed(rows: DataFrame, id_col: str, vector_col: str, size: int = BLOCK, tag
     return out.select(*[F.col(c).alias(prefix + c) for c in out.columns])
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """``rows`` in so few partitions that their pairs are a few for each core."""
-    return rows.repartition(math.isqrt(4 * rows.sparkSession.sparkContext.defaultParallelism) + 1)
+def packed_by(rows: DataFrame, keys: list[str], size: int = BLOCK, prefix: str = "") -> DataFrame:
+    """(keys, dim, n, least, most, ids, block) of rows (id, keys, v) that are sorted by whole-number keys within their partitions.
 
+    A block has up to ``size`` vectors of one key and one length; ``least`` and ``most`` are the smallest and largest of its ids.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, tuple[list, list]] = {}
+        at: tuple | None = None
+
+        def pack(dim: int) -> pd.DataFrame:
+            ids, vectors = held.pop(dim)
+            own, block = np.array(ids, np.int64), np.ascontiguousarray(np.stack(vectors), np.float64)
+            row = dict(zip(keys, at)) | {"dim": dim, "n": len(own), "least": own.min(), "most": own.max(), "ids": own.tobytes(), "block": block.tobytes()}
+            return pd.DataFrame([row])
+
+        for b in batches:
+            for key, i, v in zip(zip(*(b[c] for c in keys)), b["id"], b["v"]):
+                if key != at:
+                    for dim in list(held):
+                        yield pack(dim)
+                    at = key
+                ids, vectors = held.setdefault(len(v), ([], []))
+                ids.append(i)
+                vectors.append(v)
+                if len(ids) >= size:
+                    yield pack(len(v))
+        for dim in list(held):
+            yield pack(dim)
+
+    whole = ", ".join(f"{k} int" for k in keys)
+    out = rows.select("id", *keys, "v").mapInPandas(run, f"{whole}, dim int, n long, least long, most long, ids binary, block binary")
+    return out.select(*keys, *[F.col(c).alias(prefix + c) for c in out.columns if c not in keys]) if prefix else out
+
+
+def parts(df: DataFrame) -> int:
+    """Into how many parts each side of a grid goes, for a few units a core."""
+    return math.isqrt(4 * df.sparkSession.sparkContext.defaultParallelism) + 1
 
-def by_blocks(queries: DataFrame, reference: DataFrame, work: Callable, schema: str, crossed: bool = False) -> DataFrame:
+
+def by_blocks(queries: DataFrame, reference: DataFrame, work: Callable, schema: str) -> DataFrame:
     """Runs ``work(q_ids, q_tags, q, ids, tags, block)`` on every pair of packed blocks of one length.
 
-    ``crossed`` meets partition by partition instead of by the length, which often is a single one; for sides that are ``dealt``.
+    Blocks are dealt out to the rows and columns of a grid by hash: a query block goes to all units of its row, a reference block to all of its
+    column, and the two meet in one. So no key gathers more than a row's and a column's share, however few lengths there are.
     """
-    same = (F.col("dim") <= F.col("q_dim")) & (F.col("dim") >= F.col("q_dim")) if crossed else F.col("dim") == F.col("q_dim")
-    pairs = reference.join(queries, same)
+    n = parts(reference)
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    down = queries.withColumn("across", F.pmod(F.xxhash64("q_ids"), F.lit(n)).cast("int")).withColumn("down", every)
+    across = reference.withColumn("down", F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")).withColumn("across", every)
+    pairs = across.withColumnRenamed("dim", "q_dim").join(down, ["q_dim", "across", "down"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for u in b.itertuples(index=False):
                 sides = []
                 for ids, tags, block in ((u.q_ids, u.q_tags, u.q_block), (u.ids, u.tags, u.block)):
-                    sides += [np.frombuffer(ids, np.int64), np.frombuffer(tags, np.int64), np.frombuffer(block, np.float64).reshape(-1, u.dim)]
+                    sides += [np.frombuffer(ids, np.int64), np.frombuffer(tags, np.int64), np.frombuffer(block, np.float64).reshape(-1, u.q_dim)]
                 yield work(*sides)
 
     return pairs.mapInPandas(run, schema)
@@ -81,32 +120,45 @@ def squared_distances(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0)
 
 
+def nearest_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int, exclude_self: bool = False) -> pd.DataFrame:
+    """(query_id, ref_id, d2): of one pair of blocks, the ``k`` nearest of each query."""
+    d = squared_distances(q, c)
+    if exclude_self:
+        d[q_ids[:, None] == ids[None, :]] = np.inf
+    take = min(k + 2, d.shape[1])
+    at = np.argpartition(d, take - 1, axis=1)[:, :take]
+    # The few that count are measured again by differences, without cancellation.
+    exact = ((q[:, None, :] - c[at]) ** 2).sum(2)
+    exact[~np.isfinite(np.take_along_axis(d, at, 1))] = np.inf
+    rows = pd.DataFrame({"query_id": np.repeat(q_ids, take), "ref_id": ids[at].ravel(), "d2": exact.ravel()})
+    rows = rows[np.isfinite(rows["d2"])].sort_values(["query_id", "d2", "ref_id"])
+    return rows.groupby("query_id").head(k)
+
+
+def unit_top(k: int) -> Callable:
+    """For pairs of blocks (q_ids, q_block, ids, block, dim): the nearest of each query, with the number of distances measured for it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for u in b.itertuples(index=False):
+                sides = [(np.frombuffer(i, np.int64), np.frombuffer(x, np.float64).reshape(-1, u.dim)) for i, x in ((u.q_ids, u.q_block), (u.ids, u.block))]
+                yield nearest_of(*sides[0], *sides[1], k).assign(measured=len(sides[1][0]))
+
+    return run
+
+
 def nearest(
     queries: DataFrame, reference: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding",
-    exclude_self: bool = False, block: int = BLOCK, crossed: bool = False,
+    exclude_self: bool = False, block: int = BLOCK,
 ) -> DataFrame:
     """(query_id, rank, ref_id, d2): the ``k`` nearest reference rows of each query.
 
     Squared Euclidean distances, ties to the smaller id; all rows where the reference has
     fewer than ``k``. With ``exclude_self``, a row of the query's own id is no neighbour.
     """
-
-    def work(q_ids, _, q, ids, __, c):
-        d = squared_distances(q, c)
-        if exclude_self:
-            d[q_ids[:, None] == ids[None, :]] = np.inf
-        take = min(k + 2, d.shape[1])
-        at = np.argpartition(d, take - 1, axis=1)[:, :take]
-        # The few that count are measured again by differences, without cancellation.
-        exact = ((q[:, None, :] - c[at]) ** 2).sum(2)
-        exact[~np.isfinite(np.take_along_axis(d, at, 1))] = np.inf
-        rows = pd.DataFrame({"query_id": np.repeat(q_ids, take), "ref_id": ids[at].ravel(), "d2": exact.ravel()})
-        rows = rows[np.isfinite(rows["d2"])].sort_values(["query_id", "d2", "ref_id"])
-        return rows.groupby("query_id").head(k)
-
     found = by_blocks(
-        packed(queries, id_col, vector_col, min(block, 1024), prefix="q_"), packed(reference, id_col, vector_col, block), work,
-        "query_id long, ref_id long, d2 double", crossed,
+        packed(queries, id_col, vector_col, min(block, 1024), prefix="q_"), packed(reference, id_col, vector_col, block),
+        lambda q_ids, _, q, ids, __, c: nearest_of(q_ids, q, ids, c, k, exclude_self), "query_id long, ref_id long, d2 double",
     )
     order = Window.partitionBy("query_id").orderBy("d2", "ref_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "ref_id", "d2")

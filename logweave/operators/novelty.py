@@ -43,7 +43,7 @@ def neighbour_means(queries: DataFrame, reference: DataFrame, k: int, exclude_se
             df.where(F.col(id_col).isNotNull() & (F.size(vector_col) > 0)).groupBy(F.col(vector_col).cast("array<double>").alias("v"))
             .agg(F.min(F.col(id_col).cast("long")).alias("id"), F.count("*").alias("times")) for df in (queries, reference)
         )
-        near = knn.nearest(knn.dealt(q), knn.dealt(r), k + exclude_self, "id", "v", crossed=True)
+        near = knn.nearest(q, r, k + exclude_self, "id", "v")
         means = knn.counted(near, r.select("id", "times"), k, exclude_self).groupBy("query_id").agg((F.sum(F.col("n") * F.sqrt("d2")) / F.sum("n")).alias("mean_distance"))
         of = q.join(means, q["id"] == means["query_id"]).select("v", "mean_distance")
         ids = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("u"))

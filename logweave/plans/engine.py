@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import embedding, hdbscan as density, knn
+from ..operators import embedding, index, hdbscan as density, knn
 from ..operators.preprocess import with_stats
 from ..session import read_table, scratch
 from ..sources import synthetic
@@ -63,22 +63,69 @@ def embed_text_choice(spark, sf_dir):
     return log_lines(spark, sf_dir).select("id", embedding.chosen_text(normalized, F.col("line")).alias("text"))
 
 
+EXACT = """WITH hits AS (SELECT q.vec_id AS query_id, e.vec_id AS ref_id, list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: pow(e.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE, 2))) AS d2
+FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, ref_id)::INTEGER AS rank FROM hits)
+SELECT query_id, rank, ref_id, round(d2, 4) AS d2 FROM ranked WHERE rank <= 5"""
+
+
+def _searched(spark, sf_dir, kind, how=None, **settings):
+    """Filled in two parts, copied, opened again and searched."""
+    e = read_table(spark, sf_dir, "embeddings")
+    made = index.index(kind, spark, **settings).train(e).add(e.where("vec_id % 3 = 0")).add(e.where("vec_id % 3 <> 0"))
+    opened = made.save_as(f"{scratch(spark)}/copy")
+    return opened.search(e.where("vec_id % 50 = 0"), 5, **(how or {})).select("query_id", "rank", "ref_id", F.round("d2", 4).alias("d2"))
+
+
+@query(EXACT)
+def flat_index_search(spark, sf_dir):
+    return _searched(spark, sf_dir, "Flat")
+
+
+@query(EXACT)
+def ivf_search_all_cells(spark, sf_dir):
+    """With every cell probed nothing is missed."""
+    return _searched(spark, sf_dir, "IVFFlat", lists=20, probes=20, recall=None)
+
+
 @query()
 def ivf_search(spark, sf_dir):
+    return _searched(spark, sf_dir, "IVFFlat", lists=20, probes=8)
+
+
+@query(EXACT)
+def graph_search(spark, sf_dir):
+    """With a beam this wide a walk over vectors like these finds what an exact search does."""
+    return _searched(spark, sf_dir, "HNSW", {"beam": 256}, m=32)
+
+
+def _reached(spark, sf_dir, kind, recall, **settings):
     e = read_table(spark, sf_dir, "embeddings")
-    index = embedding.index("IVFFlat", lists=20, probes=8).train(e)
-    return index.search(e, e.where("vec_id % 50 = 0"), 5).select("query_id", "rank", "ref_id", F.round("d2", 4).alias("d2"))
+    asked = e.where("vec_id % 50 = 0")
+    near = index.index(kind, spark, **settings).train(e).add(e).search(asked, 5).select("query_id", "ref_id")
+    found = knn.nearest(asked, e, 5).join(near.withColumn("hit", F.lit(1)), ["query_id", "ref_id"], "left")
+    return found.agg((F.avg(F.coalesce("hit", F.lit(0))) >= recall).alias("reached"), F.count_distinct("query_id").alias("asked"))
 
 
 @query("SELECT true AS reached, count(*) FILTER (vec_id % 50 = 0) AS asked FROM embeddings")
 def ivf_recall(spark, sf_dir):
     """Whether the approximate index finds nine in ten of the exact neighbours."""
+    return _reached(spark, sf_dir, "IVFFlat", 0.9, lists=20, probes=8)
+
+
+@query("SELECT true AS reached, count(*) FILTER (vec_id % 50 = 0) AS asked FROM embeddings")
+def graph_recall(spark, sf_dir):
+    return _reached(spark, sf_dir, "HNSW", 0.95, m=32, lowest=32, beam=16)
+
+
+@query("SELECT count(*) AS rows, min(vec_id) AS first, max(vec_id) AS last, true AS all_cells FROM embeddings")
+def index_stats(spark, sf_dir):
+    """Rows by cell, of an index that was cleared and filled again."""
     e = read_table(spark, sf_dir, "embeddings")
-    asked = e.where("vec_id % 50 = 0")
-    near = embedding.index("IVFFlat", lists=20, probes=8).train(e).search(e, asked, 5).select("query_id", "ref_id")
-    exact = knn.nearest(asked, e, 5)
-    found = exact.join(near.withColumn("hit", F.lit(1)), ["query_id", "ref_id"], "left")
-    return found.agg((F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("reached"), F.count_distinct("query_id").alias("asked"))
+    made = index.index("IVFFlat", spark, lists=20).train(e).add(e)
+    made.clear()
+    ends = made.add(e).blocks().agg(F.min("least").alias("first"), F.max("most").alias("last"))
+    cells = made.stats().agg(F.sum("rows").alias("rows"), (F.count("*") == 20).alias("all_cells"))
+    return cells.join(ends, F.lit(True)).select("rows", "first", "last", "all_cells")
 
 
 @query("""SELECT vec_id::VARCHAR AS id, CASE WHEN vec_id % 3 = 0 THEN 100 + label WHEN vec_id % 2 = 0 THEN label END AS cluster_id, substr('vector ' || vec_id, 1, 200) AS message_preview FROM embeddings""")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.keys import KeyRing
-from ..session import read_table, scratch
+from ..session import local_path, read_table, scratch
 from ..sources import files, sinks
 from ..sources.tail import TailSource
 from .lines import LINES_SQL, RECORDS_SQL, log_lines, records
@@ -52,23 +53,44 @@ def json_log(spark, sf_dir):
     return log.groupBy(key, "level", "service", "msg", "error_code", "request_id").agg(F.count("*").alias("n"), F.min("date").cast("string").alias("first_day"))
 
 
+def _append(rows, folder: str, ends: dict[int, int]) -> dict[int, int]:
+    """Each task writes its lines behind the first ``ends`` bytes of its own file, so that one that runs again does no harm; how long the files are then."""
+
+    def run(batches):
+        part, n = None, 0
+        for b in batches:
+            for part, line in zip(b["part"], b["line"]):
+                if n == 0:
+                    path = f"{folder}/part-{part}.log"
+                    f = open(path, "r+b" if os.path.exists(path) else "w+b")
+                    n = f.truncate(ends.get(part, 0))
+                    f.seek(n)
+                n += f.write(line.encode() + b"\n")
+        if part is not None:
+            f.close()
+            yield pd.DataFrame({"part": [part], "n": [n]})
+
+    return {r["part"]: r["n"] for r in rows.repartitionByRange(4, "part").mapInPandas(run, "part int, n long").collect()}
+
+
 @query(COUNTED)
 def tailed_lines(spark, sf_dir):
-    """Half of the lines, a stopped query, the other half, and the query started again: each line once."""
+    """Half of the lines, a stopped query, a file renamed, the other half, and the query started again: each line once."""
     folder = scratch(spark)
-    if not folder.startswith("file:"):
-        raise ValueError("files are followed on a file system that executors mount")
-    logs = folder.removeprefix("file://").removeprefix("file:") + "/logs"
+    logs = f"{local_path(spark, folder)}/logs"
     os.makedirs(logs)
     spark.dataSource.register(TailSource)
-    halves = log_lines(spark, sf_dir).select("line", F.pmod(F.xxhash64("id"), F.lit(2)).alias("half"))
+    rows = log_lines(spark, sf_dir).select("line", F.pmod(F.xxhash64("id"), F.lit(2)).alias("half"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)).cast("int").alias("part"))
+    ends: dict[int, int] = {}
     for half in (0, 1):
-        with open(f"{logs}/a.log", "a", encoding="utf-8") as f:
-            f.writelines(r["line"] + "\n" for r in halves.where(F.col("half") == half).select("line").toLocalIterator())
+        ends = _append(rows.where(F.col("half") == half), logs, ends)
         lines = spark.readStream.format("logweave-tail").option("path", logs).option("maxLines", "1000000").load()
         stream = lines.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").start()
         stream.processAllAvailable()
         stream.stop()
+        if half == 0:
+            os.rename(f"{logs}/part-2.log", f"{logs}/part-2.log.1")
+            ends.pop(2, None)
     return spark.read.parquet(f"{folder}/out").groupBy("line").agg(F.count("*").alias("n"))
 
 

@@ -61,6 +61,21 @@ def scratch(spark) -> str:
     return path
 
 
+def local_path(spark, path: str) -> str:
+    """The path on a file system that driver and executors mount, of any form of it; an error for other stores."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri()
+    if where.getScheme() != "file":
+        raise ValueError(f"{path} is not on a file system that executors mount")
+    return where.getPath()
+
+
+def deleted(spark, path: str) -> None:
+    """Deletes a folder and what is in it, if it is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def held(df):
     """``df`` computed now, its plan cut, in the folder that all executors share."""
     context = df.sparkSession.sparkContext

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logweave.operators import clusters, embedding, evaluation, explain, hdbscan, knn, novelty, retention, routing
+from logweave.operators import clusters, embedding, evaluation, explain, hdbscan, index, knn, novelty, retention, routing
 
 
 def _vectors(spark, x, labels=None):
@@ -186,17 +186,106 @@ def test_provider_failures_stay_in_their_rows(spark):
     assert got == {"ok": ("OK", None), "bad": (None, "RuntimeError: no")}
 
 
+def _hits(df):
+    return {(r["query_id"], r["ref_id"]) for r in df.collect()}
+
+
 def test_inverted_lists_reach_their_recall(spark):
     rng = np.random.default_rng(3)
     df = _vectors(spark, rng.normal(size=(1200, 16)))
     asked = df.where("vec_id % 50 = 0")
-    exact = {(r["query_id"], r["ref_id"]) for r in knn.nearest(asked, df, 10).collect()}
-    index = embedding.index("IVFFlat", lists=30, probes=2).train(df)
-    found = {(r["query_id"], r["ref_id"]) for r in index.search(df, asked, 10).collect()}
-    assert len(exact & found) >= 0.9 * len(exact) and index.probes < 30
+    exact = _hits(knn.nearest(asked, df, 10))
+    made = index.index("IVFFlat", spark, lists=30, probes=2).train(df).add(df)
+    assert len(exact & _hits(made.search(asked, 10))) >= 0.9 * len(exact) and made.settings["probes"] < 30
     # Every row is in a list: with all lists probed nothing is missed.
-    whole = embedding.InvertedLists(lists=30, probes=30, recall=None).train(df).search(df, asked, 10)
-    assert {(r["query_id"], r["ref_id"]) for r in whole.collect()} == exact
+    whole = index.index("IVF", spark, lists=30, probes=30, recall=None).train(df).add(df)
+    assert _hits(whole.search(asked, 10)) == exact
+
+
+def test_inverted_lists_read_probed_cells_only(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(40, 8)) * 20, 50, axis=0) + rng.normal(size=(2000, 8))
+    df = _vectors(spark, x)
+    path = f"file://{tmp_path}/ivf"
+    made = index.InvertedFile(spark, path, lists=40, probes=2).train(df, sample=1000)
+    made.add(df.where("vec_id < 1500")).add(df.where("vec_id >= 1500"))
+    opened = index.load(spark, path)
+    assert (opened.kind, opened.settings["probes"]) == ("IVFFlat", made.settings["probes"])
+    assert opened.size() == 2000 and opened.stats().agg({"rows": "sum"}).first()[0] == 2000
+    asked = df.where("vec_id in (0, 60, 777)")
+    assert len(_hits(opened.search(asked, 5)) & _hits(knn.nearest(asked, df, 5))) >= 14
+    cells = [r["cell"] for r in opened._asked(asked).select("cell").distinct().collect()]
+    read = opened.blocks().where(F.col("cell").isin(cells))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
+    assert len({r["f"] for r in read.select(F.input_file_name().alias("f")).collect()}) < len(opened.blocks().inputFiles()) / 2
+    got = opened.get(777).collect()
+    assert [r["id"] for r in got] == [777] and np.allclose(got[0]["embedding"], x[777])
+    copy = opened.save_as(f"file://{tmp_path}/copy")
+    opened.clear()
+    assert (opened.size(), copy.size()) == (0, 2000)
+    assert opened.search(asked, 5).count() == 0 and opened.add(df.where("vec_id < 7")).size() == 7
+
+
+def test_index_odd_rows(spark):
+    rows = [(1, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [3.0, 4.0]), (None, [1.0, 1.0]), (3, None), (4, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for kind in ("Flat", "IVF", "HNSW"):
+        made = index.index(kind, spark).train(df).add(df)
+        assert made.size() == 3
+        got = [(r["rank"], r["ref_id"], r["d2"]) for r in made.search(df.where("vec_id = 2"), 9).orderBy("rank").collect()]
+        assert got == [(1, 2, 0.0), (2, 1, 25.0), (3, 1, 25.0)]
+        assert made.search(df.limit(0)).count() == 0
+        with pytest.raises(Exception, match="length 2"):
+            made.add(spark.createDataFrame([(9, [1.0])], "vec_id long, embedding array<float>"))
+        with pytest.raises(ValueError):
+            index.index(kind, spark).train(df.limit(0))
+    with pytest.raises(ValueError):
+        index.index("tree", spark)
+
+
+def test_hot_cell_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(index, "ASKED", 16)
+    monkeypatch.setattr(index, "BLOCKS", 1)
+    monkeypatch.setattr(knn, "BLOCK", 32)
+    x = np.vstack([np.random.default_rng(1).normal(size=(300, 4)), np.full((1, 4), 50.0)])
+    df = _vectors(spark, x)
+    made = index.index("IVF", spark, lists=2, probes=2, recall=None).train(df).add(df)
+    assert {r["blocks"] for r in made.stats().collect()} != {1}
+    asked = df.where("vec_id < 100")
+    assert _hits(made.search(asked, 3)) == _hits(knn.nearest(asked, df, 3))
+
+
+def test_graph_walks(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/embeddings.parquet")
+    n, asked = e.count(), e.where("vec_id % 20 = 0")
+    made = index.index("HNSW", spark, m=32, lowest=32, beam=12).train(e).add(e)
+    exact = _hits(index.index("Flat", spark).train(e).add(e).search(asked, 10))
+    hits = made.search(asked, 10)
+    assert len(_hits(hits) & exact) >= 0.95 * len(exact)
+    measured = made.search(asked, 10, details=True).groupBy("query_id").agg(F.max("measured").alias("m")).agg(F.avg("m")).first()[0]
+    assert measured < 0.2 * n
+    # Several graphs are searched and merged.
+    parted = index.index("HNSW", spark, nodes=300, beam=12).train(e).add(e)
+    assert parted.stats().first()["blocks"] >= 7
+    assert len(_hits(parted.search(asked, 10)) & exact) >= 0.95 * len(exact)
+
+
+def test_graph_links(spark):
+    from logweave.operators import graph_index
+
+    rng = np.random.default_rng(2)
+    # Far clusters: a walk must get from one to another.
+    x = np.repeat(rng.normal(size=(20, 6)) * 100, 60, axis=0) + rng.normal(size=(1200, 6))
+    ids = np.arange(1200)
+    order, layers = graph_index.build(ids, x, 8, 16, 64, 42)
+    assert sorted(order.tolist()) == ids.tolist() and len(layers) > 1
+    for nodes, links in layers:
+        assert links.max() < len(nodes) and all(i not in row for i, row in enumerate(links))
+    found, _, _ = graph_index.search(x[order], layers, x[::7], 32)
+    assert (order[found[:, 0]] == ids[::7]).mean() > 0.98
+    levels, _ = graph_index.drawn_levels(np.arange(100_000), 32, 42)
+    assert 0.8 < (levels >= 1).mean() * 32 < 1.2
 
 
 def test_running_over_many_ranges(spark):

@@ -70,6 +70,115 @@ def test_tail_goes_on_from_a_checkpoint(tmp_path):
     assert [line for p in again.partitions(end, again.latestOffset()) for line, _, _ in again.read(p)] == ["half more", "6"]
 
 
+def _taken(reader, begin, end):
+    return [line for p in reader.partitions(begin, end) for line, _, _ in reader.read(p)]
+
+
+def test_tail_renamed_and_regrown(tmp_path):
+    log = tmp_path / "a.log"
+    log.write_text("1\n2\n3\nlast")
+    r = TailReader({"path": str(tmp_path), "maxLines": "2"})
+    at, got = r.initialOffset(), []
+
+    def poll():
+        nonlocal at
+        end = r.latestOffset()
+        got.append(_taken(r, at, end))
+        at = end
+
+    poll()
+    # Renamed, and begun anew with more than the old offset; the writer's last words go to the old file.
+    log.rename(tmp_path / "a.log.1")
+    with (tmp_path / "a.log.1").open("a") as f:
+        f.write(" words")
+    log.write_text("new 1\nnew 2\nnew 3\n")
+    (tmp_path / "b.log.7").write_text("never followed\n")
+    for _ in range(4):
+        poll()
+    assert got[0] == ["1", "2"]
+    assert [x for part in got[1:] for x in part] == ["3", "last words", "new 1", "new 2", "new 3"]
+
+
+def test_tail_renamed_while_stopped(tmp_path):
+    log = tmp_path / "a.log"
+    log.write_text("1\n2\n")
+    first = TailReader({"path": str(tmp_path)})
+    begin = first.initialOffset()
+    done = first.latestOffset()
+    assert _taken(first, begin, done) == ["1", "2"]
+    with log.open("a") as f:
+        f.write("3\n")
+    log.rename(tmp_path / "a.log.1")
+    log.write_text("one much longer line than those before\n")
+    (tmp_path / "old.log.9").write_text("never followed\n")
+    again = TailReader({"path": str(tmp_path)})
+    end = again.latestOffset()
+    assert sorted(_taken(again, done, end)) == ["3", "one much longer line than those before"]
+    assert _taken(again, end, again.latestOffset()) == []
+
+
+def test_tail_copied_and_truncated(tmp_path):
+    log = tmp_path / "a.log"
+    log.write_text("first 1\nfirst 2\n")
+    r = TailReader({"path": str(tmp_path)})
+    begin = r.initialOffset()
+    one = r.latestOffset()
+    assert _taken(r, begin, one) == ["first 1", "first 2"]
+    # The same inode, already longer than what was read of it.
+    log.write_text("second 1\nsecond 2\nsecond 3\n")
+    two = r.latestOffset()
+    assert _taken(r, one, two) == ["second 1", "second 2", "second 3"]
+    log.write_text("x\n")
+    assert _taken(r, two, r.latestOffset()) == ["x"]
+
+
+def test_tail_renamed_before_it_is_read(tmp_path):
+    log = tmp_path / "a.log"
+    log.write_text("1\n")
+    r = TailReader({"path": str(log)})
+    begin = r.initialOffset()
+    end = r.latestOffset()
+    spans = r.partitions(begin, end)
+    log.rename(tmp_path / "a.log.1")
+    assert [line for p in spans for line, _, _ in r.read(p)] == ["1"]
+    (tmp_path / "a.log.1").unlink()
+    with pytest.raises(FileNotFoundError):
+        list(r.read(spans[0]))
+    assert list(TailReader({"path": str(log), "failOnDataLoss": "false"}).read(spans[0])) == []
+
+
+def test_rotating_writer_yields_each_line_once(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    spark.dataSource.register(TailSource)
+
+    def run():
+        lines = spark.readStream.format("logweave-tail").option("path", str(logs)).option("maxLines", "15").load()
+        query = lines.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out")).trigger(processingTime="0 seconds").start()
+        query.processAllAvailable()
+        return query
+
+    n = 0
+    for part in range(3):
+        query = run() if part else None
+        for _ in range(3):
+            with (logs / "a.log").open("a") as f:
+                f.writelines(f"line {n + i}\n" for i in range(40))
+            n += 40
+            if query:
+                query.processAllAvailable()
+            (logs / "a.log").rename(logs / f"a.log.{n}")
+            (logs / "a.log").write_text(f"line {n}\n")
+            n += 1
+        if query:
+            query.processAllAvailable()
+            query.stop()
+    run().stop()
+    got = sorted(r["line"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    # What was rotated away before the first start was never followed; the rest is there once.
+    assert len(got) == len(set(got)) and set(got) >= {f"line {i}" for i in range(122, n)}
+
+
 def test_long_lines_are_errors(spark, tmp_path):
     (tmp_path / "long.log").write_text("short\n" + "x" * (files.MAX_LINE + 1) + "\n")
     with pytest.raises(Exception, match="line too long"):
