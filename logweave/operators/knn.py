@@ -87,9 +87,15 @@ def packed_by(rows: DataFrame, keys: list[str], size: int = BLOCK, prefix: str =
     return out.select(*keys, *[F.col(c).alias(prefix + c) for c in out.columns if c not in keys]) if prefix else out
 
 
-def parts(df: DataFrame) -> int:
-    """Into how many parts each side of a grid goes, for a few units a core."""
-    return math.isqrt(4 * df.sparkSession.sparkContext.defaultParallelism) + 1
+#: Bytes of the larger side, by the planner's estimate, for each row and column of a grid.
+SHARE = 4 << 20
+
+
+def parts(*frames: DataFrame) -> int:
+    """Into how many parts each side of a grid goes: a few units a core, fewer where the planner expects little."""
+    size = max(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in frames)
+    most = math.isqrt(4 * frames[0].sparkSession.sparkContext.defaultParallelism) + 1
+    return max(1, min(most, size // SHARE))
 
 
 def by_blocks(queries: DataFrame, reference: DataFrame, work: Callable, schema: str) -> DataFrame:
@@ -98,7 +104,7 @@ def by_blocks(queries: DataFrame, reference: DataFrame, work: Callable, schema:
     Blocks are dealt out to the rows and columns of a grid by hash: a query block goes to all units of its row, a reference block to all of its
     column, and the two meet in one. So no key gathers more than a row's and a column's share, however few lengths there are.
     """
-    n = parts(reference)
+    n = parts(queries, reference)
     every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     down = queries.withColumn("across", F.pmod(F.xxhash64("q_ids"), F.lit(n)).cast("int")).withColumn("down", every)
     across = reference.withColumn("down", F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")).withColumn("across", every)
