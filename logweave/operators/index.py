@@ -22,6 +22,8 @@ from . import knn
 ROW = "id long, cell int, v array<double>"
 #: Blocks of a cell, and queries of a cell, that meet in one task.
 BLOCKS, ASKED = 32, 8192
+#: Sampled rows that a cell's centre is learned from, on average, at most.
+PER_CELL = 256
 
 
 def kmeans(x: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
@@ -44,8 +46,12 @@ def enough_probes(x: np.ndarray, centres: np.ndarray, recall: float, k: int = 10
     q = x[:: max(len(x) // asked, 1)][:asked]
     turn = np.empty((len(q), len(centres)), np.int64)  # of each cell, when a query probes it
     np.put_along_axis(turn, np.argsort(norms[None, :] - 2 * q @ centres.T, axis=1, kind="stable"), np.arange(len(centres))[None, :], 1)
-    near = np.argsort((x**2).sum(1)[None, :] - 2 * q @ x.T, axis=1, kind="stable")[:, 1 : k + 1]
-    needed = np.sort(np.take_along_axis(turn, home[near], 1).ravel())
+    squares, near, take = (x**2).sum(1)[None, :], [], min(k + 1, len(x))
+    for i in range(0, len(q), 64):
+        d = squares - 2 * q[i : i + 64] @ x.T
+        some = np.argpartition(d, take - 1, axis=1)[:, :take]
+        near.append(np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), axis=1, kind="stable"), 1)[:, 1:])
+    needed = np.sort(np.take_along_axis(turn, home[np.concatenate(near)], 1).ravel())
     return int(needed[min(int(np.ceil(recall * len(needed))), len(needed)) - 1]) + 1 if len(needed) else 1
 
 
@@ -79,13 +85,18 @@ class VectorIndex:
         raise NotImplementedError
 
     def train(self, df: DataFrame, sample: int = 50_000, seed: int = 42) -> VectorIndex:
-        """Learns the cells on at most ``sample`` rows, those with the smallest keyed hashes, and writes the manifest. Rows that were added go."""
-        keyed = self._rows(df).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample)
-        rows = keyed.select("v").collect()
-        if not rows:
+        """Learns the cells on at most ``sample`` rows, and no more than ``PER_CELL`` for each cell, those with the smallest keyed hashes, and writes the manifest.
+
+        Rows that were added go.
+        """
+        most = min(sample, PER_CELL * self.settings.get("lists", 1))
+        keyed = self._rows(df).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most)
+        values = keyed.select("v").toArrow().column("v").combine_chunks()
+        if not len(values):
             raise ValueError("nothing to train on")
-        self._fit(np.array([r["v"] for r in rows]))
-        self._write_manifest(len(rows[0]["v"]))
+        dim = len(values[0])
+        self._fit(values.flatten().to_numpy().reshape(-1, dim))
+        self._write_manifest(dim)
         self.clear()
         return self
 
