@@ -98,9 +98,15 @@ def parts(*frames: DataFrame) -> int:
     return max(1, min(most, size // SHARE))
 
 
-def by_blocks(queries: DataFrame, reference: DataFrame, work: Callable, schema: str) -> DataFrame:
+#: Rows that a task holds of what it found for query blocks before it passes them on.
+HELD = 1 << 20
+
+
+def by_blocks(queries: DataFrame, reference: DataFrame, work: Callable, schema: str, merge: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """Runs ``work(q_ids, q_tags, q, ids, tags, block)`` on every pair of packed blocks of one length.
 
+    What a task found for one query block is put together by ``merge``, so that a task's rows grow with its queries and not with its pairs.
+
     Blocks are dealt out to the rows and columns of a grid by hash: a query block goes to all units of its row, a reference block to all of its
     column, and the two meet in one. So no key gathers more than a row's and a column's share, however few lengths there are.
     """
@@ -111,12 +117,18 @@ def by_blocks(queries: DataFrame, reference: DataFrame, work: Callable, schema:
     pairs = across.withColumnRenamed("dim", "q_dim").join(down, ["q_dim", "across", "down"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[bytes, pd.DataFrame] = {}
         for b in batches:
             for u in b.itertuples(index=False):
                 sides = []
                 for ids, tags, block in ((u.q_ids, u.q_tags, u.q_block), (u.ids, u.tags, u.block)):
                     sides += [np.frombuffer(ids, np.int64), np.frombuffer(tags, np.int64), np.frombuffer(block, np.float64).reshape(-1, u.q_dim)]
-                yield work(*sides)
+                more = work(*sides)
+                found[u.q_ids] = merge(pd.concat([found[u.q_ids], more])) if u.q_ids in found else more
+                if sum(map(len, found.values())) > HELD:
+                    yield from found.values()
+                    found = {}
+        yield from found.values()
 
     return pairs.mapInPandas(run, schema)
 
@@ -165,6 +177,7 @@ def nearest(
     found = by_blocks(
         packed(queries, id_col, vector_col, min(block, 1024), prefix="q_"), packed(reference, id_col, vector_col, block),
         lambda q_ids, _, q, ids, __, c: nearest_of(q_ids, q, ids, c, k, exclude_self), "query_id long, ref_id long, d2 double",
+        lambda hits: hits.sort_values(["query_id", "d2", "ref_id"]).groupby("query_id").head(k),
     )
     order = Window.partitionBy("query_id").orderBy("d2", "ref_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "ref_id", "d2")

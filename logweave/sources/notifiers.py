@@ -8,9 +8,11 @@ raises, so it fits ``sinks.notify``. Further kinds are registered by name.
 from __future__ import annotations
 
 import json
+import os
 import smtplib
 import ssl
 import urllib.request
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from email.message import EmailMessage
@@ -43,6 +45,7 @@ class Webhook:
 
     def __call__(self, event: dict) -> None:
         extra = {"Authorization": f"Bearer {self.token}"} if self.token else {}
+        extra |= {"Idempotency-Key": event["key"]} if event.get("key") else {}
         _posted(self.url, event["payload"], {**self.headers, **extra}, self.timeout)
 
 
@@ -112,7 +115,25 @@ class GitHubIssue:
             _posted(f"{self.api}/repos/{self.repository}/issues", event["payload"], headers, self.timeout)
 
 
-_kinds: dict[str, Callable] = {"slack": Slack, "webhook": Webhook, "email": Email, "github": GitHubIssue}
+@dataclass
+class Lines:
+    """Appends each notice's key and payload, as a line of JSON, to a file of its own in a folder."""
+
+    folder: str = ""
+    enabled: bool = True
+
+    def problems(self) -> list[str]:
+        return ["a folder is needed"] * (not self.folder)
+
+    def __call__(self, event: dict) -> None:
+        if not hasattr(self, "_file"):
+            os.makedirs(self.folder, exist_ok=True)
+            self._file = f"{self.folder}/{uuid.uuid4().hex}.jsonl"
+        with open(self._file, "a", encoding="utf-8") as f:
+            f.write(json.dumps({"key": event.get("key"), "payload": event["payload"]}) + "\n")
+
+
+_kinds: dict[str, Callable] = {"lines": Lines, "slack": Slack, "webhook": Webhook, "email": Email, "github": GitHubIssue}
 
 
 def register(kind: str, maker: Callable) -> None:

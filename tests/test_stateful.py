@@ -139,3 +139,197 @@ def test_sessions_streamed(spark, beside, tmp_path):
         assert r["labels"] == [label for _, label in p.results]
         assert (r["labelled"], r["remaining"]) == (len(p.results), p.total - len(p.results))
         assert r["skipped"] == sum(label == "skip" for _, label in p.results)
+
+
+class Hook:
+    """A local web hook that refuses after some requests."""
+
+    def __init__(self, good):
+        import http.server
+        import threading
+
+        self.keys, self.good = [], good
+        hook = self
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_POST(self):
+                self.rfile.read(int(self.headers["Content-Length"]))
+                fine = hook.good is None or len(hook.keys) < hook.good
+                if fine:
+                    hook.keys.append(self.headers["Idempotency-Key"])
+                self.send_response(200 if fine else 500)
+                self.end_headers()
+
+            def log_message(self, *_):
+                pass
+
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.url = f"http://127.0.0.1:{self.server.server_port}/"
+
+
+def test_notices_are_sent_once(spark, tmp_path):
+    from logweave.sources.delivery import NoticeSink, NoticeWriter
+
+    spark.dataSource.register(NoticeSink)
+    spark.range(40).selectExpr("concat('e', id) AS event_id", "'{}' AS payload").repartition(3).write.parquet(str(tmp_path / "in"))
+    hook = Hook(17)
+
+    def run():
+        stream = spark.readStream.schema("event_id string, payload string").parquet(str(tmp_path / "in")).repartition(2)
+        writer = stream.writeStream.format("logweave-notices").option("kind", "webhook").option("settings", json.dumps({"url": hook.url})).option("ledger", f"file://{tmp_path}/ledger")
+        writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+
+    with pytest.raises(Exception, match="500|Internal"):
+        run()
+    assert len(hook.keys) == 17
+    hook.good = None
+    run()
+    run()
+    assert sorted(hook.keys) == sorted(f"0-e{i}" for i in range(40))
+    assert json.loads((tmp_path / "ledger" / "batch=0" / "done.json").read_text()) == {"sent": 23, "skipped": 17}
+    with pytest.raises(ValueError):
+        NoticeWriter({"kind": "webhook", "ledger": str(tmp_path)})
+    old = NoticeWriter({"kind": "lines", "settings": json.dumps({"folder": str(tmp_path)}), "ledger": str(tmp_path / "ledger"), "keep": "2"})
+    old.commit([None], 2)
+    assert sorted(p.name for p in (tmp_path / "ledger").iterdir()) == ["batch=2"]
+
+
+def test_daemon_states(spark, tmp_path):
+    from logweave.streaming import daemon
+
+    recorder = daemon.Recorder(spark, f"file://{tmp_path}/states")
+    spark.streams.addListener(recorder)
+    spark.range(10).write.parquet(str(tmp_path / "in"))
+    fail = []
+
+    def each(batch, _):
+        if fail:
+            raise ValueError("no")
+        batch.count()
+
+    def start(name):
+        stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+        return stream.writeStream.queryName(name).foreachBatch(each).option("checkpointLocation", str(tmp_path / "cp")).start()
+
+    watch = daemon.Daemon(recorder, "watch", start)
+    try:
+        q = watch.start()
+        assert recorder.wait(q, ("running",)) == "running"
+        with pytest.raises(RuntimeError):
+            watch.start()
+        up = daemon.status(daemon.history(spark, f"file://{tmp_path}/states"), F.current_timestamp() + F.expr("interval 1 hour")).first()
+        assert (up["name"], up["state"], up["runs"]) == ("watch", "running", 1) and 3600 <= up["uptime"] < 3700
+        q.processAllAvailable()
+        assert watch.stop() == "stopped"
+        fail.append(1)
+        spark.range(5).write.mode("append").parquet(str(tmp_path / "in"))
+        q = watch.start()
+        with pytest.raises(Exception):
+            q.awaitTermination(60)
+        assert watch.stop() == "error"
+        changes = daemon.history(spark, f"file://{tmp_path}/states")
+        row = daemon.status(changes).first()
+        assert (row["state"], row["runs"], row["errors"], row["rows"]) == ("error", 2, 1, 10)
+        each_run = daemon.runs(changes).orderBy("started").collect()
+        assert [r["state"] for r in each_run] == ["stopped", "error"] and each_run[0]["uptime"] > 0 and "no" in each_run[1]["message"]
+        assert [r["state"] for r in changes.where(F.col("run") == each_run[0]["run"]).orderBy("at").collect()] == ["starting", "running", "stopped"]
+    finally:
+        spark.streams.removeListener(recorder)
+
+
+def test_lines_through_a_pipe(spark, tmp_path):
+    import os
+    import threading
+
+    from logweave.sources.pipe import LineFeed
+
+    spark.dataSource.register(LineFeed)
+    pipe = str(tmp_path / "pipe")
+    os.mkfifo(pipe)
+
+    def feed(lines):
+        with open(pipe, "w", encoding="utf-8") as f:
+            f.writelines(x + "\n" for x in lines)
+
+    def query():
+        stream = spark.readStream.format("logweave-lines").option("path", pipe).option("spool", f"file://{tmp_path}/spool").option("maxLines", "7").option("buffer", "50").load()
+        return stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out")).trigger(processingTime="100 milliseconds").start()
+
+    def done():
+        return sorted(r["line"] for r in spark.read.schema("line string").parquet(str(tmp_path / "out")).collect()) if (tmp_path / "out").exists() else []
+
+    sent = []
+    for part in range(2):
+        q = query()
+        lines = [f"line {part} {i}" for i in range(120)]
+        sent += lines
+        thread = threading.Thread(target=feed, args=(lines,), daemon=True)
+        thread.start()
+        end = dt.datetime.now() + dt.timedelta(seconds=90)
+        while dt.datetime.now() < end and len(done()) < len(sent):
+            q.awaitTermination(0.5)
+        q.stop()
+        assert done() == sorted(sent)
+
+
+def test_spool(tmp_path):
+    from logweave.sources.pipe import FeedReader, Spool
+
+    spool = Spool(str(tmp_path / "s"))
+    for i in range(2500):
+        spool.append(b"%d" % i)
+    spool.acknowledge(2100)
+    assert sorted(int(p.name) for p in (tmp_path / "s").iterdir() if p.name.isdigit()) == [2000]
+    spool.file.close()
+    with open(tmp_path / "s" / "2000", "ab") as f:
+        f.write(b"half")
+    again = Spool(str(tmp_path / "s"))
+    assert (again.acknowledged, again.next, len(again.lines)) == (2100, 2500, 400)
+    again.append(b"next")
+    assert Spool(str(tmp_path / "s")).lines[2500] == b"next"
+    reader = FeedReader({"path": "/nowhere", "spool": str(tmp_path / "s"), "maxLines": "10"})
+    assert reader.initialOffset() == {"at": 2100}
+    assert [n for _, n in reader.readBetweenOffsets({"at": 2100}, {"at": 2103})] == [2100, 2101, 2102]
+    rows, end = reader.read({"at": 2100})
+    assert end == {"at": 2110} and len(list(rows)) == 10
+    reader.closed = True
+    with pytest.raises(ValueError):
+        FeedReader({"spool": str(tmp_path / "t")})
+
+
+def test_error_channel(spark):
+    from logweave.operators import preprocess as P
+
+    rows = [(i, f"m{i}", {"k": str(i)}) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, message string, attrs map<string,string>").repartition(3)
+
+    def change(r):
+        if r["id"] % 5 == 0:
+            raise ValueError(f"bad {r['id']}")
+        if r["id"] == 7:
+            return None
+        return {"message": r["message"].upper(), "n": "x" if r["id"] == 8 else r["id"] * 2}
+
+    def stage(how):
+        return P.record_stage("own", change, "message string, n int", ["id", "message"], how)
+
+    number = P.checked_stage("number", {"half": F.col("n") / 2}, F.when(F.col("id") == 9, F.lit("nine")))
+    kept = {r["id"]: r for r in P.pipeline([stage("keep"), number])(df).collect()}
+    assert set(kept) == set(range(20)) - {7}
+    for i, r in kept.items():
+        bad = i % 5 == 0 or i == 8
+        assert r["message"] == (f"m{i}" if bad else f"M{i}") and r["n"] == (None if bad else 2 * i) and r["attrs"] == {"k": str(i)}
+        assert [e["stage"] for e in r["errors"]] == ["own"] * bad + ["number"] * (i == 9)
+        assert r["half"] == (None if bad or i == 9 else i)
+    assert kept[5]["errors"][0]["error"] == "ValueError: bad 5"
+    done = P.pipeline([stage("keep"), number])(df)
+    good, failed = P.split_errors(done)
+    assert good.count() + failed.count() == 19 and failed.count() == 6 and "errors" not in good.columns
+    assert {(r["stage"], r["n"]) for r in P.error_counts(done).groupBy("stage").agg(F.sum("n").alias("n")).collect()} == {("own", 5), ("number", 1)}
+    assert {r["id"] for r in stage("skip")(df).collect()} == {i for i in range(20) if i % 5 and i not in (7, 8)}
+    with pytest.raises(Exception, match="own: ValueError: bad"):
+        stage("raise")(df).collect()
+    assert stage("keep")(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        stage("never")
