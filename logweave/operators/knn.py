@@ -154,13 +154,21 @@ def nearest_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray,
 
 
 def unit_top(k: int) -> Callable:
-    """For pairs of blocks (q_ids, q_block, ids, block, dim): the nearest of each query, with the number of distances measured for it."""
+    """For pairs of blocks (q_ids, q_block, ids, block, dim): the nearest of each query in a task, with the number of distances measured for it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[bytes, tuple[pd.DataFrame, int]] = {}
         for b in batches:
             for u in b.itertuples(index=False):
                 sides = [(np.frombuffer(i, np.int64), np.frombuffer(x, np.float64).reshape(-1, u.dim)) for i, x in ((u.q_ids, u.q_block), (u.ids, u.block))]
-                yield nearest_of(*sides[0], *sides[1], k).assign(measured=len(sides[1][0]))
+                hits, n = nearest_of(*sides[0], *sides[1], k), len(sides[1][0])
+                if u.q_ids in found:
+                    hits, n = pd.concat([found[u.q_ids][0], hits]).sort_values(["query_id", "d2", "ref_id"]).groupby("query_id").head(k), n + found[u.q_ids][1]
+                found[u.q_ids] = hits, n
+                if sum(len(h) for h, _ in found.values()) > HELD:
+                    yield from (h.assign(measured=m) for h, m in found.values())
+                    found = {}
+        yield from (h.assign(measured=m) for h, m in found.values())
 
     return run
 
