@@ -139,30 +139,33 @@ def _joined(fps: np.ndarray, pairs: np.ndarray, budget: int, most: int = 400_000
 
 
 def _spanning(links: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The links that join trees of the forest ``label``, and the forest with them, by hooking and pointer jumping."""
-    chosen = []
+    """Which links join trees of the forest ``label``, as a mask, and the forest with them, by hooking and pointer jumping."""
+    chosen, at = np.zeros(len(links), bool), np.arange(len(links))
     while len(links):
         a, b = label[links[:, 0]], label[links[:, 1]]
         live = a != b
         if not live.any():
             break
-        links, a, b = links[live], a[live], b[live]
+        links, a, b, at = links[live], a[live], b[live], at[live]
         # The first link of each higher root hooks it to a lower one, so no circle can form.
         high, low = np.maximum(a, b), np.minimum(a, b)
         roots, first = np.unique(high, return_index=True)
         label = label.copy()
         label[roots] = low[first]
-        chosen.append(links[first])
+        chosen[at[first]] = True
         while True:
             higher = label[label]
             if (higher == label).all():
                 break
             label = higher
-    return (np.concatenate(chosen) if chosen else np.zeros((0, 2), np.int64)), label
+    return chosen, label
 
 
-def _link_units(budget: int, room: int = 30_000):
-    """Joins the tries of a partition sorted by unit; yields a spanning forest of each, of real links."""
+def _link_units(budget: int, forests: int, room: int = 30_000):
+    """Joins the tries of a partition sorted by unit; yields of each ``forests`` spanning forests, of real links, that share none.
+
+    A link that is in none of them has its ends joined in each by other links.
+    """
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.reset_index(drop=True)
@@ -177,13 +180,18 @@ def _link_units(budget: int, room: int = 30_000):
         mid = lo + (far[hi] - far[lo])
         own = np.stack([lo, mid, lo, mid], axis=1)[mid - lo > 1]
         across = np.stack([lo, mid, mid, hi], axis=1)[(mid > lo) & (hi > mid)]
-        label, chosen = np.arange(len(fps)), []  # a spanning forest; within a batch of links the closest come first
+        labels, chosen = [np.arange(len(fps))] * forests, []  # within a batch of links the closest come first
         for links in _joined(fps, np.concatenate([own, across]).astype(np.int64), budget):
             far = _popcount(fps[links[:, 0]] ^ fps[links[:, 1]])
             for errors in range(budget + 1):
-                links_now, label = _spanning(links[far == errors], label)
-                chosen.append(links_now)
-        node = rows["node"].to_numpy()[order]
+                left = links[far == errors]
+                for k in range(forests):
+                    if not len(left):
+                        break
+                    taken, labels[k] = _spanning(left, labels[k])
+                    chosen.append(left[taken])
+                    left = left[~taken]
+        node = rows["node" if "node" in rows else "fp"].to_numpy()[order]
         edges = np.concatenate(chosen) if chosen else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": node[edges[:, 0]], "b": node[edges[:, 1]]})
 
@@ -235,8 +243,13 @@ def _linked(around: DataFrame) -> DataFrame:
     return around.where(F.col("near") & (F.col("node") != F.col("pivot.node"))).select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
 
 
-def link_nodes(nodes: DataFrame, budget: int = 4, blocks: int = 6, leaf: int = 1024) -> DataFrame:
-    """Links (a, b) that span each component of ``nodes`` (fp, node, weight); fp is unique."""
+def link_nodes(nodes: DataFrame, budget: int = 4, blocks: int = 6, leaf: int = 1024, forests: int = 1) -> DataFrame:
+    """Links (a, b) that span each component of ``nodes`` (fp, node, weight); fp is unique, and stands for a node without a name of its own.
+
+    With one forest of each unit the components are exact. With more, links are proposals of which each is to be decided: then
+    rows near a pivot are compared with each other too, as far as they meet in a unit, and crowded groups are dealt out by one more run of bits, not two.
+    """
+    own = "node" if "node" in nodes.columns else "fp"
     if not 0 <= budget < blocks <= 64:
         raise ValueError("blocks must exceed the budget")
     masks = _masks((1 << 64) - 1, blocks, blocks - budget)
@@ -244,33 +257,36 @@ def link_nodes(nodes: DataFrame, budget: int = 4, blocks: int = 6, leaf: int = 1
         F.struct(F.lit(i).alias("trie"), F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long"))).alias("unit"))
         for i, m in enumerate(masks)
     ]
+    nodes = nodes if own == "node" else nodes.withColumn("node", F.col("fp"))
     rows = nodes.withColumn("at", F.explode(F.array(*keys))).select("fp", "node", "weight", F.col("at.trie").alias("trie"), F.col("at.unit").alias("unit"))
-    # The lowest bit of a unit says whether a row is near its pivot: rows that are dealt out are three numbers.
-    marked = lambda df, near: df.select("fp", "node", F.shiftleft(F.shiftright("unit", 1), 1).bitwiseOR(near.cast("long")).alias("unit"))
+    # The lowest bit of a unit says whether a row is near its pivot: rows that are dealt out are two or three numbers.
+    apart = lambda near: near if forests == 1 else F.lit(False)
+    marked = lambda df, near: df.select(*dict.fromkeys(("fp", own)), F.shiftleft(F.shiftright("unit", 1), 1).bitwiseOR(near.cast("long")).alias("unit"))
     crowded = _crowded(rows, leaf)
     placed = [marked(rows.join(crowded, "unit", "left_anti"), F.lit(False))]
     found = []
     if not crowded.isEmpty():
         around = _around(rows, crowded, budget)
         found.append(_linked(around))
+        kept = 2 if forests == 1 else 1
         # By trie, the sub-tries over the bits that its prefix leaves free.
-        subs = F.array(*[F.array(*[F.lit(_signed(m)).cast("long") for m in _masks(((1 << 64) - 1) & ~mask, budget + 2, 2)]) for mask in masks])
+        subs = F.array(*[F.array(*[F.lit(_signed(m)).cast("long") for m in _masks(((1 << 64) - 1) & ~mask, budget + kept, kept)]) for mask in masks])
         again = around.select("fp", "node", "weight", "near", "unit", F.posexplode(F.element_at(subs, F.col("trie") + 1)).alias("sub", "mask"))
         again = again.select("fp", "node", "weight", "near", F.xxhash64("unit", "sub", F.col("fp").bitwiseAND(F.col("mask"))).alias("unit"))
         packed = _crowded(again, leaf)
-        placed.append(marked(again.join(packed, "unit", "left_anti"), F.col("near")))
+        placed.append(marked(again.join(packed, "unit", "left_anti"), apart(F.col("near"))))
         if not packed.isEmpty():
             dense = _around(again.drop("near"), packed, budget)
             found.append(_linked(dense))
             units = F.ceil(F.col("size") / leaf).cast("int")
             part = F.when(F.col("near"), F.array(F.pmod(F.xxhash64("fp"), units).cast("int"))).otherwise(F.sequence(F.lit(0), units - 1))
             split = dense.withColumn("part", F.explode(part)).select("fp", "node", "near", F.xxhash64("unit", "part").alias("unit"))
-            placed.append(marked(split, F.col("near")))
+            placed.append(marked(split, apart(F.col("near"))))
     whole = placed[0]
     for more in placed[1:]:
         whole = whole.unionAll(more)
     whole = whole.repartition(F.shiftright("unit", 1)).sortWithinPartitions("unit")
-    out = whole.mapInPandas(_link_units(budget), "a long, b long")
+    out = whole.mapInPandas(_link_units(budget, forests), "a long, b long")
     for more in found:
         out = out.unionAll(more)
     return out
@@ -321,17 +337,18 @@ def similar(
     width: int = 5,
     similarity: float = 0.8,
     print_width: int = 2,
-    budget: int = 8,
-    blocks: int = 10,
+    budget: int = 10,
+    blocks: int = 12,
     leaf: int = 1024,
+    forests: int = 16,
 ) -> DataFrame:
     """(doc_id, component_id): groups of texts whose ``width``-word shingle sets have a Jaccard similarity of ``similarity``.
 
     Texts of equal words (A-Z lowered) are one node. Fingerprints of ``print_width``-word
     shingles propose: their trie self-join at ``budget`` bits gives, of every
-    unit, a spanning forest whose closest pairs come first, and the exact
-    similarity of both ends decides on each edge. An edge that fails is no link; its ends may
-    still meet by the forest of another trie.
+    unit, ``forests`` spanning forests that share no link, the closest pairs first, and the exact
+    similarity of both ends decides on each edge. So a unit's links are all decided on, unless
+    its texts hang together in that many ways.
 
     One row for each row of ``docs``. Null and wordless texts are equal to each other. A row with a null id
     links nothing and has a null component. An empty table gives an empty result.
@@ -349,7 +366,11 @@ def similar(
     texts = common.durable(rows.where("doc_id is not null").groupBy("same", "fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("weight")), "texts")
     nodes = common.durable(texts.groupBy("fp").agg(F.min("node").alias("node"), F.sum("weight").alias("weight")), "nodes")
     star = texts.join(nodes.select("fp", F.col("node").alias("b")), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
-    edges = common.durable(link_nodes(nodes, budget, blocks, leaf).unionAll(star).distinct(), "proposed")
+    prints_linked = common.durable(link_nodes(nodes.select("fp", "weight"), budget, blocks, leaf, forests).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct(), "linked")
+    # A print's texts meet the text that stands for it, and linked prints' those two.
+    named = lambda c, to: nodes.select(F.col("fp").alias(c), F.col("node").alias(to))
+    linked = prints_linked.join(named("x", "a"), "x").join(named("y", "b"), "y").select("a", "b")
+    edges = common.durable(linked.unionAll(star).distinct(), "proposed")
     ends = edges.select(F.col("a").alias("node")).unionAll(edges.select(F.col("b").alias("node"))).distinct()
     wanted = common.durable(texts.join(ends, "node", "left_semi").select("node", "same"), "ends")
 

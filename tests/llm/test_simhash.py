@@ -1,6 +1,9 @@
+import collections
 import random
 import re
 
+import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -136,3 +139,58 @@ def test_similar_texts(spark):
     assert sum(got[i] == want[i] for i in got) >= 0.97 * len(got)
     kept = simhash.keep_first(docs, find=simhash.similar).collect()
     assert {r["doc_id"] for r in kept} >= {i for i in want if want[i] == i} and len(kept) < len(rows) - 60
+
+
+def _edited(rng, words, w, times):
+    v = list(w)
+    for i in rng.sample(range(len(v)), times):
+        v[i] = rng.choice(words)
+    return v
+
+
+@pytest.mark.parametrize("leaf", [1024, 32])
+def test_family_of_edited_texts(spark, leaf):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    base, rows = [rng.choice(words) for _ in range(300)], []
+    for i in range(150):
+        # All of a family lie within a few bits of each other; only each one's own copy shares 0.8 of its shingles.
+        own = _edited(rng, words, base, 14)
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(_edited(rng, words, own, 5)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs, leaf=leaf).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(150)) >= 0.95 * 150
+
+
+def test_forests_share_no_link():
+    links = np.array([(i, j) for i in range(12) for j in range(i + 1, 12)])
+    label, left, taken = np.arange(12), links, []
+    first, label = simhash._spanning(left, label)
+    assert first.sum() == 11 and len(set(label)) == 1
+    second, _ = simhash._spanning(left[~first], np.arange(12))
+    assert second.sum() == 10  # all links of the first node are taken
+    again, _ = simhash._spanning(left[~first], label)
+    assert not again.any()
+
+
+def test_recall_on_documents(spark, sf_dir):
+    """Of text pairs that share 0.8 of their shingles and aren't equal in words, 19 in 20 are in one group."""
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/documents.parquet").select("doc_id", "text")
+    texts = {}
+    for r in docs.orderBy("doc_id").collect():
+        texts.setdefault(" ".join(WORD.findall((r["text"] or "").translate(LOWER))), r["doc_id"])
+    ids, sets = list(texts.values()), [simhash._shingles(t.encode().split(), 5) for t in texts]
+    # Similar sets have some of the smallest hashes under many orders in common: 32 bands of two.
+    rng = np.random.default_rng(1)
+    factor, more = rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**63, 64, dtype=np.uint64)
+    least = np.array([((s[:, None] * factor + more) >> np.uint64(16)).min(0) if len(s) else np.zeros(64, np.uint64) for s in sets])
+    held = collections.defaultdict(list)
+    for i in range(len(ids)):
+        for band in range(32):
+            held[band, *least[i, 2 * band : 2 * band + 2].tolist()].append(i)
+    pairs = {(a, b) for v in held.values() if len(v) < 400 for a in v for b in v if a < b}
+    shared = {p: len(np.intersect1d(sets[p[0]], sets[p[1]], assume_unique=True)) for p in pairs}
+    true = [(ids[a], ids[b]) for (a, b), n in shared.items() if n and n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()}
+    assert len(true) > 30
+    assert sum(got[a] == got[b] for a, b in true) >= 0.95 * len(true)
