@@ -9,7 +9,7 @@ from logweave.llm import common, pieces, queries, simhash, toxicity
 
 
 def test_names():
-    assert [n.split("_")[0] for n in queries.QUERIES if n.startswith("op")] and {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxic_filter", "line_dedup", "near_dedup", "mix_sources", "encode_pieces"]
 
@@ -17,7 +17,7 @@ def test_names():
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     df = queries.QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)

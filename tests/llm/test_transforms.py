@@ -218,17 +218,3 @@ def test_urls_one_class(spark):
     row = urls.judge(pages, urls.train(one)).select("judged.*").first()
     assert (row["score"], row["verdict"]) == (0.0, "allow")
     assert urls.train(one.limit(0)).regression is None
-
-
-def test_sql(spark, sf_dir):
-    import duckdb
-
-    con = duckdb.connect()
-    for t in ("documents", "pages"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
-    for name in ("op11_fim", "url_rules"):
-        df = queries.QUERIES[name](spark, sf_dir)
-        columns = sorted(df.columns)
-        cursor = con.execute(queries.ORACLES[name])
-        at = [[d[0] for d in cursor.description].index(c) for c in columns]
-        assert sorted(str([r[c] for c in columns]) for r in df.collect()) == sorted(str([r[i] for i in at]) for r in cursor.fetchall())
