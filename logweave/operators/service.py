@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..session import held
 from . import clusters, embedding, hdbscan, novelty
 from .preprocess import Pipeline, adapt, default_pipeline
 
@@ -31,9 +32,10 @@ class Analysis:
         return out.where(F.col("embedding").isNotNull()).withColumn("vec_id", F.xxhash64("id"))
 
     def store(self, records: DataFrame, store: embedding.VectorStore) -> DataFrame:
-        """Writes the records to the store and reads them back, so that nothing is embedded twice."""
-        store.add(records)
-        return records
+        """Computes the records once, in the folder that all executors share, and writes them to the store; nothing is embedded twice."""
+        kept = held(records)
+        store.add(kept)
+        return kept
 
     def cluster(self, records: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(assignments (vec_id, label), summaries) of embedded records, under other settings as often as asked."""

@@ -41,12 +41,15 @@ def embed_mock_norms(spark, sf_dir):
     return rows.select("doc_id", F.round(V.norm(F.col("embedding")), 4).cast("double").alias("norm"), F.size("embedding").alias("size"), "copies")
 
 
-@query("""SELECT count(DISTINCT text) AS embedded, count(*) AS rows_out, 1.0::DOUBLE AS norm FROM documents""")
+@query("""SELECT count(DISTINCT text) AS embedded, count(DISTINCT text) AS keys, count(DISTINCT text) AS vectors, 1.0::DOUBLE AS shortest, 1.0::DOUBLE AS longest FROM documents""")
 def embed_distinct(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("message"))
     known = embedding.embed_distinct(docs, "message", embedding.mock_provider(16))
-    rows = docs.count()
-    return known.agg(F.count("*").alias("embedded")).select("embedded", F.lit(rows).cast("long").alias("rows_out"), F.lit(1.0).alias("norm"))
+    norm = F.round(V.norm(F.col("embedding")), 4).cast("double")
+    return known.agg(
+        F.count("*").alias("embedded"), F.count_distinct("text_key").alias("keys"), F.count_distinct(F.xxhash64("embedding")).alias("vectors"),
+        F.min(norm).alias("shortest"), F.max(norm).alias("longest"),
+    )
 
 
 @query("""WITH t AS (SELECT doc_id, text, substr(sha256(text), 1, 16) AS k FROM documents) SELECT doc_id, k IN (SELECT k FROM t WHERE doc_id % 2 = 0) AS hit FROM t""")

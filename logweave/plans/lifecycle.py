@@ -9,7 +9,7 @@ from ..config import Settings
 from ..operators import changelog, evaluation, report
 from ..operators.embedding import mock_provider
 from ..operators.service import Analysis
-from ..session import read_table, spread
+from ..session import held, read_table, spread
 from .lines import LINES_SQL, log_lines
 from .registry import query
 from .vectors import vecs
@@ -20,20 +20,20 @@ def _analysis(spark, sf_dir):
     settings = Settings.from_dict({"clustering": {"min_cluster_size": 5}, "novelty": {"k": 5}})
     run = Analysis(settings, mock_provider(16))
     # Held, else printing, parsing and masking are folded into one expression of enormous size.
-    return run, run.embedded(spread(rows).persist())
+    return run, held(run.embedded(held(spread(rows))))
 
 
 @query()
 def ingest_and_cluster(spark, sf_dir):
     run, records = _analysis(spark, sf_dir)
-    _, found = run.cluster(records.persist())
+    _, found = run.cluster(records)
     return found.select("label", "size", "common_level", "common_source")
 
 
 @query()
 def ingest_and_detect(spark, sf_dir):
     run, records = _analysis(spark, sf_dir)
-    return run.novel(records.persist()).select("id", F.round("score", 4).alias("score"), "is_novel")
+    return run.novel(records).select("id", F.round("score", 4).alias("score"), "is_novel")
 
 
 @query("""SELECT (SELECT count(DISTINCT label) FROM embeddings) AS total_clusters, count(*) FILTER (value / 500 >= 0.7) AS novel_patterns, count(*) FILTER (event_type = 'error') AS high_severity, count(*) AS explanations FROM events""")
@@ -160,7 +160,7 @@ def session_order(spark, sf_dir):
     return evaluation.session_order(pairs, "s1").select("pair_id", "position")
 
 
-@query("""SELECT config, count(*) AS n_runs FROM (VALUES ('k=4 (baseline)'), ('k=8'), ('k=12')) AS t(config), range(3) GROUP BY config""")
+@query("""SELECT config, count(*) AS n_runs, avg(k)::DOUBLE AS mean_quality FROM (VALUES ('k=4 (baseline)', 4), ('k=8', 8), ('k=12', 12)) AS t(config, k), range(3) GROUP BY config""")
 def ablation_sweep(spark, sf_dir):
     from ..operators import clusters
 
@@ -169,7 +169,7 @@ def ablation_sweep(spark, sf_dir):
         return labels.agg(F.count_distinct("label").alias("quality"))
 
     out = evaluation.run_ablation(vecs(spark, sf_dir), evaluation.sweep("k", [4, 8, 12], 4), measure)
-    return evaluation.ablation_summary(out).select("config", "n_runs")
+    return evaluation.ablation_summary(out).select("config", "n_runs", "mean_quality")
 
 
 @query(f"""WITH {LINES_SQL} SELECT source, count(*) AS records, count(*) FILTER (id % 10 > 0) AS processed, count(*) FILTER (id % 10 = 0) AS dropped, count(DISTINCT id // 100) AS batches FROM log_lines GROUP BY source""")

@@ -178,9 +178,9 @@ SPANS_SQL = "spans AS (SELECT user_id AS id, CASE WHEN user_id = 0 THEN NULL ELS
 SELECT id, depth, path FROM tree""")
 def profile_tree(spark, sf_dir):
     spans = read_table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.sum("value").alias("ms"))
-    spans.withColumn("parent", F.when(F.col("id") > 0, F.floor(F.col("id") / 3))).createOrReplaceTempView("logweave_spans")
-    return spark.sql("""WITH RECURSIVE tree(id, depth, path) AS (SELECT id, 0, CAST(id AS STRING) FROM logweave_spans WHERE parent IS NULL
-        UNION ALL SELECT s.id, depth + 1, concat(path, '/', s.id) FROM tree JOIN logweave_spans s ON s.parent = tree.id) SELECT id, depth, path FROM tree""")
+    spans = spans.withColumn("parent", F.when(F.col("id") > 0, F.floor(F.col("id") / 3)))
+    return spark.sql("""WITH RECURSIVE tree(id, depth, path) AS (SELECT id, 0, CAST(id AS STRING) FROM {spans} WHERE parent IS NULL
+        UNION ALL SELECT s.id, depth + 1, concat(path, '/', s.id) FROM tree JOIN {spans} s ON s.parent = tree.id) SELECT id, depth, path FROM tree""", spans=spans)
 
 
 @query("SELECT event_type AS name, round(100 * sum(value) / (SELECT sum(value) FROM events), 4) AS percent FROM events GROUP BY event_type")

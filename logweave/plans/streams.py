@@ -9,11 +9,12 @@ import threading
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import preprocess
+from ..functions import vectors as V
+from ..operators import embedding, preprocess
 from ..session import local_path, read_table, scratch
 from ..sources.delivery import NoticeSink
 from ..sources.pipe import LineFeed
-from ..streaming import daemon, stateful
+from ..streaming import daemon, jobs, stateful
 from .lines import LINES_SQL, log_lines
 from .registry import query
 
@@ -212,3 +213,34 @@ def record_errors(spark, sf_dir):
     done = preprocess.pipeline(stages)(e)
     said = F.array_join(F.transform("errors", lambda x: F.concat(x["stage"], F.lit(": "), x["error"])), "; ")
     return done.select("event_id", "event_type", "doubled", said.alias("errors"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 2 THEN 'dead' ELSE 'done' END AS outcome FROM events")
+def stream_dead_letters(spark, sf_dir):
+    """Four batches, of which one fails: its rows are put aside and the stream goes on."""
+    folder = scratch(spark)
+    read_table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 4).alias("part")).repartition("part").write.partitionBy("part").parquet(f"{folder}/in")
+    stream = spark.readStream.schema("event_id long, part int").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+    def handle(batch, number):
+        if batch.where("part = 2").limit(1).count():
+            raise ValueError("this batch fails")
+        batch.write.mode("append").parquet(f"{folder}/done")
+
+    jobs.micro_batches(stream, handle, f"{folder}/checkpoint", seconds=None, dead_letters=f"{folder}/dead").awaitTermination()
+    done = spark.read.schema("event_id long").parquet(f"{folder}/done").select("event_id", F.lit("done").alias("outcome"))
+    return done.unionAll(spark.read.schema("event_id long").json(f"{folder}/dead").select("event_id", F.lit("dead").alias("outcome")))
+
+
+@query("SELECT doc_id, 1.0::DOUBLE AS norm, true AS as_in_batch FROM documents")
+def stream_embedded(spark, sf_dir):
+    """Documents embedded as a stream, against the same documents embedded as a batch."""
+    folder, provider = scratch(spark), embedding.mock_provider(16)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("message"))
+    docs.write.parquet(f"{folder}/in")
+    stream = jobs.embedded(spark.readStream.schema(docs.schema).parquet(f"{folder}/in"), provider)
+    q = stream.select("doc_id", "embedding").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+    q.trigger(availableNow=True).start().awaitTermination()
+    batch = embedding.embed_records(docs, provider).select("doc_id", F.col("embedding").alias("whole"))
+    both = spark.read.schema("doc_id long, embedding array<float>").parquet(f"{folder}/out").join(batch, "doc_id")
+    return both.select("doc_id", F.round(V.norm(F.col("embedding")), 4).cast("double").alias("norm"), (F.col("embedding") == F.col("whole")).alias("as_in_batch"))
