@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -193,5 +196,51 @@ def band(value: Column, bands: list[tuple[float | None, str]], rising: bool = Tr
     return F.when(value.isNotNull() & ~F.isnan(value), out)
 
 
+@dataclass(frozen=True)
+class Metric:
+    """A measure of a clustering: ``compute(df, label_col, vector_col)`` gives one row with one value, ``bands`` say what a value means."""
+
+    name: str
+    compute: Callable[[DataFrame, str, str], DataFrame]
+    rising: bool = True
+    bands: tuple = ((None, "no interpretation"),)
+
+
+_metrics: dict[str, Metric] = {
+    m.name: m
+    for m in (
+        Metric("silhouette", lambda df, label, vector: silhouette(df, label_col=label, vector_col=vector), True, tuple(SILHOUETTE_BANDS)),
+        Metric("davies_bouldin", davies_bouldin, False, tuple(DAVIES_BOULDIN_BANDS)),
+        Metric("calinski_harabasz", calinski_harabasz, True, tuple(CALINSKI_HARABASZ_BANDS)),
+    )
+}
+
+
+def register_metric(metric: Metric) -> None:
+    """Makes a metric known by its name; a known one is replaced."""
+    _metrics[metric.name] = metric
+
+
+def metrics() -> list[str]:
+    return list(_metrics)
+
+
+def evaluate(df: DataFrame, names: list[str] | None = None, label_col: str = "label", vector_col: str = "embedding") -> DataFrame:
+    """(metric, value, better, meaning): one row for each named metric, all by default; null where a metric can't be computed."""
+    unknown = set(names or []) - set(_metrics)
+    if unknown:
+        raise ValueError(f"unknown metrics {sorted(unknown)}")
+    out = None
+    for name in metrics() if names is None else names:
+        m = _metrics[name]
+        one = m.compute(df, label_col, vector_col)
+        value = F.col(f"`{one.columns[0]}`").cast("double")
+        row = one.select(F.lit(name).alias("metric"), value.alias("value"), F.lit("higher" if m.rising else "lower").alias("better"), band(value, list(m.bands), m.rising).alias("meaning"))
+        out = row if out is None else out.unionAll(row)
+    if out is None:
+        raise ValueError("no metrics")
+    return out
+
+
 def grade(score: Column) -> Column:
     return F.when(score >= 0.8, "excellent").when(score >= 0.6, "good").when(score >= 0.4, "acceptable").when(score >= 0.2, "poor").otherwise("very poor")

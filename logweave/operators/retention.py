@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import held
 from .running import positions, running
 
 
@@ -62,6 +67,56 @@ def decisions(files: DataFrame, max_age_days: float | None = None, max_total: in
     return df.withColumn("reasons", reasons).withColumn("delete", F.size("reasons") > 0).drop("__left")
 
 
+@dataclass(frozen=True)
+class Criterion:
+    """Why files go: a name, which stands in the reasons, and a condition on a file's columns. Build others of it by ``any_of`` and ``all_of``."""
+
+    name: str
+    holds: Column
+
+
+def judged(files: DataFrame, criteria: list[Criterion]) -> DataFrame:
+    """Adds delete and reasons, by criteria of one's own; a condition that is null doesn't hold."""
+    reasons = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(c.holds, c.name) for c in criteria]))
+    return files.withColumn("reasons", reasons).withColumn("delete", F.size("reasons") > 0)
+
+
+#: An observer takes the events of a run: (event, path, size_bytes, reasons, error).
+Observer = Callable[[DataFrame], None]
+
+
+def carried_out(decided: DataFrame, remove: Callable[[str], None], observers: dict[str, Observer] | None = None, dry_run: bool = False) -> DataFrame:
+    """(event, path, size_bytes, reasons, error): what became of each file: deleted, failed or kept; in a dry run planned or kept.
+
+    Tasks call ``remove`` with each path; what it raises is that file's error. The events are computed once, and every observer gets them;
+    an observer that fails is an event itself ('observer failed', its name as path) and disturbs neither the others nor the run.
+    """
+    own = decided.select("path", F.col("size_bytes").cast("long").alias("size_bytes"), "reasons", "delete")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said, errors = [], []
+            for path, go in zip(b.column(0).to_pylist(), b.column(3).to_pylist()):
+                event, error = ("planned" if dry_run else "deleted") if go else "kept", None
+                if event == "deleted":
+                    try:
+                        remove(path)
+                    except Exception as e:  # any failure is a result of its file
+                        event, error = "failed", f"{type(e).__name__}: {e}"
+                said.append(event)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([pa.array(said, pa.string()), *b.columns[:3], pa.array(errors, pa.string())], names=["event", "path", "size_bytes", "reasons", "error"])
+
+    events = held(own.mapInArrow(run, "event string, path string, size_bytes long, reasons array<string>, error string"))
+    problems = []
+    for name, observer in (observers or {}).items():
+        try:
+            observer(events)
+        except Exception as e:
+            problems.append(("observer failed", name, None, None, f"{type(e).__name__}: {e}"))
+    return events.unionAll(decided.sparkSession.createDataFrame(problems, events.schema)) if problems else events
+
+
 def directory_stats(files: DataFrame, by: str | None = None) -> DataFrame:
     g = files.groupBy(by) if by else files.groupBy()
     return g.agg(

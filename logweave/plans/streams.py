@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import embedding, preprocess
+from ..operators import embedding, preprocess, retention
 from ..session import local_path, read_table, scratch
 from ..sources.delivery import NoticeSink
 from ..sources.pipe import LineFeed
@@ -244,3 +244,22 @@ def stream_embedded(spark, sf_dir):
     batch = embedding.embed_records(docs, provider).select("doc_id", F.col("embedding").alias("whole"))
     both = spark.read.schema("doc_id long, embedding array<float>").parquet(f"{folder}/out").join(batch, "doc_id")
     return both.select("doc_id", F.round(V.norm(F.col("embedding")), 4).cast("double").alias("norm"), (F.col("embedding") == F.col("whole")).alias("as_in_batch"))
+
+
+@query(
+    """SELECT CASE WHEN event_id % 3 <> 0 AND value <= 400 THEN 'kept' WHEN event_id % 5 = 0 THEN 'failed' ELSE 'deleted' END AS event, 'f' || event_id AS path,
+  CASE WHEN event_id % 3 = 0 THEN 'third' || CASE WHEN value > 400 THEN ',large' ELSE '' END WHEN value > 400 THEN 'large' ELSE '' END AS reasons,
+  CASE WHEN (event_id % 3 = 0 OR value > 400) AND event_id % 5 = 0 THEN 'OSError: busy' END AS error FROM events"""
+)
+def retention_events(spark, sf_dir):
+    """What an observer was told of a run with criteria of one's own, in which every fifth file can't be deleted."""
+    files = read_table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("path"), F.col("value").alias("size_bytes"))
+    decided = retention.judged(files, [retention.Criterion("third", F.col("event_id") % 3 == 0), retention.Criterion("large", retention.over_size(F.col("size_bytes"), 400))])
+
+    def remove(path):
+        if int(path[1:]) % 5 == 0:
+            raise OSError("busy")
+
+    told = []
+    retention.carried_out(decided, remove, {"listener": told.append})
+    return told[0].select("event", "path", F.array_join("reasons", ",").alias("reasons"), "error")

@@ -220,6 +220,19 @@ def calinski_harabasz(spark, sf_dir):
     return clusters.calinski_harabasz(vecs(spark, sf_dir)).select(F.round("calinski_harabasz", 4).alias("calinski_harabasz"))
 
 
+@query(f"""WITH {CH}, scatter AS (SELECT label, avg(d) AS s, any_value(c) AS c FROM members GROUP BY label),
+dbi AS (SELECT avg(r) AS x FROM (SELECT a.label, max((a.s + b.s) / sqrt({d2('a.c', 'b.c')})) AS r FROM scatter a JOIN scatter b ON a.label <> b.label GROUP BY a.label)), chi AS (SELECT (b / (k - 1)) / (w / (n - k)) AS x FROM between_, within_)
+SELECT 'davies_bouldin' AS metric, round(x, 4) AS value, 'lower' AS better, CASE WHEN x <= 0.5 THEN 'Excellent cluster compactness and separation' WHEN x <= 1 THEN 'Good cluster quality' WHEN x <= 2 THEN 'Moderate cluster quality' ELSE 'Poor cluster quality, consider adjusting parameters' END AS meaning FROM dbi
+UNION ALL SELECT 'calinski_harabasz', round(x, 4), 'higher', CASE WHEN x >= 500 THEN 'Excellent cluster definition' WHEN x >= 200 THEN 'Good cluster definition' WHEN x >= 50 THEN 'Moderate cluster definition' ELSE 'Weak cluster definition' END FROM chi
+UNION ALL SELECT 'noise_share', round(count(*) FILTER (label < 0) / count(*), 4), 'lower', CASE WHEN count(*) FILTER (label < 0) / count(*) <= 0.05 THEN 'little noise' ELSE 'much noise' END FROM vecs""")
+def metric_report(spark, sf_dir):
+    """Two of the known metrics and one of one's own."""
+    share = lambda df, label, _: df.agg(F.avg((F.col(label) < 0).cast("double")).alias("share"))
+    clusters.register_metric(clusters.Metric("noise_share", share, False, ((0.05, "little noise"), (None, "much noise"))))
+    found = clusters.evaluate(vecs(spark, sf_dir), ["davies_bouldin", "calinski_harabasz", "noise_share"])
+    return found.withColumn("value", F.round("value", 4))
+
+
 @query("""SELECT t.k AS case_no, round(q, 4) AS quality, CASE WHEN q >= 0.8 THEN 'excellent' WHEN q >= 0.6 THEN 'good' WHEN q >= 0.4 THEN 'acceptable' WHEN q >= 0.2 THEN 'poor' ELSE 'very poor' END AS grade FROM (
 SELECT k, ((s + 1) / 2 + 1 / (1 + d) + least(1, log10(c + 1) / 3)) / 3 AS q FROM (SELECT vec_id AS k, embedding[1]::DOUBLE AS s, vec_id % 5 / 2.0 AS d, 1.0 + vec_id * 3 AS c FROM embeddings)) t""")
 def overall_quality(spark, sf_dir):

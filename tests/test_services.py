@@ -115,3 +115,45 @@ def test_benchmarks(spark):
     assert [r["items"] for r in rows] == [None, 7, None, 7] and rows[0]["error"] == "RuntimeError: odd"
     found = {r["name"]: r["n"] for r in suite(spark, [plan, failing]).collect()}
     assert found == {"plan": 4, "odd": 2} and len(ended) == 1
+
+
+def test_retention_observers(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from logweave.operators import retention
+
+    for i in range(6):
+        (tmp_path / f"{i}.log").write_text("x")
+    rows = [(str(tmp_path / f"{i}.log"), i, 10 * i) for i in range(7)]
+    files = spark.createDataFrame(rows, "path string, age_days int, size_bytes int")
+    old = retention.Criterion("old", retention.any_of(F.col("age_days") >= 4, F.col("size_bytes").isNull()))
+    decided = retention.judged(files, [old, retention.Criterion("odd", F.col("age_days") % 2 == 1)])
+    told = []
+
+    def broken(_):
+        raise ValueError("deaf")
+
+    import os
+
+    planned = retention.carried_out(decided, os.remove, dry_run=True)
+    assert planned.where("event = 'planned'").count() == 5 and len(list(tmp_path.iterdir())) == 6
+    events = retention.carried_out(decided, os.remove, {"broken": broken, "list": lambda e: told.extend(e.collect())})
+    by = {r["path"].rsplit("/", 1)[-1]: r for r in events.collect()}
+    assert {p: r["event"] for p, r in by.items()} == {**{f"{i}.log": "deleted" if i in (1, 3, 4, 5) else "kept" for i in range(6)}, "6.log": "failed", "broken": "observer failed"}
+    assert by["5.log"]["reasons"] == ["old", "odd"] and "FileNotFoundError" in by["6.log"]["error"] and by["broken"]["error"] == "ValueError: deaf"
+    assert len(told) == 7 and sorted(p.name for p in tmp_path.iterdir()) == ["0.log", "2.log"]
+
+
+def test_metric_registry(spark):
+    import pytest
+
+    from logweave.operators import clusters
+
+    rows = [(i, i % 2, [float(10 * (i % 2)), float(i)]) for i in range(10)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = {r["metric"]: r for r in clusters.evaluate(df, ["silhouette", "davies_bouldin", "calinski_harabasz"]).collect()}
+    assert got["silhouette"]["value"] > 0.3 and got["davies_bouldin"]["better"] == "lower" and got["silhouette"]["meaning"] == "Good cluster separation"
+    one = clusters.evaluate(df.withColumn("label", df["label"] * 0), ["silhouette", "davies_bouldin"]).collect()
+    assert all(r["value"] is None and r["meaning"] is None for r in one)
+    with pytest.raises(ValueError):
+        clusters.evaluate(df, ["unheard"])
