@@ -115,7 +115,7 @@ def silhouette_points(df: DataFrame, id_col: str = "vec_id", label_col: str = "l
     rows = live(df, label_col)
     sums = knn.by_blocks(
         knn.packed(rows, id_col, vector_col, 1024, label_col, "q_"), knn.packed(rows, id_col, vector_col, knn.BLOCK, label_col), work,
-        "id long, own long, other long, total double, n long", lambda sums: sums.groupby(["id", "own", "other"], as_index=False).sum(),
+        "id long, own long, other long, total double, n long", lambda sums: sums.groupby(["id", "own", "other"], as_index=False).sum(), whole=True,
     )
     by = sums.groupBy("id", "own", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     same = F.col("own") == F.col("other")

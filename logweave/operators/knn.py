@@ -102,18 +102,23 @@ def parts(*frames: DataFrame) -> int:
 HELD = 1 << 20
 
 
-def by_blocks(queries: DataFrame, reference: DataFrame, work: Callable, schema: str, merge: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+def by_blocks(
+    queries: DataFrame, reference: DataFrame, work: Callable, schema: str, merge: Callable[[pd.DataFrame], pd.DataFrame], whole: bool = False
+) -> DataFrame:
     """Runs ``work(q_ids, q_tags, q, ids, tags, block)`` on every pair of packed blocks of one length.
 
     What a task found for one query block is put together by ``merge``, so that a task's rows grow with its queries and not with its pairs.
 
     Blocks are dealt out to the rows and columns of a grid by hash: a query block goes to all units of its row, a reference block to all of its
-    column, and the two meet in one. So no key gathers more than a row's and a column's share, however few lengths there are.
+    column, and the two meet in one. So no key gathers more than a row's and a column's share, however few lengths there are. With ``whole`` the grid
+    has one column: a query block meets all of the reference in one task, for results that are large for each query.
     """
     n = parts(queries, reference)
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    down = queries.withColumn("across", F.pmod(F.xxhash64("q_ids"), F.lit(n)).cast("int")).withColumn("down", every)
-    across = reference.withColumn("down", F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")).withColumn("across", every)
+    rows, columns = (n * n, 1) if whole else (n, n)
+    part = lambda key, many: F.pmod(F.xxhash64(key), F.lit(many)).cast("int")
+    every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    down = queries.withColumn("across", part("q_ids", rows)).withColumn("down", every(columns))
+    across = reference.withColumn("down", part("ids", columns)).withColumn("across", every(rows))
     pairs = across.withColumnRenamed("dim", "q_dim").join(down, ["q_dim", "across", "down"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,17 +20,23 @@ LOG_SCHEMA = (
 def read_lines(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = False, numbered: bool = False) -> DataFrame:
     """(line, source[, line_num]) of text files, of all files that fit a glob.
 
-    A line over ``MAX_LINE`` characters is an error when its row is computed, not left out. Numbering needs whole files in
-    a task; without it files are split and read in parallel.
+    A line over ``MAX_LINE`` characters is an error when its row is computed, not left out. Files are split and read in parallel, also for numbering, which
+    reads them twice: lines are counted for each split, a row for each is summed up within its file, and a line's number is its place in its split
+    and what the splits before it hold. Whether the splits' table is broadcast for that or lines are dealt out by split is the planner's choice.
     """
     reader = spark.read.option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
+    rows = reader.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("__block"))
     if not numbered:
-        rows = reader.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("source"))
+        rows = rows.drop("__block")
     else:
-        whole = reader.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\n$", ""), "\r?\n", -1).alias("all"), F.col("_metadata.file_path").alias("source"))
-        rows = whole.select(F.posexplode("all").alias("pos", "line"), "source").select("line", "source", (F.col("pos") + 1).alias("line_num"))
+        # Rows of a split are read one after the other, so these ids count them without a gap.
+        rows = rows.withColumn("__id", F.monotonically_increasing_id())
+        splits = rows.groupBy("source", "__block").agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+        before = Window.partitionBy("source").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+        splits = splits.select("source", "__block", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+        rows = rows.join(splits, ["source", "__block"]).select("line", "source", (F.col("__id") - F.col("__first") + F.col("__before") + 1).alias("line_num"))
     too_long = F.raise_error(F.concat(F.lit("line too long in "), F.col("source"))).cast("string")
     return rows.withColumn("line", F.when(F.length("line") <= MAX_LINE, F.col("line")).otherwise(too_long))
 

@@ -21,6 +21,22 @@ def test_lines_are_numbered(spark, tmp_path):
     assert files.open_source(spark, str(tmp_path / "a.log")).count() == 4
 
 
+def test_numbers_across_splits(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.log").write_text("".join(f"{name} {i} " + "x" * (i % 50) + "\n" for i in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        rows = files.read_lines(spark, str(tmp_path), numbered=True)
+        assert rows.rdd.getNumPartitions() > 4
+        wrong = rows.where(F.concat(F.substring("source", -5, 1), F.lit(" "), (F.col("line_num") - 1).cast("string"), F.lit(" ")) != F.regexp_extract("line", r"^\w \d+ ", 0))
+        assert rows.count() == 40_000 and wrong.count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
 def test_log_and_golden(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"timestamp": "2024-01-15T10:00:00Z", "level": "error", "duration": "2.5s"}\n{"duration": "500ms"}\nbroken\n')
     rows = files.read_log(spark, str(tmp_path / "x.json")).collect()
