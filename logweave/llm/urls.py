@@ -141,7 +141,7 @@ def seed_table(spark: SparkSession, names: int = 600) -> DataFrame:
     return rows.select(F.concat(F.lit("https://"), host, F.lit("/"), pick("l", LANGS), F.lit("/"), draw("n", 9000).cast("string"), tail).alias("url"), "block")
 
 
-def train(labelled: DataFrame, rows: int = 20_000, features: int = 1 << 15, ridge: float = 1e-6, url_col: str = "url", block_col: str = "block") -> Model:
+def train(labelled: DataFrame, rows: int = 20_000, features: int = 1 << 14, ridge: float = 1e-6, url_col: str = "url", block_col: str = "block") -> Model:
     """Fits on at most ``rows`` labelled urls, those with the smallest hashes; repeated ones count as often as they stand there.
 
     Null urls and null labels don't count. Labels of one class only teach nothing. The driver holds weights, not rows.
