@@ -246,8 +246,9 @@ def _linked(around: DataFrame) -> DataFrame:
 def link_nodes(nodes: DataFrame, budget: int = 4, blocks: int = 6, leaf: int = 1024, forests: int = 1) -> DataFrame:
     """Links (a, b) that span each component of ``nodes`` (fp, node, weight); fp is unique, and stands for a node without a name of its own.
 
-    With one forest of each unit the components are exact. With more, links are proposals of which each is to be decided: then
-    rows near a pivot are compared with each other too, as far as they meet in a unit, and crowded groups are dealt out by one more run of bits, not two.
+    With one forest of each unit the components are exact. With more, links are proposals of which each is to be decided. Crowded groups, which
+    are dealt out by one more run of bits then, and not by two, give one forest of each unit all the same: their prints have so many neighbours that all of a unit's
+    links would be far more than can be decided.
     """
     own = "node" if "node" in nodes.columns else "fp"
     if not 0 <= budget < blocks <= 64:
@@ -260,7 +261,6 @@ def link_nodes(nodes: DataFrame, budget: int = 4, blocks: int = 6, leaf: int = 1
     nodes = nodes if own == "node" else nodes.withColumn("node", F.col("fp"))
     rows = nodes.withColumn("at", F.explode(F.array(*keys))).select("fp", "node", "weight", F.col("at.trie").alias("trie"), F.col("at.unit").alias("unit"))
     # The lowest bit of a unit says whether a row is near its pivot: rows that are dealt out are two or three numbers.
-    apart = lambda near: near if forests == 1 else F.lit(False)
     marked = lambda df, near: df.select(*dict.fromkeys(("fp", own)), F.shiftleft(F.shiftright("unit", 1), 1).bitwiseOR(near.cast("long")).alias("unit"))
     crowded = _crowded(rows, leaf)
     placed = [marked(rows.join(crowded, "unit", "left_anti"), F.lit(False))]
@@ -274,19 +274,26 @@ def link_nodes(nodes: DataFrame, budget: int = 4, blocks: int = 6, leaf: int = 1
         again = around.select("fp", "node", "weight", "near", "unit", F.posexplode(F.element_at(subs, F.col("trie") + 1)).alias("sub", "mask"))
         again = again.select("fp", "node", "weight", "near", F.xxhash64("unit", "sub", F.col("fp").bitwiseAND(F.col("mask"))).alias("unit"))
         packed = _crowded(again, leaf)
-        placed.append(marked(again.join(packed, "unit", "left_anti"), apart(F.col("near"))))
+        placed.append(marked(again.join(packed, "unit", "left_anti"), F.col("near")))
         if not packed.isEmpty():
             dense = _around(again.drop("near"), packed, budget)
             found.append(_linked(dense))
             units = F.ceil(F.col("size") / leaf).cast("int")
             part = F.when(F.col("near"), F.array(F.pmod(F.xxhash64("fp"), units).cast("int"))).otherwise(F.sequence(F.lit(0), units - 1))
             split = dense.withColumn("part", F.explode(part)).select("fp", "node", "near", F.xxhash64("unit", "part").alias("unit"))
-            placed.append(marked(split, apart(F.col("near"))))
-    whole = placed[0]
-    for more in placed[1:]:
-        whole = whole.unionAll(more)
-    whole = whole.repartition(F.shiftright("unit", 1)).sortWithinPartitions("unit")
-    out = whole.mapInPandas(_link_units(budget, forests), "a long, b long")
+            placed.append(marked(split, F.col("near")))
+
+    def solved(parts: list[DataFrame], forests: int) -> DataFrame:
+        whole = parts[0]
+        for more in parts[1:]:
+            whole = whole.unionAll(more)
+        whole = whole.repartition(F.shiftright("unit", 1)).sortWithinPartitions("unit")
+        return whole.mapInPandas(_link_units(budget, forests), "a long, b long")
+
+    if forests == 1 or len(placed) == 1:
+        out = solved(placed, forests)
+    else:
+        out = solved(placed[:1], forests).unionAll(solved(placed[1:], 1))
     for more in found:
         out = out.unionAll(more)
     return out
