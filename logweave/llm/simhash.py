@@ -29,10 +29,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, setjoin
 
 SEED = 42
 SHINGLE = 4
+#: One in so many texts is looked at to learn which shingles are frequent.
+SAMPLED = 16
 SLICE = 50_000
 
 
@@ -161,11 +163,8 @@ def _spanning(links: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndar
     return chosen, label
 
 
-def _link_units(budget: int, forests: int, room: int = 30_000):
-    """Joins the tries of a partition sorted by unit; yields of each ``forests`` spanning forests, of real links, that share none.
-
-    A link that is in none of them has its ends joined in each by other links.
-    """
+def _link_units(budget: int, room: int = 30_000):
+    """Joins the tries of a partition sorted by unit; yields a spanning forest of each, of real links."""
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.reset_index(drop=True)
@@ -180,17 +179,10 @@ def _link_units(budget: int, forests: int, room: int = 30_000):
         mid = lo + (far[hi] - far[lo])
         own = np.stack([lo, mid, lo, mid], axis=1)[mid - lo > 1]
         across = np.stack([lo, mid, mid, hi], axis=1)[(mid > lo) & (hi > mid)]
-        labels, chosen = [np.arange(len(fps))] * forests, []  # within a batch of links the closest come first
+        label, chosen = np.arange(len(fps)), []
         for links in _joined(fps, np.concatenate([own, across]).astype(np.int64), budget):
-            far = _popcount(fps[links[:, 0]] ^ fps[links[:, 1]])
-            for errors in range(budget + 1):
-                left = links[far == errors]
-                for k in range(forests):
-                    if not len(left):
-                        break
-                    taken, labels[k] = _spanning(left, labels[k])
-                    chosen.append(left[taken])
-                    left = left[~taken]
+            taken, label = _spanning(links, label)
+            chosen.append(links[taken])
         node = rows["node" if "node" in rows else "fp"].to_numpy()[order]
         edges = np.concatenate(chosen) if chosen else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": node[edges[:, 0]], "b": node[edges[:, 1]]})
@@ -243,12 +235,10 @@ def _linked(around: DataFrame) -> DataFrame:
     return around.where(F.col("near") & (F.col("node") != F.col("pivot.node"))).select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
 
 
-def link_nodes(nodes: DataFrame, budget: int = 4, blocks: int = 6, leaf: int = 1024, forests: int = 1) -> DataFrame:
+def link_nodes(nodes: DataFrame, budget: int = 4, blocks: int = 6, leaf: int = 1024) -> DataFrame:
     """Links (a, b) that span each component of ``nodes`` (fp, node, weight); fp is unique, and stands for a node without a name of its own.
 
-    With one forest of each unit the components are exact. With more, links are proposals of which each is to be decided. Crowded groups, which
-    are dealt out by one more run of bits then, and not by two, give one forest of each unit all the same: their prints have so many neighbours that all of a unit's
-    links would be far more than can be decided.
+    The components are exact: a link that isn't returned has its ends joined by others. For links of which each must be decided on, see ``similar``.
     """
     own = "node" if "node" in nodes.columns else "fp"
     if not 0 <= budget < blocks <= 64:
@@ -268,9 +258,8 @@ def link_nodes(nodes: DataFrame, budget: int = 4, blocks: int = 6, leaf: int = 1
     if not crowded.isEmpty():
         around = _around(rows, crowded, budget)
         found.append(_linked(around))
-        kept = 2 if forests == 1 else 1
         # By trie, the sub-tries over the bits that its prefix leaves free.
-        subs = F.array(*[F.array(*[F.lit(_signed(m)).cast("long") for m in _masks(((1 << 64) - 1) & ~mask, budget + kept, kept)]) for mask in masks])
+        subs = F.array(*[F.array(*[F.lit(_signed(m)).cast("long") for m in _masks(((1 << 64) - 1) & ~mask, budget + 2, 2)]) for mask in masks])
         again = around.select("fp", "node", "weight", "near", "unit", F.posexplode(F.element_at(subs, F.col("trie") + 1)).alias("sub", "mask"))
         again = again.select("fp", "node", "weight", "near", F.xxhash64("unit", "sub", F.col("fp").bitwiseAND(F.col("mask"))).alias("unit"))
         packed = _crowded(again, leaf)
@@ -283,17 +272,11 @@ def link_nodes(nodes: DataFrame, budget: int = 4, blocks: int = 6, leaf: int = 1
             split = dense.withColumn("part", F.explode(part)).select("fp", "node", "near", F.xxhash64("unit", "part").alias("unit"))
             placed.append(marked(split, F.col("near")))
 
-    def solved(parts: list[DataFrame], forests: int) -> DataFrame:
-        whole = parts[0]
-        for more in parts[1:]:
-            whole = whole.unionAll(more)
-        whole = whole.repartition(F.shiftright("unit", 1)).sortWithinPartitions("unit")
-        return whole.mapInPandas(_link_units(budget, forests), "a long, b long")
-
-    if forests == 1 or len(placed) == 1:
-        out = solved(placed, forests)
-    else:
-        out = solved(placed[:1], forests).unionAll(solved(placed[1:], 1))
+    whole = placed[0]
+    for more in placed[1:]:
+        whole = whole.unionAll(more)
+    whole = whole.repartition(F.shiftright("unit", 1)).sortWithinPartitions("unit")
+    out = whole.mapInPandas(_link_units(budget), "a long, b long")
     for more in found:
         out = out.unionAll(more)
     return out
@@ -337,25 +320,11 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def similar(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = 5,
-    similarity: float = 0.8,
-    print_width: int = 2,
-    budget: int = 10,
-    blocks: int = 12,
-    leaf: int = 1024,
-    forests: int = 16,
-) -> DataFrame:
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, leaf: int = 1024) -> DataFrame:
     """(doc_id, component_id): groups of texts whose ``width``-word shingle sets have a Jaccard similarity of ``similarity``.
 
-    Texts of equal words (A-Z lowered) are one node. Fingerprints of ``print_width``-word
-    shingles propose: their trie self-join at ``budget`` bits gives, of every
-    unit, ``forests`` spanning forests that share no link, the closest pairs first, and the exact
-    similarity of both ends decides on each edge. So a unit's links are all decided on, unless
-    its texts hang together in that many ways.
+    Texts of equal words (A-Z lowered) are one set, told by a 64-bit hash, as shingles are. No similar pair of sets is left out: they meet
+    by the prefixes of their sets (see ``setjoin``), and the exact similarity decides.
 
     One row for each row of ``docs``. Null and wordless texts are equal to each other. A row with a null id
     links nothing and has a null component. An empty table gives an empty result.
@@ -363,36 +332,50 @@ def similar(
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def key(words: list[bytes]) -> int:
+        return xxhash.xxh64_intdigest(b" ".join(words))
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = np.fromiter((fingerprint_of(t, print_width) for t in b["text"]), np.uint64, len(b))
-            same = [xxhash.xxh128_digest(b" ".join(_words(t))) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp.view(np.int64), "same": same})
-
-    rows = common.durable(common.mapped(own, prints, "doc_id long, fp long, same binary"), "prints")
-    texts = common.durable(rows.where("doc_id is not null").groupBy("same", "fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("weight")), "texts")
-    nodes = common.durable(texts.groupBy("fp").agg(F.min("node").alias("node"), F.sum("weight").alias("weight")), "nodes")
-    star = texts.join(nodes.select("fp", F.col("node").alias("b")), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
-    prints_linked = common.durable(link_nodes(nodes.select("fp", "weight"), budget, blocks, leaf, forests).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct(), "linked")
-    # A print's texts meet the text that stands for it, and linked prints' those two.
-    named = lambda c, to: nodes.select(F.col("fp").alias(c), F.col("node").alias(to))
-    linked = prints_linked.join(named("x", "a"), "x").join(named("y", "b"), "y").select("a", "b")
-    edges = common.durable(linked.unionAll(star).distinct(), "proposed")
-    ends = edges.select(F.col("a").alias("node")).unionAll(edges.select(F.col("b").alias("node"))).distinct()
-    wanted = common.durable(texts.join(ends, "node", "left_semi").select("node", "same"), "ends")
+            same = np.fromiter((key(_words(t)) for t in b["text"]), np.uint64, len(b))
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "key": same.view(np.int64)})
+
+    rows = common.durable(common.mapped(own, keys, "doc_id long, key long"), "keys")
+    texts = common.durable(rows.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node")), "texts")
+    named = own.where("doc_id is not null")
+
+    def elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"element": np.concatenate([_shingles(_words(t), width) for t in b["text"]] or [np.zeros(0, np.uint64)]).view(np.int64)})
+
+    some = named.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text")
+    order = setjoin.rare_first(common.mapped(some, elements, "element long"))
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for t in b["text"]:
+                words = _words(t)
+                mine = _shingles(words, width)
+                out.append((np.uint64(key(words)).view(np.int64), len(mine), order(mine)[: setjoin.prefix_length(len(mine), similarity)].tobytes()))
+            yield pd.DataFrame(out, columns=["key", "n", "prefix"])
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            held = [np.frombuffer(p, np.int64) for p in b["prefix"]]
+            times = [len(p) for p in held]
+            if sum(times):
+                yield pd.DataFrame({"element": np.concatenate(held), "key": np.repeat(b["key"].to_numpy(), times), "n": np.repeat(b["n"].to_numpy(), times)})
+
+    once = common.mapped(named.select("text"), prefixes, "key long, n int, prefix binary").dropDuplicates(["key"])
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             words = [_words(t) for t in b["text"]]
-            mine = [xxhash.xxh128_digest(b" ".join(w)) == s for w, s in zip(words, b["same"])]  # an id may stand for other texts too
-            yield pd.DataFrame(
-                {"node": [n for n, m in zip(b["node"], mine) if m], "shingles": [_shingles(w, width).tobytes() for w, m in zip(words, mine) if m]}
-            )
+            mine = [np.uint64(key(w)).view(np.int64) == k for w, k in zip(words, b["key"])]  # an id may stand for other texts too
+            yield pd.DataFrame({"key": b["key"][mine], "shingles": [_shingles(w, width).tobytes() for w, m in zip(words, mine) if m]})
 
-    held = own.join(wanted, own["doc_id"] == wanted["node"]).select("node", "same", "text")
-    held = common.durable(common.mapped(held, sets, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
-
-    def decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keep = []
             for x, y in zip(b["x"], b["y"]):
@@ -401,12 +384,21 @@ def similar(
                 keep.append(shared >= similarity * (len(x) + len(y) - shared))
             yield b.loc[keep, ["a", "b"]]
 
-    both = edges.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
-        held.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
-    )
-    found = common.components(common.mapped(both.select("a", "b", "x", "y"), decided, "a long, b long", 200))
-    groups = texts.join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(groups, "same", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    def decided(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
+        wanted = common.durable(texts.join(ends, "key", "left_semi"), "ends")
+        held = own.join(wanted, own["doc_id"] == wanted["node"]).select("key", "text")
+        held = common.durable(common.mapped(held, sets, "key long, shingles binary").dropDuplicates(["key"]), "shingles")
+        both = pairs.join(held.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(
+            held.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b"
+        )
+        return common.mapped(both.select("a", "b", "x", "y"), compared, "a long, b long", 200)
+
+    found = setjoin.linked(common.mapped(once, dealt, "element long, key long, n int"), decided, similarity, leaf)
+    groups = texts.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    least = groups.groupBy("component").agg(F.min("node").alias("component_id"))
+    groups = common.durable(groups.join(least, "component").select("key", "component_id"), "groups")
+    return rows.join(groups, "key", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates, **how) -> DataFrame:

@@ -162,6 +162,41 @@ def test_family_of_edited_texts(spark, leaf, share):
     assert sum(got[2 * i] == got[2 * i + 1] for i in range(150)) >= share * 150
 
 
+@pytest.mark.parametrize("leaf", [1024, 16])
+def test_no_similar_pair_is_left_out(spark, leaf):
+    """A family whose texts lie close together but aren't similar, each with a copy that is; and a passage that stands in many texts."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    base, passage, texts = [rng.choice(words) for _ in range(300)], [rng.choice(words) for _ in range(40)], []
+    for _ in range(150):
+        own = _edited(rng, words, base, 14)
+        texts += [own, _edited(rng, words, own, rng.randint(2, 9))]
+    for _ in range(120):
+        texts.append([rng.choice(words) for _ in range(rng.randint(5, 60))] + passage)
+    for w in texts[-40:]:
+        texts.append(_edited(rng, words, w, rng.randint(1, 3)))
+    for _ in range(60):  # similarities on the very edge: 40 of 50, 8 of 10, 4 of 5
+        own = [rng.choice(words) for _ in range(rng.choice([49, 12, 8, 44]))]
+        texts += [own, own[: -rng.randint(1, max(len(own) // 6, 1))]]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 5, 0) + 1)) for w in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if same >= 0.8 * (len(sets[i]) + len(sets[j]) - same):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs, leaf=leaf).collect()}
+    assert got == {i: find(i) for i in range(len(texts))} and len(set(got.values())) < len(got) - 150
+
+
 def test_forests_share_no_link():
     links = np.array([(i, j) for i in range(12) for j in range(i + 1, 12)])
     label, left, taken = np.arange(12), links, []
