@@ -14,14 +14,18 @@ from pyspark.sql import functions as F
 Provider = Callable[[], Callable[[list[str]], np.ndarray]]
 
 
-def mock_provider(dim: int = 384) -> Provider:
-    """Deterministic vectors: a generator seeded by the first four bytes of the text's SHA-256."""
+def mock_provider(dim: int = 384, seed_bytes: int = 4) -> Provider:
+    """Deterministic vectors: a generator seeded by the first bytes of the text's SHA-256.
+
+    Four are what the reference takes, and give its numbers; among 100 000 texts some two share them and so their vector. With 32 different texts have
+    different vectors.
+    """
 
     def make() -> Callable[[list[str]], np.ndarray]:
         def embed(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dim), np.float32)
             for i, t in enumerate(texts):
-                seed = int.from_bytes(hashlib.sha256(t.encode()).digest()[:4], "big")
+                seed = int.from_bytes(hashlib.sha256(t.encode()).digest()[:seed_bytes], "big")
                 v = np.random.default_rng(seed).standard_normal(dim).astype(np.float32)
                 norm = np.linalg.norm(v)
                 out[i] = v / norm if norm > 0 else v

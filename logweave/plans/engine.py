@@ -44,7 +44,7 @@ def embed_mock_norms(spark, sf_dir):
 @query("""SELECT count(DISTINCT text) AS embedded, count(DISTINCT text) AS keys, count(DISTINCT text) AS vectors, 1.0::DOUBLE AS shortest, 1.0::DOUBLE AS longest FROM documents""")
 def embed_distinct(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("message"))
-    known = embedding.embed_distinct(docs, "message", embedding.mock_provider(16))
+    known = embedding.embed_distinct(docs, "message", embedding.mock_provider(16, seed_bytes=32))
     norm = F.round(V.norm(F.col("embedding")), 4).cast("double")
     return known.agg(
         F.count("*").alias("embedded"), F.count_distinct("text_key").alias("keys"), F.count_distinct(F.xxhash64("embedding")).alias("vectors"),

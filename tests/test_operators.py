@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweave.operators import clusters, embedding, evaluation, explain, hdbscan, index, knn, novelty, retention, routing
+from logweave.plans import engine
 
 
 def _vectors(spark, x, labels=None):
@@ -164,6 +165,18 @@ def test_mock_embeddings(spark):
     assert math.isclose(sum(v * v for v in rows[1]), 1, rel_tol=1e-5)
 
 
+def _collide(spark, folder):
+    """A table of documents of which two texts share the first four bytes of their hashes."""
+    rows = [(1, "text 859"), (2, "text 4460"), (3, "text 4460"), (4, "another")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_texts_that_share_four_bytes_are_embedded_apart(spark, tmp_path):
+    got = engine.embed_distinct(spark, _collide(spark, tmp_path)).first()
+    assert (got["embedded"], got["keys"], got["vectors"]) == (3, 3, 3)
+
+
 def test_answers(spark):
     texts = ['```json\n{"summary": "s", "severity": "HIGH"}\n```', "none here", '{"summary": broken}', '{"severity": "odd", "confidence": 0.9}']
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
