@@ -177,6 +177,11 @@ def test_texts_that_share_four_bytes_are_embedded_apart(spark, tmp_path):
     assert (got["embedded"], got["keys"], got["vectors"]) == (3, 3, 3)
 
 
+def test_copies_are_of_equal_texts_only(spark, tmp_path):
+    got = {r["doc_id"]: r["copies"] for r in engine.embed_mock_norms(spark, _collide(spark, tmp_path)).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 1}
+
+
 def test_answers(spark):
     texts = ['```json\n{"summary": "s", "severity": "HIGH"}\n```', "none here", '{"summary": broken}', '{"severity": "odd", "confidence": 0.9}']
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
