@@ -94,10 +94,10 @@ def build(ids: np.ndarray, x: np.ndarray, m: int, lowest: int, wide: int, seed:
     return order, layers
 
 
-def walk(x: np.ndarray, links: np.ndarray, q: np.ndarray, starts: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def walk(x: np.ndarray, links: np.ndarray, q: np.ndarray, starts: np.ndarray, beam: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nodes and squared distances of each query's beam, nearest first, and how many distances were measured; all queries step together.
 
-    A query's step opens the nearest node of its beam that isn't open yet, and puts those linked to it in; it ends when all are open.
+    A query's step opens the nearest node of its beam that isn't open yet, and puts those linked to it in; it ends when all are open. It passes by its node of ``without``.
     """
     n, rows = len(x), np.arange(len(q))
     seen = np.zeros((len(q), n), bool)
@@ -105,6 +105,8 @@ def walk(x: np.ndarray, links: np.ndarray, q: np.ndarray, starts: np.ndarray, be
     nodes[:, 0], opened[:, 0] = starts, False
     d[:, 0] = ((q - x[starts]) ** 2).sum(1)
     seen[rows, starts] = True
+    if without is not None:
+        seen[rows, without] = True
     measured = np.ones(len(q), np.int64)
     going = rows
     while len(going):
@@ -127,7 +129,7 @@ def walk(x: np.ndarray, links: np.ndarray, q: np.ndarray, starts: np.ndarray, be
     return nodes, d, measured
 
 
-def search(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, beam: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As ``walk``, down through the layers; ``x`` in the order of insertion."""
     starts, measured = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)  # a place in the layer
     for level in range(len(layers) - 1, 0, -1):
@@ -135,23 +137,50 @@ def search(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.nda
         found, _, n = walk(x[nodes], links, q, starts, 1)
         starts = np.searchsorted(layers[level - 1][0], nodes[found[:, 0]])
         measured += n
-    found, d, n = walk(x, layers[0][1], q, starts, beam)
+    found, d, n = walk(x, layers[0][1], q, starts, beam, without)
     return found, d, measured + n
 
 
+def enough_beam(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], least: int, recall: float, members: bool, k: int = 10, asked: int = 256) -> int:
+    """The beam, doubled from ``least`` on, whose walks find ``recall`` of the ``k`` nearest others of sampled nodes; the whole graph at most.
+
+    Nodes of the lowest layer only are asked. Unless queries are ``members``, their walks pass by themselves: a query that isn't in the graph has no links of its own either.
+    """
+    low = np.setdiff1d(np.arange(len(x)), layers[1][0]) if len(layers) > 1 else np.arange(1, len(x))
+    if not len(low):
+        return least
+    at = low[np.linspace(0, len(low) - 1, min(asked, len(low))).astype(np.int64)]
+    take = min(k, len(x) - 1)
+    d = squared_distances(x[at], x)
+    d[np.arange(len(at)), at] = np.inf
+    reach = np.partition(d, take - 1, axis=1)[:, take - 1] * (1 + 1e-9) + 1e-12  # of equally far ones any will do
+    beam = max(least, take + int(members))
+    while beam < len(x):
+        _, far, _ = search(x, layers, x[at], beam, None if members else at)
+        if (far[:, int(members) : take + int(members)] <= reach[:, None]).sum() >= recall * len(at) * take:
+            break
+        beam = min(2 * beam, len(x))
+    return beam
+
+
 class GraphIndex(VectorIndex):
     """Graphs of up to ``nodes`` rows with ``m`` links a node (``lowest`` on the lowest layer, twice as many if not given); ``wide`` candidates are looked at for a link, ``beam`` nodes held in a walk.
 
+    ``beam`` is the least number: for each graph it is doubled until ``recall`` of the ten nearest of sampled nodes are found in it, by walks that
+    pass by the node itself if the batch fills several graphs, as a row is in one of them only. With ``recall`` None,
+    or a beam named in a search, it stays as given.
     Each added batch gets graphs of its own. Nothing is learned: ``train`` notes the vectors' length.
     """
 
     kind = "HNSW"
 
-    def __init__(self, spark, path: str, m: int = 32, wide: int = 128, beam: int = 64, nodes: int = 8192, lowest: int | None = None, seed: int = 42, **settings):
-        super().__init__(spark, path, m=m, lowest=lowest or 2 * m, wide=wide, beam=beam, nodes=nodes, seed=seed, **settings)
+    def __init__(self, spark, path: str, m: int = 32, wide: int = 128, beam: int = 64, nodes: int = 8192, lowest: int | None = None, seed: int = 42, recall: float | None = 0.95, **settings):
+        super().__init__(spark, path, m=m, lowest=lowest or 2 * m, wide=wide, beam=beam, nodes=nodes, seed=seed, recall=recall, **settings)
 
     def _pack(self, rows: DataFrame) -> DataFrame:
         s = self.settings
+        # Even parts, of at most ``nodes`` rows where the number of rows can be told beforehand.
+        parts = max(-(-rows.count() // s["nodes"]), 1)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, vectors = [], []
@@ -159,8 +188,9 @@ class GraphIndex(VectorIndex):
             def graph() -> pd.DataFrame:
                 own, x = np.array(ids, np.int64), np.stack(vectors)
                 order, layers = build(own, x, s["m"], s["lowest"], s["wide"], s["seed"])
+                beam = s["beam"] if s["recall"] is None else enough_beam(x[order], layers, s["beam"], s["recall"], parts == 1)
                 row = {
-                    "cell": 0, "dim": x.shape[1], "n": len(own), "least": own.min(), "most": own.max(), "ids": own[order].tobytes(), "block": x[order].tobytes(),
+                    "cell": 0, "beam": beam, "dim": x.shape[1], "n": len(own), "least": own.min(), "most": own.max(), "ids": own[order].tobytes(), "block": x[order].tobytes(),
                     "nodes": [a.astype(np.int32).tobytes() for a, _ in layers], "links": [b.tobytes() for _, b in layers],
                 }
                 ids.clear(), vectors.clear()
@@ -175,17 +205,14 @@ class GraphIndex(VectorIndex):
             if ids:
                 yield graph()
 
-        # Even parts, of at most ``nodes`` rows where the number of rows can be told beforehand.
-        parts = max(-(-rows.count() // s["nodes"]), 1)
         dealt = rows.repartition(parts, F.xxhash64("id"))
-        return dealt.mapInPandas(run, "cell int, dim int, n long, least long, most long, ids binary, block binary, nodes array<binary>, links array<binary>")
+        return dealt.mapInPandas(run, "cell int, beam int, dim int, n long, least long, most long, ids binary, block binary, nodes array<binary>, links array<binary>")
 
     def _asked(self, queries: DataFrame) -> DataFrame:
         return self._rows(queries).select("id", F.lit(0).alias("cell"), "v")
 
     def _work(self, k: int, beam: int | None = None):
-        beam, m = max(beam or self.settings["beam"], k), self.settings["m"]
-        lowest = self.settings["lowest"]
+        m, lowest = self.settings["m"], self.settings["lowest"]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -196,7 +223,7 @@ class GraphIndex(VectorIndex):
                     ]
                     q_ids, q = np.frombuffer(u.q_ids, np.int64), np.frombuffer(u.q_block, np.float64).reshape(-1, u.dim)
                     for at in range(0, len(q), 256):
-                        found, d, measured = search(x, layers, q[at : at + 256], beam)
+                        found, d, measured = search(x, layers, q[at : at + 256], max(beam or u.beam, k))
                         found, d = found[:, :k], d[:, :k]
                         hit = np.isfinite(d)
                         rows = np.nonzero(hit)[0]

@@ -182,6 +182,18 @@ def test_copies_are_of_equal_texts_only(spark, tmp_path):
     assert got == {1: 1, 2: 2, 3: 2, 4: 1}
 
 
+def test_graphs_widen_their_walks(spark):
+    """Vectors without structure, many to a graph: a narrow walk misses neighbours of queries that aren't in it."""
+    x = np.random.default_rng(3).normal(size=(6000, 48))
+    df = _vectors(spark, x)
+    asked = df.where("vec_id % 50 = 0")
+    exact = {(r["query_id"], r["ref_id"]) for r in knn.nearest(asked, df, 5).collect()}
+    made = index.index("HNSW", spark, m=32, lowest=32, beam=16, nodes=3000).train(df).add(df)
+    found = {(r["query_id"], r["ref_id"]) for r in made.search(asked, 5).collect()}
+    narrow = {(r["query_id"], r["ref_id"]) for r in made.search(asked, 5, beam=16).collect()}
+    assert len(found & exact) >= 0.95 * len(exact) > len(narrow & exact)
+
+
 def test_answers(spark):
     texts = ['```json\n{"summary": "s", "severity": "HIGH"}\n```', "none here", '{"summary": broken}', '{"severity": "odd", "confidence": 0.9}']
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
