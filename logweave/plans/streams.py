@@ -160,6 +160,21 @@ def daemon_states(spark, sf_dir):
     )
 
 
+def _drained(q, sender, arrived, total: int, patience: int = 600) -> None:
+    """Returns when the sender is done and ``total`` lines have arrived, however long that takes; an error if none does for long."""
+    before, still = None, 0
+    while True:
+        q.awaitTermination(0.2)
+        if sender.is_alive():
+            continue
+        now = arrived()
+        if now >= total:
+            return
+        before, still = now, still + 1 if now == before else 0
+        if still >= patience:
+            raise RuntimeError(f"{now} of {total} lines have arrived")
+
+
 @query(f"WITH {LINES_SQL} SELECT line, count(*) AS n FROM log_lines WHERE id % 5 = 0 GROUP BY line")
 def piped_lines(spark, sf_dir):
     """A fifth of the lines, written into a named pipe in two parts, a query for each that goes on from the other's checkpoint."""
@@ -178,17 +193,17 @@ def piped_lines(spark, sf_dir):
 
     total = 0
     for half in (0, 1):
-        stream = spark.readStream.format("logweave-lines").option("path", f"{here}/pipe").option("spool", f"{here}/spool").load()
+        stream = spark.readStream.format("logweave-lines").option("path", f"{here}/pipe").option("spool", f"{here}/spool").option("maxLines", "20000").option("buffer", "50000").load()
         writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out")
         q = writer.trigger(processingTime="100 milliseconds").start()
         sender = threading.Thread(target=lambda half=half: rows.where(F.col("half") == half).select("line").coalesce(1).mapInPandas(feed, "n long").collect(), daemon=True)
         sender.start()
         total += wanted.get(half, 0)
-        for _ in range(600):
-            q.awaitTermination(0.2)
-            if not sender.is_alive() and (not total or os.path.isdir(f"{here}/out") and spark.read.schema("number long").parquet(f"{folder}/out").count() >= total):
-                break
-        q.stop()
+        arrived = lambda: spark.read.schema("number long").parquet(f"{folder}/out").count() if os.path.isdir(f"{here}/out") else 0
+        try:
+            _drained(q, sender, arrived, total)
+        finally:
+            q.stop()
     return spark.read.schema("line string, number long").parquet(f"{folder}/out").groupBy("line").agg(F.count("*").alias("n"))
 
 

@@ -273,6 +273,29 @@ def test_lines_through_a_pipe(spark, tmp_path):
         assert done() == sorted(sent)
 
 
+def test_piped_lines_are_waited_for():
+    """However long the sender takes and lines arrive, none is left behind; what never comes is an error, not a short result."""
+    from types import SimpleNamespace
+
+    from logweave.plans import streams
+
+    polls = {"alive": 700, "lines": 0}
+
+    def alive():
+        polls["alive"] -= 1
+        return polls["alive"] > 0
+
+    def arrived():
+        polls["lines"] += 1
+        return polls["lines"]
+
+    q = SimpleNamespace(awaitTermination=lambda _: None)
+    streams._drained(q, SimpleNamespace(is_alive=alive), arrived, 650)
+    assert polls["alive"] <= 0 and polls["lines"] == 650
+    with pytest.raises(RuntimeError, match="3 of 4 lines"):
+        streams._drained(q, SimpleNamespace(is_alive=lambda: False), lambda: 3, 4, patience=5)
+
+
 def test_spool(tmp_path):
     from logweave.sources.pipe import FeedReader, Spool
 
