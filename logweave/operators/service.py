@@ -27,7 +27,8 @@ class Analysis:
         rows = adapt(rows)
         for name, kind in (("id", "string"), ("level", "string"), ("ts", "timestamp"), ("attrs", "map<string,string>")):
             rows = rows.withColumn(name, (F.col(name) if name in have else F.lit(None)).cast(kind))
-        done = (self.stages or default_pipeline())(rows)
+        # Held: the texts are read twice, and their masks would be worked out anew for each use of them.
+        done = held((self.stages or default_pipeline())(rows))
         out = embedding.embed_records(done, self.provider)
         return out.where(F.col("embedding").isNotNull()).withColumn("vec_id", F.xxhash64("id"))
 
@@ -43,7 +44,8 @@ class Analysis:
         if c.algorithm == "mock":
             labels = clusters.mock_labels(records, 8)
         else:
-            labels = hdbscan.cluster(records, min_cluster_size=c.min_cluster_size, min_samples=c.min_samples)
+            # Held, as the summaries read it several times.
+            labels = held(hdbscan.cluster(records, min_cluster_size=c.min_cluster_size, min_samples=c.min_samples))
         labelled = records.join(labels.withColumnRenamed("id", "__vec"), F.col("vec_id") == F.col("__vec")).drop("__vec")
         return labels.withColumnRenamed("id", "vec_id"), clusters.summaries(labelled, k=c.representatives)
 

@@ -109,6 +109,20 @@ def test_hdbscan_by_blocks_is_whole(spark, blobs):
     assert len(small) == 1 and small != {-1}
 
 
+def test_hdbscan_copies_are_counts(spark, blobs, monkeypatch):
+    x, _ = blobs
+    big, sizes, condensed = np.repeat(x, 3, axis=0), [], hdbscan._condensed
+    monkeypatch.setattr(hdbscan, "_condensed", lambda merges, *rest: sizes.append(len(merges)) or condensed(merges, *rest))
+    want = hdbscan.fit_predict(big, 5, 3)
+    sizes.clear()
+    for most in (len(x) - 1, len(x)):  # by blocks, and distinct vectors in one task
+        got = {r["id"]: r["label"] for r in hdbscan.cluster(_vectors(spark, big), most=most).collect()}
+        pairs = {(int(w), got[i]) for i, w in enumerate(want)}
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    # What the driver condenses grows with the distinct vectors, not with the rows.
+    assert sizes == [len(x) - 1]
+
+
 def test_agreement(spark):
     rng = random.Random(1)
     pairs = [(rng.choice("ab"), rng.choice("abc")) for _ in range(200)]
