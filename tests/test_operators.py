@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logweave.operators import clusters, embedding, evaluation, explain, hdbscan, index, knn, novelty, retention, routing
+from logweave.operators import clusters, embedding, evaluation, explain, hdbscan, index, knn, novelty, retention, routing, spanning
 from logweave.plans import engine
 
 
@@ -123,6 +123,21 @@ def test_hdbscan_copies_are_counts(spark, blobs, monkeypatch):
     assert sizes == [len(x) - 1]
 
 
+def test_spanning_tree_of_blocks(spark):
+    rng = np.random.default_rng(5)
+    far = [rng.normal(size=(120, 6)) * 0.3 + rng.normal(size=6) * 6 for _ in range(4)]
+    for x in (np.vstack(far), rng.integers(0, 5, (500, 4)).astype(float)):  # clusters far apart, and very many equal distances
+        x, times = np.unique(x, axis=0, return_counts=True)
+        df = _vectors(spark, x).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+        edges, core = spanning.tree(df, np.arange(len(x)), times, 3)
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        assert core == pytest.approx([np.sort(np.repeat(row, times))[3] for row in d])
+        want = hdbscan._spanning_tree(x, core)[:, 2]
+        assert len(edges) == len(x) - 1 and np.sort(edges[:, 2]) == pytest.approx(want)
+        a, b = edges[:, 0].astype(int), edges[:, 1].astype(int)
+        assert edges[:, 2] == pytest.approx(np.maximum(d[a, b], np.maximum(core[a], core[b])))
+
+
 def test_agreement(spark):
     rng = random.Random(1)
     pairs = [(rng.choice("ab"), rng.choice("abc")) for _ in range(200)]
