@@ -47,15 +47,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _local[0]
 
 
-#: Tables written that weren't released yet: of the scope one is in, else of the process.
+#: Tables written that weren't released yet: of the process, and of the scopes one is in, innermost last.
 _written: list[str] = []
-_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 _lock = threading.Lock()
 
 
-def _own() -> list[str]:
-    held = _scope.get()
-    return _written if held is None else held
+def _own(outer: bool = False) -> list[str]:
+    held = (_written, *_scopes.get())
+    return held[max(0, len(held) - 1 - outer)]
 
 
 def _at(spark: SparkSession, path: str):
@@ -63,17 +63,27 @@ def _at(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+#: Spark's setting that deletes shuffle files as soon as the write that made them has ended, and not when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str, outer: bool = False) -> str:
     """Writes ``df`` to the shared folder; its path. What nobody releases goes when the driver's JVM ends.
 
-    With ``outer`` it outlives the scope one is in.
+    With ``outer`` it outlives the scope one is in, and belongs to the one around it.
     """
-    path = f"{shared_folder(df.sparkSession)}/logweave/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    fs, at = _at(df.sparkSession, path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/logweave/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    fs, at = _at(spark, path)
     fs.deleteOnExit(at)
     with _lock:
-        (_written if outer else _own()).append(path)
+        _own(outer).append(path)
     return path
 
 
@@ -108,12 +118,20 @@ def release(spark: SparkSession, *paths: str) -> None:
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """What is written within is released at the end; other threads' tables are left alone."""
-    token = _scope.set([])
+    token = _scopes.set((*_scopes.get(), []))
     try:
         yield
         release(spark)
     finally:
-        _scope.reset(token)
+        _scopes.reset(token)
+
+
+def settled(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, written; what it wrote on its way is released at once."""
+    with scope(spark):
+        df = make()
+        path = written(df, label, outer=True)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def prefix(*frames: DataFrame) -> str:
@@ -198,7 +216,7 @@ def with_kernel(df: DataFrame, inputs: list[Column], fn: Callable[..., pa.Array]
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an undirected edge list: (node, component).
+    """Connected components of an undirected edge list: (node, component), written.
 
     Alternates the large-star and small-star steps until the edge set stays
     the same; every step is one grouped minimum with its lineage cut. The component is its
@@ -207,6 +225,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     A star's centre is found by a grouped minimum (combined map-side) and joined
     back, so a node with very many neighbours is never gathered in one task.
     """
+    return settled(edges.sparkSession, "components", lambda: _components(edges, a, b))
+
+
+def _components(edges: DataFrame, a: str, b: str) -> DataFrame:
     links = durable(
         edges.where(F.col(a) != F.col(b))
         .select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))

@@ -161,7 +161,7 @@ def drop_boilerplate(
     """
     p = common.prefix(docs)
     row, did, drop = f"{p}row", f"{p}did", f"{p}drop"
-    drops = boilerplate(docs, id_col, text_col).select(F.col("did").alias(did), F.col("drop").alias(drop))
+    drops = common.settled(docs.sparkSession, "drops", lambda: boilerplate(docs, id_col, text_col)).select(F.col("did").alias(did), F.col("drop").alias(drop))
     joined = docs.withColumn(row, _row(id_col, text_col)).join(drops, F.col(row) == F.col(did), "left")
     all_lines = F.split(F.col(text_col), "\n", -1)
     # By a set of the numbers, not a search of the list for each line; lines are bound, so that a text is split once.

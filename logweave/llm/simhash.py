@@ -408,12 +408,16 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay, having no group. The columns are those of ``docs``.
     """
     p = common.prefix(docs)
-    found = find(docs, id_col, text_col, **how).where("doc_id is not null")
-    marks = found.groupBy(F.col("doc_id").alias(f"{p}id")).agg(
-        (F.min("component_id") < F.first("doc_id")).alias(f"{p}gone"), F.count("*").alias(f"{p}times")
-    )
+
+    def marked() -> DataFrame:
+        found = find(docs, id_col, text_col, **how).where("doc_id is not null")
+        marks = found.groupBy(F.col("doc_id").alias(f"{p}id")).agg(
+            (F.min("component_id") < F.first("doc_id")).alias(f"{p}gone"), F.count("*").alias(f"{p}times")
+        )
+        return marks.where(f"{p}gone or {p}times > 1")
+
     # Written first: the planner knows its size, and texts are dealt out at most once.
-    marks = common.durable(marks.where(f"{p}gone or {p}times > 1"), "marks")
+    marks = common.settled(docs.sparkSession, "marks", marked)
     same = docs[id_col].cast("long") == F.col(f"{p}id")
     kept = docs.join(marks.where(f"{p}gone").select(f"{p}id"), same, "left_anti")
     again = marks.where(f"not {p}gone").select(f"{p}id")

@@ -60,3 +60,17 @@ def test_stages_of_nothing(spark, sf_dir):
     docs = common.read_table(spark, sf_dir, "documents")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_stages_leave_little_behind(spark, sf_dir):
+    from logweave.llm import lines, simhash
+
+    docs = common.read_table(spark, sf_dir, "documents")
+    with common.scope(spark):
+        out = lines.drop_boilerplate(docs)
+        assert [p.split("/")[-1].split("-")[0] for p in common.unreleased()] == ["drops"]
+        assert out.count() == docs.count()
+    with common.scope(spark):
+        out = simhash.keep_first(docs, find=simhash.similar)
+        assert [p.split("/")[-1].split("-")[0] for p in common.unreleased()] == ["marks"]
+        assert 0 < out.count() < docs.count()
