@@ -372,8 +372,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             words = [_words(t) for t in b["text"]]
-            mine = [np.uint64(key(w)).view(np.int64) == k for w, k in zip(words, b["key"])]  # an id may stand for other texts too
-            yield pd.DataFrame({"key": b["key"][mine], "shingles": [_shingles(w, width).tobytes() for w, m in zip(words, mine) if m]})
+            same = np.fromiter(map(key, words), np.uint64, len(b))
+            yield pd.DataFrame({"key": same.view(np.int64), "shingles": [_shingles(w, width).tobytes() for w in words]})
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -387,8 +387,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     def decided(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
         wanted = common.durable(texts.join(ends, "key", "left_semi"), "ends")
-        held = own.join(wanted, own["doc_id"] == wanted["node"]).select("key", "text")
-        held = common.durable(common.mapped(held, sets, "key long, shingles binary").dropDuplicates(["key"]), "shingles")
+        # Texts stay where they are: most of them stand in no pair, and an id may stand for other texts too.
+        held = common.mapped(common.sieved(named, "doc_id", wanted.select("node")).select("text"), sets, "key long, shingles binary")
+        held = common.durable(held.dropDuplicates(["key"]).join(wanted.select("key"), "key", "left_semi"), "shingles")
         both = pairs.join(held.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(
             held.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b"
         )

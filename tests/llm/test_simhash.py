@@ -229,3 +229,36 @@ def test_recall_on_documents(spark, sf_dir):
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()}
     assert len(true) > 30
     assert sum(got[a] == got[b] for a, b in true) >= 0.95 * len(true)
+
+
+def test_sieve(spark):
+    wanted = common.durable(spark.range(0, 300_000, 37), "wanted")
+    # Rows that join nothing, also by a null key, and columns called like the helper's.
+    df = spark.range(300_000).selectExpr("if(id % 1000 = 999, null, id) AS id", "id AS `a.b`", "1 AS __lw_at")
+    many = wanted.count()
+    expected = df.join(wanted, "id", "left_semi").count()
+    for most, others in [(common.SIEVE, 0.05), (1 << 15, 0.5)]:
+        got = common.sieved(df, "id", wanted, most)
+        assert got.columns == df.columns
+        assert got.join(wanted, "id", "left_semi").count() == expected <= many
+        assert got.count() - expected <= others * 300_000
+    assert common.sieved(df, "id", common.durable(wanted.limit(0), "none")).count() == 0
+
+
+def test_texts_that_meet_nothing_are_not_shuffled(spark, docs, monkeypatch):
+    """As at scale, where nothing but the sieve is broadcast."""
+    plans = {}
+    written = common.written
+
+    def noted(df, label, outer=False):
+        plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString())
+        return written(df, label, outer)
+
+    monkeypatch.setattr(common, "written", noted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        simhash.similar(docs).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "text" in plans["shingles"] and "hashpartitioning(doc_id" not in plans["shingles"]
