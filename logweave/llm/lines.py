@@ -110,7 +110,9 @@ def copy_groups(spots: DataFrame, samples: DataFrame) -> DataFrame:
     )
     pairs = common.durable(pairs, "pairs")
     asked = pairs.select("did").unionAll(pairs.select(F.col("holder").alias("did"))).distinct()
-    samples = common.durable(samples.join(asked, "did", "left_semi").dropDuplicates(["did"]), "samples")
+    asked = common.durable(asked, "asked")
+    # Not a semi-join, which the planner would move ahead of the sieve.
+    samples = common.durable(common.sieved(samples, "did", asked).join(asked, "did").dropDuplicates(["did"]), "samples")
     both = pairs.join(samples, "did").join(samples.select(F.col("did").alias("holder"), F.col("sample").alias("theirs")), "holder")
     shared = F.size(F.array_intersect("sample", "theirs"))
     edges = both.where(shared >= COPY * (F.size("sample") + F.size("theirs") - shared)).select(F.col("did").alias("a"), F.col("holder").alias("b"))

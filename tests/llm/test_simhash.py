@@ -245,8 +245,10 @@ def test_sieve(spark):
     assert common.sieved(df, "id", common.durable(wanted.limit(0), "none")).count() == 0
 
 
-def test_texts_that_meet_nothing_are_not_shuffled(spark, docs, monkeypatch):
+def test_texts_and_samples_that_meet_nothing_are_not_shuffled(spark, docs, monkeypatch):
     """As at scale, where nothing but the sieve is broadcast."""
+    from logweave.llm import lines
+
     plans = {}
     written = common.written
 
@@ -259,6 +261,8 @@ def test_texts_that_meet_nothing_are_not_shuffled(spark, docs, monkeypatch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         simhash.similar(docs).count()
+        lines.drop_boilerplate(docs).count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "text" in plans["shingles"] and "hashpartitioning(doc_id" not in plans["shingles"]
+    assert plans["samples"].index("SortMergeJoin") < plans["samples"].index("BroadcastHashJoin")
