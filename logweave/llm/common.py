@@ -138,20 +138,30 @@ def settled(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> D
 SPARSE, SIEVE = 32, 1 << 26
 
 
-def sieved(df: DataFrame, key: str, wanted: DataFrame, most: int = SIEVE) -> DataFrame:
-    """The rows of ``df`` whose ``key`` is among those of ``wanted`` (one column, written), and about one in ``SPARSE`` of the others.
+def marked(df: DataFrame, key: str, wanted: DataFrame, into: str, most: int = SIEVE) -> DataFrame:
+    """``df`` with a column ``into``: false where ``key`` is surely not among those of ``wanted`` (one column, written), else true.
 
-    For ahead of an exact join by that key: rows that meet nothing aren't shuffled. Bits stand for hashes of keys, ``SPARSE`` for
-    each but ``most`` in all, so what is broadcast is bounded; with more keys than that more of the others pass, never fewer of the wanted.
+    Bits stand for hashes of keys, ``SPARSE`` for each but ``most`` in all, so what is broadcast is bounded; with more keys than
+    that more of the others are marked too, never fewer of the wanted. ``into`` is no column of ``df``.
     """
     p = prefix(df)
     bits = max(min(1 << (SPARSE * wanted.count()).bit_length(), most), 1 << 15)
     slot = lambda name: F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(bits))
     at, bucket, held = f"{p}at", f"{p}bucket", f"{p}bits"
     table = wanted.select(slot(wanted.columns[0]).alias(at)).groupBy(F.bitmap_bucket_number(at).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(held))
-    both = df.withColumn(at, F.bitmap_bit_position(slot(key))).withColumn(bucket, F.bitmap_bucket_number(slot(key))).join(F.broadcast(table), bucket)
+    both = df.withColumn(at, F.bitmap_bit_position(slot(key))).withColumn(bucket, F.bitmap_bucket_number(slot(key))).join(F.broadcast(table), bucket, "left")
     byte = F.conv(F.hex(F.substring(F.col(held), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    return both.where(F.getbit(byte, F.col(at).bitwiseAND(F.lit(7)).cast("int")) == 1).select(*[F.col(f"`{c}`") for c in df.columns])
+    found = F.coalesce(F.getbit(byte, F.col(at).bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    return both.select(*[F.col(f"`{c}`") for c in df.columns], found.alias(into))
+
+
+def sieved(df: DataFrame, key: str, wanted: DataFrame, most: int = SIEVE) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is among those of ``wanted`` (one column, written), and about one in ``SPARSE`` of the others.
+
+    For ahead of an exact join by that key: rows that meet nothing aren't shuffled. See ``marked``.
+    """
+    into = f"{prefix(df)}found"
+    return marked(df, key, wanted, into, most).where(F.col(into)).drop(into)
 
 
 def prefix(*frames: DataFrame) -> str:

@@ -36,6 +36,8 @@ LONG, SHORT = 8, 3
 FEW, MANY, MOST = 2, 3, 10
 PART, COPY = 0.1, 0.5
 RATE = 4
+#: Templates of which lines are looked up where the texts are, and the buckets of that look-up.
+COMMON, BUCKETS = 4096, 4096
 
 
 def _templates(t: Column) -> Column:
@@ -58,18 +60,27 @@ def _templates(t: Column) -> Column:
     return F.when(n >= WIDE, wide).otherwise(F.array(F.xxhash64(F.lit(0), n, t)))
 
 
-def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(did, total, lines, sample): a row's key, its tokens, its lines that have tokens, and its sampled shingles."""
-    text = F.lower(F.col(text_col))
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(did, text): the documents that have a text."""
+    return docs.where(F.col(text_col).isNotNull()).select(_row(id_col, text_col).alias("did"), F.col(text_col).alias("text"))
+
+
+def _tokens(texts: DataFrame) -> DataFrame:
+    """(did, tokens): the tokens of each line."""
+    text = F.lower("text")
     # Texts without a digit have no variable fields to mask.
     masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "<*>")).otherwise(text)
-    df = docs.where(F.col(text_col).isNotNull()).select(_row(id_col, text_col).alias("did"), F.split(masked, "\n", -1).alias("split"), text.alias("text"))
+    df = texts.select("did", F.split(masked, "\n", -1).alias("split"), text.alias("text"))
     # Where spaces are the only white space within lines, they are cut without a pattern.
     tokens = F.when(
         F.col("text").rlike(r"[\t\x0B\f\r]"),
         F.transform("split", lambda line: F.regexp_extract_all(line, F.lit(r"(\S+)"), F.lit(1))),
     ).otherwise(F.transform("split", lambda line: F.array_remove(F.split(line, " ", -1), "")))
-    df = df.select("did", tokens.alias("tokens"))
+    return df.select("did", tokens.alias("tokens"))
+
+
+def parsed(texts: DataFrame) -> DataFrame:
+    """(did, total, lines): a row's key, its tokens and its lines that have tokens."""
     lines = F.filter(
         F.transform(
             F.col("tokens"),
@@ -77,9 +88,14 @@ def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         ),
         lambda line: line["n"] > 0,
     )
-    flat = F.flatten("tokens")
-    df = df.select("did", lines.alias("lines"), flat.alias("flat"))
-    return df.select("did", F.size("flat").cast("long").alias("total"), "lines", _sampled(F.col("flat")).alias("sample"))
+    total = F.aggregate("tokens", F.lit(0).cast("long"), lambda n, t: n + F.size(t))
+    return _tokens(texts).select("did", total.alias("total"), lines.alias("lines"))
+
+
+def samples(texts: DataFrame) -> DataFrame:
+    """(did, sample): a row's key and its sampled shingles."""
+    flat = _tokens(texts).select("did", F.flatten("tokens").alias("flat"))
+    return flat.select("did", _sampled(F.col("flat")).alias("sample"))
 
 
 def _sampled(t: Column) -> Column:
@@ -96,58 +112,99 @@ def _row(id_col: str, text_col: str) -> Column:
     return F.conv(F.left(F.md5(said.cast("binary")), F.lit(15)), 16, 10).cast("long")
 
 
-def copy_groups(spots: DataFrame, samples: DataFrame) -> DataFrame:
+def copy_groups(spots: DataFrame, texts: DataFrame) -> DataFrame:
     """(did, copy_of) for each document in a group of copies; ``copy_of`` is the group's smallest key.
 
     ``spots`` has one row for each document, line and template: did, total, pos, n,
-    first (the template's first holder). ``samples``: (did, sample). A document has at most
+    first (the template's first holder). ``texts``: (did, text); only those of documents in
+    a candidate pair are sampled and dealt out. A document has at most
     1 / ``PART`` candidates, however large its group is.
     """
-    by_line = spots.groupBy("did", "pos").agg(F.max("total").alias("total"), F.max("n").alias("n"), F.min("first").alias("first"))
+    by_line = spots.where("first <> did").groupBy("did", "pos").agg(F.max("total").alias("total"), F.max("n").alias("n"), F.min("first").alias("first"))
     pairs = (
-        by_line.where("first <> did").groupBy("did", "first").agg(F.max("total").alias("total"), F.sum("n").alias("n"))
+        by_line.groupBy("did", "first").agg(F.max("total").alias("total"), F.sum("n").alias("n"))
         .where(F.col("n") >= PART * F.col("total")).select("did", F.col("first").alias("holder"))
     )
     pairs = common.durable(pairs, "pairs")
     asked = pairs.select("did").unionAll(pairs.select(F.col("holder").alias("did"))).distinct()
     asked = common.durable(asked, "asked")
     # Not a semi-join, which the planner would move ahead of the sieve.
-    samples = common.durable(common.sieved(samples, "did", asked).join(asked, "did").dropDuplicates(["did"]), "samples")
-    both = pairs.join(samples, "did").join(samples.select(F.col("did").alias("holder"), F.col("sample").alias("theirs")), "holder")
+    held = common.durable(samples(common.sieved(texts, "did", asked)).join(asked, "did").dropDuplicates(["did"]), "samples")
+    both = pairs.join(held, "did").join(held.select(F.col("did").alias("holder"), F.col("sample").alias("theirs")), "holder")
     shared = F.size(F.array_intersect("sample", "theirs"))
     edges = both.where(shared >= COPY * (F.size("sample") + F.size("theirs") - shared)).select(F.col("did").alias("a"), F.col("holder").alias("b"))
     return common.components(edges).select(F.col("node").alias("did"), F.col("component").alias("copy_of"))
 
 
-def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def boilerplate(texts: DataFrame) -> tuple[DataFrame, list[tuple[int, int]]]:
     """(did, drop): for each document with lines to drop, their numbers (from 0, ascending).
 
+    And where (did, pos) two lines of each of the ``COMMON`` templates with most witnesses stand.
+
     Every count is combined map-side, so a line that stands in a third of all
     documents is one row of each task; joins on templates are between
     written tables and split hot keys at run time.
     """
-    lines = common.durable(parsed(docs, id_col, text_col), "lines")
+    lines = common.durable(parsed(texts), "lines")
     held = lines.select(
         "did", F.explode(F.array_distinct(F.flatten(F.transform("lines", lambda line: line["keys"])))).alias("key")
     )
     # In two documents at least: rows equal in id and text are one.
     recurring = held.groupBy("key").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last")
     recurring = common.durable(recurring.select("key", "first"), "recurring")
-    spots = (
-        lines.select("did", "total", F.explode("lines").alias("line"))
-        .select("did", "total", "line.pos", "line.n", F.explode("line.keys").alias("key"))
-        .join(recurring, "key")
-    )
-    spots = common.durable(spots, "spots")
-    copies = common.durable(copy_groups(spots, lines.select("did", "sample")), "copies")
+    places = lines.select("did", "total", F.explode("lines").alias("line")).select("did", "total", "line.pos", "line.n", F.explode("line.keys").alias("key"))
+    spots = common.durable(common.sieved(places, "key", recurring.select("key")).join(recurring, "key"), "spots")
+    copies = common.durable(copy_groups(spots, texts), "copies")
     witnesses = (
         spots.join(copies, "did", "left")
         .select("key", "n", F.coalesce("copy_of", "did").alias("witness")).distinct()
         .groupBy("key").agg(F.count("*").alias("held"), F.max("n").alias("n"))
-        .where(F.col("held") >= F.when(F.col("n") >= LONG, FEW).when(F.col("n") >= SHORT, MANY).otherwise(MOST)).select("key")
+        .where(F.col("held") >= F.when(F.col("n") >= LONG, FEW).when(F.col("n") >= SHORT, MANY).otherwise(MOST)).select("key", "held")
     )
     witnesses = common.durable(witnesses, "boilerplate")
-    return spots.join(witnesses, "key").groupBy("did").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
+    most = witnesses.orderBy(F.desc("held"), "key").limit(COMMON).select("key")
+    place = F.struct("did", "pos")
+    ends = spots.join(F.broadcast(most), "key").groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high")).collect()
+    examples = sorted({(x["did"], x["pos"]) for r in ends for x in (r["low"], r["high"])})
+    return spots.join(witnesses.select("key"), "key").groupBy("did").agg(F.array_sort(F.collect_set("pos")).alias("drop")), examples
+
+
+def _looked_up(texts: DataFrame, examples: list[tuple[int, int]]) -> DataFrame:
+    """One row, ``usual``: hashes of the lines at these places, by buckets; at most two of each of ``COMMON`` templates."""
+    spark = texts.sparkSession
+    places = spark.createDataFrame(examples, "did long, pos int")
+    found = texts.join(F.broadcast(places), "did").select(F.xxhash64(F.get(F.split("text", "\n", -1), F.col("pos"))).alias("h")).distinct()
+    table: list[list[int]] = [[] for _ in range(BUCKETS)]
+    for (h,) in found.collect():
+        table[h % BUCKETS].append(h)
+    return spark.createDataFrame([(table,)], "usual array<array<long>>")
+
+
+def _usual(text: str, usual: str) -> Column:
+    """The numbers of a text's lines that are in the look-up, ascending; null if there is none."""
+    hashes = F.transform(F.split(F.col(text), "\n", -1), lambda line: F.xxhash64(line))
+    at = F.transform(hashes, lambda h, i: F.when(F.array_contains(F.get(F.col(usual), F.pmod(h, F.lit(BUCKETS)).cast("int")), h), i))
+    # Bound by an array of one element, so that lines are looked up once.
+    return F.get(F.filter(F.array(F.filter(at, lambda i: i.isNotNull())), lambda x: F.size(x) > 0), F.lit(0))
+
+
+def _drops(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(did, drop, open) for each document with lines to drop, and the look-up.
+
+    ``open``: the look-up doesn't give just those lines. Where it does, a text needs no join.
+    """
+    examples: list[tuple[int, int]] = []
+
+    def found() -> DataFrame:
+        drops, places = boilerplate(texts)
+        examples.extend(places)
+        return drops
+
+    drops = common.settled(texts.sparkSession, "found", found)
+    usual = _looked_up(texts, examples)
+    some = common.sieved(texts, "did", drops.select("did")).crossJoin(F.broadcast(usual))
+    given = some.select("did", _usual("text", "usual").alias("given")).where("given is not null").groupBy("did").agg(F.first("given").alias("given"))
+    return drops.join(given, "did", "full").select("did", "drop", (~F.col("drop").eqNullSafe(F.col("given"))).alias("open")), usual
 
 
 def drop_boilerplate(
@@ -162,22 +219,39 @@ def drop_boilerplate(
     ascending), in place of columns of these names. Other columns pass through, whatever their names.
     """
     p = common.prefix(docs)
-    row, did, drop = f"{p}row", f"{p}did", f"{p}drop"
-    drops = common.settled(docs.sparkSession, "drops", lambda: boilerplate(docs, id_col, text_col)).select(F.col("did").alias(did), F.col("drop").alias(drop))
-    joined = docs.withColumn(row, _row(id_col, text_col)).join(drops, F.col(row) == F.col(did), "left")
-    all_lines = F.split(F.col(text_col), "\n", -1)
+    row, did, drop, some, open_, usual = (f"{p}{x}" for x in ("row", "did", "drop", "some", "open", "usual"))
+    looked_up: list[DataFrame] = []
+
+    def found() -> DataFrame:
+        drops, table = _drops(_texts(docs, id_col, text_col))
+        looked_up.append(table)
+        return drops
+
+    drops = common.settled(docs.sparkSession, "drops", found)
+    known = drops.where("open").select(F.col("did").alias(did), F.col("drop").alias(drop))
+    # Texts that lose nothing, or usual lines only, stay where they are.
+    marked = common.marked(docs.withColumn(row, _row(id_col, text_col)), row, drops.select("did"), some)
+    marked = common.marked(marked, row, known.select(did), open_)
+    table = F.broadcast(looked_up[0].withColumnRenamed("usual", usual))
+    given = F.when(F.col(some), _usual(text_col, usual))
+    here = marked.where(~F.col(open_)).crossJoin(table).withColumn(drop, given)
+    # The look-up comes after the join, as it would be dealt out with each row.
+    met = marked.where(F.col(open_)).join(known, F.col(row) == F.col(did), "left").crossJoin(table)
+    met = met.withColumn(drop, F.when(F.col(did).isNotNull(), F.col(drop)).otherwise(given))
     # By a set of the numbers, not a search of the list for each line; lines are bound, so that a text is split once.
-    both = F.struct(all_lines.alias("lines"), F.col(drop).alias("drop"))
+    both = F.struct(F.split(F.col(text_col), "\n", -1).alias("lines"), F.col(drop).alias("drop"))
     left = F.transform(F.array(both), _without)[0]
     text = F.when(F.col(drop).isNotNull(), left).otherwise(F.col(text_col))
     columns = {c: F.col(c) for c in docs.columns} | {text_col: text.alias(text_col)}
     if length_col and length_col in docs.columns:
         columns[length_col] = F.length(text).cast(docs.schema[length_col].dataType).alias(length_col)
     if details:
-        columns["n_lines"] = F.coalesce(F.size(all_lines), F.lit(0)).cast("long").alias("n_lines")
+        breaks = F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
+        columns["n_lines"] = F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines")
         numbers = F.array_join(F.transform(drop, lambda i: i.cast("string")), ",")
         columns["dropped"] = F.coalesce(numbers, F.lit("")).alias("dropped")
-    return joined.select(*columns.values())
+    met, here = (part.select(*columns.values()) for part in (met, here))
+    return met.unionAll(here)
 
 
 def _without(x: Column) -> Column:

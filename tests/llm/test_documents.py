@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from logweave.llm import lines, lm, mixing, pieces, quality, topk, toxicity
 
@@ -177,6 +178,37 @@ def test_lines_of_notices_and_copies(spark):
     assert len(twice) == len(rows) + len(rows[::2]) and all(r["text"] == left[r["doc_id"]] for r in twice)
 
 
+def test_lines_go_where_the_texts_are(spark, monkeypatch):
+    """Texts that lose nothing, or common lines only, aren't shuffled; a look-up that gives too much or too little changes nothing."""
+    rng = random.Random(4)
+    made = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    notice, page = made(20), made(8)
+    own = [made(80) for _ in range(60)]
+    texts = [f"{t}\n{notice}" if i < 20 else f"{page} {i}\n{t}" if i < 32 else t for i, t in enumerate(own)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    looked_up = lines._looked_up
+
+    def misled(texts, examples):
+        more = texts.where(F.col("text").isin(own[40], f"{own[0]}\n{notice}")).select("did", F.lit(0).alias("pos")).collect()
+        return looked_up(texts, [*examples, *map(tuple, more)])
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # The page numbers differ, so only the two lines that are looked up are known as they stand.
+        for most, find, left in [(lines.COMMON, looked_up, 10), (0, looked_up, 32), (lines.COMMON, misled, 11)]:
+            monkeypatch.setattr(lines, "COMMON", most)
+            monkeypatch.setattr(lines, "_looked_up", find)
+            drops, _ = lines._drops(lines._texts(docs, "doc_id", "text"))
+            assert drops.where("open").count() == left
+            out = lines.drop_boilerplate(docs)
+            assert dict(map(tuple, out.collect())) == dict(enumerate(own))
+            plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            assert "Union" in plan and plan.count("hashpartitioning(__lw_row") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def draw(seed, key, k, rate):
     parts = max(math.ceil(rate / mixing.PART), 1)
     mean, total = rate / parts, 0
